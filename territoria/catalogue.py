@@ -1,0 +1,6 @@
+"""The queries of the library, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
