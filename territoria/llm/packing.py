@@ -18,45 +18,65 @@ from territoria.llm.common import batches_held, cut, documents_of, runs
 #: Limits of a sequence: tokens, segments (pieces), and tokens that bear loss; and the id after each document.
 TOKENS, SEGMENTS, LOSS, END = 4096, 256, 4096, 2
 #: Pieces that are packed together in one task. Groups are dealt by hash, so their number grows with the data.
-GROUP = 4096
+GROUP = 2048
 #: Encoded words that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
 
 #: The tokenizer's own way of splitting lower-case text into words (a fixed value of the vocabulary file).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class _Words(dict):
-    """Little-endian 32-bit ids of a word's tokens, as the tokenizer encodes it; words don't affect each other."""
+class Words:
+    """Little-endian 32-bit ids of words, as the tokenizer encodes them; words don't affect each other. Words that are
+    new are encoded together, in a row: the last token of a word is known by its ending."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
 
+    def alone(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(words)
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            else:  # some word isn't one to the tokenizer
+                self.known.update((w, self.alone(w)) for w in part)
 
-@cache
-def _words(path: str) -> _Words:
-    from tokenizers import Tokenizer
 
-    return _Words(Tokenizer.from_file(path))
+@cache
+def _words(path: str) -> Words:
+    return Words(path)
 
 
-def encoded(text: str, words: _Words) -> bytes:
-    """The ids of a whole text, equal to the tokenizer's own: it lower-cases composed text and encodes word by word.
+def encoded(texts: list[str], words: Words) -> list[bytes]:
+    """The ids of whole texts, equal to the tokenizer's own: it lower-cases composed text and encodes word by word.
     Texts that hold its special tokens, or letters whose lower case depends on their place, go to it whole."""
-    if "<|" in text or "Σ" in text or "İ" in text:
-        return np.asarray(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    if not text.isascii() and not is_normalized("NFC", text):
-        text = normalize("NFC", text)
-    return b"".join(map(words.__getitem__, WORDS.findall(text.lower())))
+    whole, split = {}, []
+    for k, text in enumerate(texts):
+        if "<|" in text or "Σ" in text or "İ" in text:
+            whole[k] = words.alone(text)
+            split.append([])
+            continue
+        if not text.isascii() and not is_normalized("NFC", text):
+            text = normalize("NFC", text)
+        split.append(WORDS.findall(text.lower()))
+    words.learn(set().union(*split))
+    get = words.known.__getitem__
+    return [whole[k] if k in whole else b"".join(map(get, x)) for k, x in enumerate(split)]
 
 
 def _pieces(path: str, limit: int, end: int):
@@ -66,10 +86,12 @@ def _pieces(path: str, limit: int, end: int):
         words = _words(path)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoded(text or "", words) + last
-                n = len(ids) // 4
-                out += [(doc, a, min(limit, n - a), zlib.crc32(ids[4 * a : 4 * (a + limit)]), n) for a in range(0, n, limit)]
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoded([x or "" for x in part.column("text").to_pylist()], words), strict=True):
+                    ids += last
+                    n = len(ids) // 4
+                    out += [(doc, a, min(limit, n - a), zlib.crc32(ids[4 * a : 4 * (a + limit)]), n) for a in range(0, n, limit)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
@@ -86,20 +108,32 @@ def packed_group(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """The bin of each item (rows of demand: one number for each limit). A bin is filled by the item, of those that
     fit, whose demand has the largest dot product with the room left, both as parts of the limits; ties go to the
     first. A new bin opens when nothing fits."""
-    size = demand / limits
-    bins, left, room, now = np.full(len(size), -1), np.arange(len(size)), np.ones(len(limits)), 0
+    if (demand > limits).any():
+        raise ValueError("an item is over a limit")
+    left, bins = np.arange(len(demand)), np.full(len(demand), -1)
+    size = [np.ascontiguousarray(c) for c in (demand / limits).T]
+    room, now, gone = [1.0 + 1e-12] * len(size), 0, 0
+    value, fits = np.empty(len(left)), np.empty(len(left), bool)
     while len(left):
-        fits = (size[left] <= room + 1e-12).all(axis=1)
-        if not fits.any():
-            if (room == 1).all():
-                raise ValueError("an item is over a limit")
-            now, room = now + 1, np.ones(len(limits))
+        np.less_equal(size[0], room[0], out=fits)
+        np.multiply(size[0], room[0], out=value)  # infinite for what is placed, which doesn't fit
+        for c, r in zip(size[1:], room[1:], strict=True):
+            fits &= c <= r
+            value += c * r
+        k = int(np.where(fits, value, -1.0).argmax())
+        if not fits[k]:
+            now, room = now + 1, [1.0 + 1e-12] * len(size)
             continue
-        value = np.where(fits, size[left] @ room, -1.0)
-        k = int(value.argmax())
         bins[left[k]] = now
-        room = room - size[left[k]]
-        left = np.delete(left, k)
+        room = [r - float(c[k]) for c, r in zip(size, room, strict=True)]
+        size[0][k] = np.inf  # placed: it fits nowhere now
+        gone += 1
+        if gone > len(left) // 4:
+            stay = np.isfinite(size[0])
+            left, size, gone = left[stay], [c[stay] for c in size], 0
+            value, fits = np.empty(len(left)), np.empty(len(left), bool)
+            if not len(left):
+                break
     return bins
 
 
