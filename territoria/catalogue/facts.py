@@ -168,9 +168,9 @@ def indicator_year_heatmap(spark, d):
     return out.select("indicator", *(rounded(c, digits=2) for c in ("y1996", "y1997", "y2050")))
 
 
-@query("select y, round(sum(v), 2) as total, round(avg(v), 4) as mean from {totals} group by y")
+@query("select y, round(sum(v), 2) as total, round(avg(v), 6) as mean from {totals} group by y")
 def chart_aggregates(spark, d):
-    return totals(spark, d).groupBy("y").agg(rounded(F.sum("v"), "total", 2), rounded(F.avg("v"), "mean", 4))
+    return totals(spark, d).groupBy("y").agg(rounded(F.sum("v"), "total", 2), rounded(F.avg("v"), "mean"))
 
 
 @query("""with s as (select period, sum(v) as v from {totals} group by all), x as (select *, lag(v) over (order by period) as b, substr(period, 1, 4)::int * 12 + substr(period, 6, 2)::int - lag(substr(period, 1, 4)::int * 12 + substr(period, 6, 2)::int) over (order by period) = 1 as ok from s where substr(period, 6, 2) <> '05')

@@ -65,7 +65,7 @@ def archived(spark: SparkSession, path: str, separator: str = ";", skip: str = "
                         continue
                     with z.open(best) as f:
                         for chunk in pd.read_csv(f, sep=separator, dtype=str, encoding="utf-8-sig", chunksize=10_000, keep_default_na=False):
-                            yield pd.DataFrame({"path": name, "member": best.filename, "row": [list(r.items()) for r in chunk.to_dict("records")]})
+                            yield pd.DataFrame({"path": name, "member": best.filename, "row": chunk.to_dict("records")})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, row map<string,string>")
 
