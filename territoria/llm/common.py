@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Arrow batches that go to Python end at so many rows or bytes, so a worker's memory doesn't follow the longest text.
 BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 #: Bits of the table by which `likely_in` drops most rows before a shuffle; its size doesn't grow with the data.
-REDUCER_BITS = 1 << 22
+REDUCER_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -2,10 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import cut, dropped
+from territoria.llm.common import batches_held, cut, dropped
+
+#: Edges that a task contracts at once before any shuffle.
+LOCAL = 500_000
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index joined to each of n items by edges (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A star for each component of the edges that a task holds, some at a time."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u = np.concatenate([x.column("u").to_numpy() for x in held])
+        v = np.concatenate([x.column("v").to_numpy() for x in held])
+        ids, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = roots(len(ids), both[: len(u)], both[len(u) :])
+        leaf = root != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], ["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= LOCAL:
+            yield stars(held)
+            held, size = [], 0
+    if size:
+        yield stars(held)
 
 
 def _starred(edges: DataFrame) -> DataFrame:
@@ -22,8 +66,11 @@ def _starred(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id of the edges (src, dst; longs): component is the smallest id that can be reached.
-    Loops and repeated edges count for nothing; no edges give no rows. Each round is written to the shared folder."""
-    now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    Tasks first contract the edges they hold, so few rounds remain. Loops and repeated edges count for nothing; no edges give no rows. Each round is
+    written to the shared folder."""
+    batches_held(edges.sparkSession)
+    ordered = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    now = cut(ordered.mapInArrow(_contracted, "u long, v long").distinct())
     state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = state(now)
     while seen[0]:

@@ -35,7 +35,7 @@ def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 
     def texts(wanted: DataFrame) -> DataFrame:
         held = cut(keyed.join(wanted, "id"))
-        near = likely_in(lines.select("h1", "h2", "norm"), held, F.col("h1"), F.col("h1"))
+        near = likely_in(lines.select("h1", "norm"), held, F.col("h1"), F.col("h1")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
         return near.join(held, ["h1", "h2"]).groupBy("id").agg(F.first("w").alias("w"), F.first("norm").alias("text"))
 
     found = links(classes.select("id", "bands"), texts, plan)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, mixed, runs
-from territoria.llm.components import connected_components
+from territoria.llm.common import batches_held, cut, likely_in, mixed, runs
+from territoria.llm.components import connected_components, roots
 
 U = np.uint64
 #: Bytes (of words) or characters that are hashed at once, and texts of a block that are compared with another block.
@@ -81,8 +81,10 @@ def _grams(units: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray
     n = max(len(units) - width + 1, 0)
     whole = owner[:n] == owner[width - 1 :] if n else np.zeros(0, bool)
     h = np.zeros(n, U)
+    term = np.empty(n, U)
     for k in range(width):
-        h += units[k : k + n] * weights[k]
+        np.multiply(units[k : k + n], weights[k], out=term)
+        h += term
     h, own = h[whole], owner[:n][whole]
     count = np.bincount(owner)
     short = np.flatnonzero((count > 0) & (count < width))
@@ -104,7 +106,7 @@ def shingles(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     if plan.unit == "words":
         return _grams(*_word_hashes(texts), plan.width)
     units = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    return _grams(mixed(units.astype(U) + U(1)), np.repeat(np.arange(len(texts)), [len(x) for x in texts]), plan.width)
+    return _grams(units.astype(U) + U(1), np.repeat(np.arange(len(texts)), [len(x) for x in texts]), plan.width)
 
 
 def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -120,15 +122,15 @@ def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 @cache
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+def _factors(n: int) -> np.ndarray:
+    """Odd numbers: multiplying by one permutes the 32-bit hashes."""
+    return np.random.default_rng(20240229).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def signatures(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(signature, whether there is any shingle) of each text."""
     n = plan.bands * plan.rows
-    a, b = _permutations(n)
+    a = _factors(n)
     out, there = np.zeros((len(texts), n), np.uint32), np.zeros(len(texts), bool)
     for first, some in parts(texts):
         h, own = shingles(some, plan)
@@ -141,7 +143,6 @@ def signatures(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray]:
         buffer = np.empty_like(x)
         for k in range(n):
             np.multiply(x, a[k], out=buffer)
-            buffer += b[k]
             out[who, k] = np.minimum.reduceat(buffer, start)
     return out, there
 
@@ -181,7 +182,7 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     rows = bands.select("id", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
     once = cut(full.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
-    return cut(rows.join(once, "bucket"))
+    return cut(likely_in(rows, once, F.col("bucket"), F.col("bucket")).join(once, "bucket"))
 
 
 def in_blocks(members: DataFrame, group: str, size: int) -> DataFrame:
@@ -195,29 +196,33 @@ def in_blocks(members: DataFrame, group: str, size: int) -> DataFrame:
     return pairs.select(F.col(group).alias("g"), F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"), (F.col("b") > F.col("other")).cast("long").alias("side"), *rest)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index joined to each of n items by edges (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
-def compared(blocks: DataFrame, payload: str, linked: Callable[[list, list | None], np.ndarray]) -> DataFrame:
+def compared(blocks: DataFrame, payload: str, linked: Callable[[list, list | None], np.ndarray], paired: Callable[[list, list], np.ndarray] | None = None) -> DataFrame:
     """(id, links, parent) for members that have a link in a pair of blocks: links is the weight w of what they are
     linked with there, parent the smallest id that links there lead to. linked(left, right or None) is a matrix of
-    booleans. Pairs never leave the task; there are no more rows than members of blocks."""
+    booleans; paired(left, right), a vector, serves groups of two, many at once. Pairs never leave the task; there are
+    no more rows than members of blocks."""
     batches_held(blocks.sparkSession)
 
+    def in_twos(twos: list[pa.Table]) -> pa.RecordBatch:
+        both = pa.concat_tables(twos)
+        ids, w, data = both.column("id").to_numpy(), both.column("w").to_numpy(), both.column(payload)
+        hit = paired(list(data.take(pa.array(np.arange(0, len(ids), 2)))), list(data.take(pa.array(np.arange(1, len(ids), 2)))))
+        hit = np.repeat(hit & (ids[::2] != ids[1::2]), 2)
+        least = np.repeat(np.minimum(ids[::2], ids[1::2]), 2)
+        other = w.reshape(-1, 2)[:, ::-1].ravel()
+        return pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(other[hit], pa.int64()), pa.array(least[hit], pa.int64())], ["id", "links", "parent"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twos: list[pa.Table] = []
+        size = 0
         for group in runs(batches, ["g", "bi", "bj"]):
+            if paired and group.num_rows == 2 and group.column("bi")[0] == group.column("bj")[0]:
+                twos.append(group)
+                size += group.nbytes
+                if size > 1 << 22 or len(twos) >= 2000:
+                    yield in_twos(twos)
+                    twos, size = [], 0
+                continue
             ids, w, side = (group.column(c).to_numpy() for c in ("id", "w", "side"))
             if len(ids) < 2:
                 continue
@@ -238,18 +243,18 @@ def compared(blocks: DataFrame, payload: str, linked: Callable[[list, list | Non
             order = np.argsort(ids, kind="stable")  # so that the smallest index is the smallest id
             place = np.empty_like(order)
             place[order] = np.arange(len(ids))
-            root = ids[order][_roots(len(ids), place[a[i]], place[b[j]])[place]]
+            root = ids[order][roots(len(ids), place[a[i]], place[b[j]])[place]]
             hit = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array(root[hit], pa.int64())], ["id", "links", "parent"])
+        if twos:
+            yield in_twos(twos)
 
     ready = blocks.select("g", "bi", "bj", "side", "id", "w", payload).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "id")
     return ready.mapInArrow(run, "id long, links long, parent long")
 
 
-def similar(left: list, right: list | None, plan: Plan) -> np.ndarray:
-    """Which texts (Arrow strings) have the least Jaccard similarity of whole shingle sets; the diagonal counts not."""
-    texts = [x.as_py() for x in left] + ([x.as_py() for x in right] if right is not None else [])
-    n = len(left)
+def _sets(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text with its index, and the sizes of these sets."""
     hashes, owners = [], []
     for first, some in parts(texts):
         h, own = shingles(some, plan)
@@ -259,7 +264,25 @@ def similar(left: list, right: list | None, plan: Plan) -> np.ndarray:
         hashes.append(h[new])
         owners.append(own[new] + first)
     h, own = np.concatenate(hashes), np.concatenate(owners)
-    size = np.bincount(own, minlength=len(texts)).astype(np.float64)
+    return h, own, np.bincount(own, minlength=len(texts)).astype(np.float64)
+
+
+def similar_pairs(left: list, right: list, plan: Plan) -> np.ndarray:
+    """Whether each left text has the least Jaccard similarity with the right one of the same index."""
+    n = len(left)
+    h, own, size = _sets([x.as_py() for x in left] + [x.as_py() for x in right], plan)
+    pair = own % n
+    order = np.lexsort((h, pair))
+    h, pair = h[order], pair[order]
+    common = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
+    return (common > 0) & (common >= plan.least * (size[:n] + size[n:] - common) - 1e-9)
+
+
+def similar(left: list, right: list | None, plan: Plan) -> np.ndarray:
+    """Which texts (Arrow strings) have the least Jaccard similarity of whole shingle sets; the diagonal counts not."""
+    texts = [x.as_py() for x in left] + ([x.as_py() for x in right] if right is not None else [])
+    n = len(left)
+    h, own, size = _sets(texts, plan)
     _, column, count = np.unique(h, return_inverse=True, return_counts=True)
     held = count[column] > 1
     column, own = np.unique(column[held], return_inverse=True)[1], own[held]
@@ -280,6 +303,11 @@ def similar(left: list, right: list | None, plan: Plan) -> np.ndarray:
     return out
 
 
+def _near_pairs(left: list, right: list) -> np.ndarray:
+    a, b = (np.frombuffer(b"".join(x.as_py() for x in y), np.uint8).reshape(len(y), -1) for y in (left, right))
+    return (a == b).sum(axis=1) >= NEAR * a.shape[1]
+
+
 def _near(left: list, right: list | None) -> np.ndarray:
     """Which low bytes of signatures agree so often that the texts may be similar, or may both be similar to a third."""
     a = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in left])
@@ -324,9 +352,9 @@ def links(bands: DataFrame, texts: Callable[[DataFrame], DataFrame], plan: Plan)
     buckets = shared_buckets(bands)
     known = cut(with_signature(texts(buckets.select("id").distinct()), plan))
     members = buckets.join(known.select("id", "low"), "id").withColumn("w", F.lit(1).cast("long"))
-    near = compared(in_blocks(members.select("bucket", "id", "w", "low"), "bucket", BUCKET), "low", _near)
+    near = compared(in_blocks(members.select("bucket", "id", "w", "low"), "bucket", BUCKET), "low", _near, _near_pairs)
     groups = cut(connected_components(cut(near.select(F.col("id").alias("src"), F.col("parent").alias("dst")))))
     rows = known.drop("low").join(groups, "id")
-    found = cut(compared(in_blocks(rows.select("component", "id", "w", "text"), "component", BLOCK), "text", lambda a, b: similar(a, b, plan)))
+    found = cut(compared(in_blocks(rows.select("component", "id", "w", "text"), "component", BLOCK), "text", partial(similar, plan=plan), partial(similar_pairs, plan=plan)))
     joined = connected_components(found.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
     return cut(found.groupBy("id").agg(F.sum("links").alias("n_links")).join(joined, "id"))
