@@ -57,6 +57,11 @@ def documents_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """docs as (row, doc_id, text): row is a struct of all its columns, so no name made later can clash with theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
 def likely_in(df: DataFrame, members: DataFrame, key: Column, member_key: Column) -> DataFrame:
     """The rows of df whose key may be among the members' keys: all that are, and a few others where bits coincide.
     The bits are a table of at most REDUCER_BITS / 64 rows, so it can be broadcast at any size of the data; an exact

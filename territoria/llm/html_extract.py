@@ -31,9 +31,10 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|
 class _Box:
     """An element of the tree: its blocks of text, in page order, and its score."""
 
-    __slots__ = ("bad", "chars", "children", "items", "links", "parent", "score", "tag", "weight")
+    __slots__ = ("bad", "chars", "children", "inside", "items", "links", "parent", "score", "tag", "weight")
 
     def __init__(self, tag: str, parent: _Box | None, bad: bool, weight: float):
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.tag, self.parent, self.bad, self.weight, self.score, self.chars, self.links, self.children, self.items = tag, parent, bad, weight, 0.0, 0, 0, [], []
 
 
@@ -116,8 +117,7 @@ def _tree(page: str) -> _Box:
                 if box.tag in CLOSES[name]:
                     here = box.parent
             bad, weight = _marks(m[3]) if m[3] else (False, 0.0)
-            inside = any(x.tag in ("article", "main") for x in _above(here))
-            bad = bad or name in ASIDE_TAGS and not (name == "header" and inside) or here.bad
+            bad = bad or name in ASIDE_TAGS and not (name == "header" and here.inside) or here.bad
             if name == "body":
                 bad = False
             box = _Box(name, here, bad, weight)
@@ -134,15 +134,16 @@ def _above(box: _Box | None) -> Iterator[_Box]:
         box = box.parent
 
 
-def _scored(box: _Box) -> None:
-    """Paragraphs pass points for their length and commas to their parent, and half of them to its parent."""
-    for item in box.items:
-        if isinstance(item, _Box):
-            _scored(item)
-            box.chars += item.chars
-            box.links += item.links
-        else:
-            block, links = item
+def _scored(root: _Box) -> list[_Box]:
+    """All boxes in page order, scored: paragraphs pass points for their length and commas to their parent, and half of
+    them to its parent. Boxes come before what they hold, so backwards all is added up in one pass at any depth."""
+    boxes, stack = [], [root]
+    while stack:
+        box = stack.pop()
+        boxes.append(box)
+        stack.extend(reversed(box.children))
+    for box in reversed(boxes):
+        for block, links in (x for x in box.items if not isinstance(x, _Box)):
             if box.bad:
                 continue
             box.chars += len(block)
@@ -153,7 +154,12 @@ def _scored(box: _Box) -> None:
             holder = box.parent if box.tag in ("p", "pre", "li", "dd", "dt", "blockquote") and box.parent is not None else box
             for k, above in zip((1, 0.5, 0.25), _above(holder), strict=False):
                 above.score += points * k
-    box.score += {"article": 20, "main": 15, "section": 3, "div": 5, "td": 3}.get(box.tag, 0) * (box.score > 0) + box.weight * (box.score > 0)
+        if box.score > 0:
+            box.score += {"article": 20, "main": 15, "section": 3, "div": 5, "td": 3}.get(box.tag, 0) + box.weight
+        if box.parent is not None:
+            box.parent.chars += box.chars
+            box.parent.links += box.links
+    return boxes
 
 
 def _value(box: _Box) -> float:
@@ -161,12 +167,19 @@ def _value(box: _Box) -> float:
 
 
 def _texts(box: _Box, out: list[str]) -> None:
-    for item in box.items:
-        if isinstance(item, _Box):
-            if not item.bad:
-                _texts(item, out)
-        elif box.tag in HEADINGS or not box.items or item[1] < 0.8 * len(item[0]) or box.tag == "p":
-            out.append(item[0])
+    """The blocks of a box and of what it holds, in page order, without parts beside the article and lists of links."""
+    stack = [(box, iter(box.items))]
+    while stack:
+        holder, items = stack[-1]
+        for item in items:
+            if isinstance(item, _Box):
+                if not item.bad:
+                    stack.append((item, iter(item.items)))
+                    break
+            elif holder.tag in HEADINGS or item[1] < 0.8 * len(item[0]) or holder.tag == "p":
+                out.append(item[0])
+        else:
+            stack.pop()
 
 
 def main_text(page: str | None) -> str:
@@ -174,14 +187,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
-    _scored(root)
-    boxes, stack = [], [root]
-    while stack:
-        box = stack.pop()
-        if not box.bad:
-            boxes.append(box)
-            stack.extend(reversed(box.children))
-    best = max(boxes, key=_value)
+    best = max((x for x in _scored(root) if not x.bad), key=_value)
     if _value(best) <= 0:  # nothing long enough for a score: all that isn't beside the article
         out: list[str] = []
         _texts(root, out)

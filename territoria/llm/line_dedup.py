@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import cut, documents_of, likely_in
+from territoria.llm.common import carried, cut, documents_of, likely_in
 from territoria.llm.minhash import Plan, banded, links, planned
 
 #: Shingles of eight characters (of a trimmed line in lower case), a similarity of 0.8, and the recall wanted there.
@@ -52,12 +52,10 @@ def without_repeated_lines(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """docs with only the kept lines in their texts, and n_chars, if there is such a column, counted anew. Other columns
     stay. A document that loses all its lines goes; one whose text is null or blank was no copy and stays."""
     dropped = cut(line_components(docs, plan).where("not kept").groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone")))
-    names = docs.columns
-    rows = docs.withColumn("_t", F.xxhash64("text")).alias("d").join(dropped.alias("g"), F.expr("d.doc_id <=> g.doc_id and d._t = g.t"), "left")
-    left = F.expr("array_join(filter(split(d.text, '\n'), (x, k) -> not array_contains(g.gone, cast(k as bigint))), '\n')")
-    now = rows.withColumn("_now", F.when(F.expr("g.gone is null"), F.expr("d.text")).otherwise(left))
-    now = now.where("g.gone is null or trim(_now) <> ''")
-    out = {c: F.col(f"d.`{c}`") for c in names} | {"text": F.col("_now").alias("text")}
+    rows = carried(docs).withColumn("t", F.xxhash64("text")).alias("d").join(dropped.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.t = g.t"), "left")
+    left = F.expr("array_join(filter(split(text, '\n'), (x, k) -> not array_contains(gone, cast(k as bigint))), '\n')")
+    now = rows.withColumn("now", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where("gone is null or trim(now) <> ''")
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("now").alias("text")}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.expr("g.gone is null"), F.col("d.n_chars")).otherwise(F.length("_now").cast("long")).alias("n_chars")
+        out["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("now").cast("long")).alias("n_chars")
     return now.select(*out.values())

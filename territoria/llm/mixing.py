@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from territoria.llm.common import cut, documents_of
+from territoria.llm.common import carried, cut, documents_of
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,8 +90,8 @@ def repeated(docs: DataFrame, labels: DataFrame | None = None, **options) -> Dat
     taken = mixed_sources(docs, labels, **options).groupBy("doc_id", "h").agg((F.sum("taken") / F.count("*")).alias("taken"), F.max("size").alias("size"), F.max("epochs").alias("epochs"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.col("epochs")).cast("int")
     wanted = cut(taken.select("doc_id", "h", times.alias("times")).where("times > 0"))
-    rows = docs.withColumn("_h", F.xxhash64("text")).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d._h = w.h"))
-    return rows.withColumn("_k", F.explode(F.expr("sequence(1, w.times)"))).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    rows = carried(docs).withColumn("h", F.xxhash64("text")).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.h = w.h"))
+    return rows.withColumn("again", F.explode(F.expr("sequence(1, w.times)"))).select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 #: The same rows by SQL alone, without the ranges.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import cut, documents_of, likely_in
+from territoria.llm.common import carried, cut, documents_of, likely_in
 from territoria.llm.minhash import Plan, banded, links, planned
 
 #: Five-word shingles, a Jaccard similarity of 0.8, found with a probability of 0.9995 or more.
@@ -68,11 +68,11 @@ def representatives(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one document of each component does: that with the
     smallest doc_id, and one row of it if rows repeat. Rows linked with nothing stay, null and empty texts among them."""
     stay = cut(_classed(docs, plan).where("kept").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"), F.max("class_size").alias("size")))
-    rows = _hashed(docs.withColumn("_text", _normal()), "_text").drop("_text").alias("d")
+    rows = _hashed(carried(docs).withColumn("words", _normal()), "words").drop("text", "words").alias("d")
     held = rows.join(stay.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.h1 = s.h1 and d.h2 = s.h2"))
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    own = [F.col(f"row.`{c}`") for c in docs.columns]
     repeats = F.expr("s.n > 1 and s.size > 1")
     if stay.where("n > 1 and size > 1").isEmpty():
         return held.select(*own)
-    once = held.where(repeats).select(*own, "d.h1", "d.h2").dropDuplicates(["doc_id", "h1", "h2"]).drop("h1", "h2")
-    return held.where(~repeats).select(*own).unionByName(once)
+    once = held.where(repeats).select("row", "d.doc_id", "d.h1", "d.h2").dropDuplicates(["doc_id", "h1", "h2"])
+    return held.where(~repeats).select(*own).unionByName(once.select(*own))

@@ -155,7 +155,8 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model | None:
-    """Learns from labelled rows (labels: doc_id, toxic) whose crc32(doc_id) mod 5 isn't 0; None without both classes."""
+    """Learns from labelled rows (labels: doc_id, toxic) whose crc32(doc_id) mod 5 isn't 0; None where docs don't hold
+    both classes of them."""
     batches_held(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = known.count()
@@ -163,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
     # about `rows` small rows at any size of the data, so they can be broadcast
     sample = documents_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # of the documents there are
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return None
