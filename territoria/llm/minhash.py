@@ -19,6 +19,8 @@ U = np.uint64
 PART, BLOCK = 1 << 18, 128
 #: Members of a bucket that are compared in one task.
 BUCKET = 256
+#: Characters (about) of a block of texts: a task that compares two blocks holds some hundred bytes for each.
+ROOM = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -185,11 +187,14 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return cut(likely_in(rows, once, F.col("bucket"), F.col("bucket")).join(once, "bucket"))
 
 
-def in_blocks(members: DataFrame, group: str, size: int) -> DataFrame:
-    """A row of members for each pair of blocks that its group has it compared in: a group of up to `size` is one block;
-    a larger one is dealt into blocks of about `size` by hash, and each pair of blocks is a task's work. Columns: g, bi,
-    bj, side (0 in the first block, 1 in the second), then those of members."""
-    sizes = cut(members.groupBy(group).agg(F.ceil(F.count("*") / size).alias("blocks")))
+def in_blocks(members: DataFrame, group: str, size: int, text: str | None = None) -> DataFrame:
+    """A row of members for each pair of blocks that its group has it compared in: a group of up to `size` rows, and
+    ROOM characters of `text`, is one block; a larger one is dealt into blocks of about that by hash, and each pair of
+    blocks is a task's work. Columns: g, bi, bj, side (0 in the first block, 1 in the second), then those of members."""
+    blocks = F.ceil(F.count("*") / size)
+    if text:
+        blocks = F.greatest(blocks, F.ceil(F.sum(F.length(text)) / ROOM))
+    sizes = cut(members.groupBy(group).agg(blocks.alias("blocks")))
     dealt = members.join(sizes, group).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
     pairs = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rest = [c for c in members.columns if c != group]
@@ -355,6 +360,6 @@ def links(bands: DataFrame, texts: Callable[[DataFrame], DataFrame], plan: Plan)
     near = compared(in_blocks(members.select("bucket", "id", "w", "low"), "bucket", BUCKET), "low", _near, _near_pairs)
     groups = cut(connected_components(cut(near.select(F.col("id").alias("src"), F.col("parent").alias("dst")))))
     rows = known.drop("low").join(groups, "id")
-    found = cut(compared(in_blocks(rows.select("component", "id", "w", "text"), "component", BLOCK), "text", partial(similar, plan=plan), partial(similar_pairs, plan=plan)))
+    found = cut(compared(in_blocks(rows.select("component", "id", "w", "text"), "component", BLOCK, "text"), "text", partial(similar, plan=plan), partial(similar_pairs, plan=plan)))
     joined = connected_components(found.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
     return cut(found.groupBy("id").agg(F.sum("links").alias("n_links")).join(joined, "id"))
