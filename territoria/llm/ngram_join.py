@@ -34,8 +34,10 @@ def _classed(docs: DataFrame, plan: Plan) -> DataFrame:
     def texts(wanted: DataFrame) -> DataFrame:
         one = keyed.join(wanted, "id").select("id", "class_id", "h1", "h2", "w")
         held = cut(one)
-        near = likely_in(rows.where("text <> ''"), held, F.col("h1"), F.col("h1"))
-        return near.join(held.withColumnRenamed("class_id", "doc_id"), ["doc_id", "h1", "h2"]).groupBy("id").agg(F.first("w").alias("w"), F.first("text").alias("text"))
+        # by doc_id first: only the texts wanted are put in normal form again
+        near = likely_in(documents_of(docs, "doc_id", "text"), held, F.col("doc_id"), F.col("class_id"))
+        same = _hashed(near.select("doc_id", _normal().alias("text")), "text")
+        return same.join(held.withColumnRenamed("class_id", "doc_id"), ["doc_id", "h1", "h2"]).groupBy("id").agg(F.first("w").alias("w"), F.first("text").alias("text"))
 
     found = links(keyed.select("id", "bands"), texts, plan)
     linked = keyed.select("id", "class_id", "h1", "h2").join(found, "id")
