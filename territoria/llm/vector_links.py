@@ -53,8 +53,14 @@ def _codes(trees: list[int], bits: int):
     return run
 
 
-def _nearest(keys: list[str], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The k nearest of each vector within its group, as a row per vector."""
+def _nearest(keys: list[str], k: int, outside: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each vector within its group (of other components, where `outside`), as a row per vector."""
+    found: list[tuple[int, list[int], list[float]]] = []
+
+    def listed() -> pa.RecordBatch:
+        ids, near, cosine = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosine, pa.list_(pa.float64()))], ["id", "near", "cosine"])
+
     for group in runs(batches, keys):
         ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
         if len(ids) < 2:
@@ -62,9 +68,24 @@ def _nearest(keys: list[str], k: int, batches: Iterator[pa.RecordBatch]) -> Iter
         v = _unit(floats(group.column("vector"))[first])
         s = v @ v.T
         np.fill_diagonal(s, -2)
+        if outside:
+            of = group.column("component").to_numpy()[first]
+            other = of[:, None] != of[None, :]
+            met = np.flatnonzero(other.any(axis=1))
+            s = np.where(other, s, -2)
+            for i in met.tolist():
+                n = min(k, int(other[i].sum()))
+                near = np.argpartition(-s[i], n - 1)[:n]
+                found.append((int(ids[i]), ids[near].tolist(), s[i, near].tolist()))
+            if len(found) > 5000:
+                yield listed()
+                found.clear()
+            continue
         n = min(k, len(ids) - 1)
         near = np.argpartition(-s, n - 1, axis=1)[:, :n]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[near].tolist(), pa.list_(pa.int64())), pa.array(np.take_along_axis(s, near, axis=1).tolist(), pa.list_(pa.float64()))], ["id", "near", "cosine"])
+    if found:
+        yield listed()
 
 
 def _merged(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +112,9 @@ def _split(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
 def _searched(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Lists of the nearest within each group of keys (parts of it, where it is large)."""
     keys = [*keys, "part"]
-    ready = rows.select(*(F.col(x).cast("long").alias(x) for x in keys), "id", "vector").repartition(*keys).sortWithinPartitions(*keys)
-    return ready.mapInArrow(partial(_nearest, keys, k), LISTS)
+    outside = [c for c in rows.columns if c == "component"]
+    ready = rows.select(*(F.col(x).cast("long").alias(x) for x in keys), "id", "vector", *outside).repartition(*keys).sortWithinPartitions(*keys)
+    return ready.mapInArrow(partial(_nearest, keys, k, bool(outside)), LISTS)
 
 
 def _best(lists: DataFrame, k: int) -> DataFrame:
@@ -100,23 +122,27 @@ def _best(lists: DataFrame, k: int) -> DataFrame:
 
 
 def _planted(vectors: DataFrame, trees: list[int], k: int) -> DataFrame:
-    """First lists: the nearest within leaves of random trees, as deep as each label's vectors need."""
+    """First lists: the nearest within leaves of random trees, as deep as each label's vectors need. Where vectors have a
+    component, only those of other components are listed, here and in _descended."""
     sizes = vectors.groupBy("space").agg(F.count("*").alias("_n"))
-    coded = vectors.mapInArrow(_codes(trees, 24), "id long, space long, vector array<float>, codes array<bigint>")
+    outside = [c for c in vectors.columns if c == "component"]
+    slim = vectors.select("id", "space", "vector", *outside)
+    coded = slim.mapInArrow(_codes(trees, 24), ", ".join(f"{n} {t}" for n, t in slim.dtypes) + ", codes array<bigint>")
     depth = F.least(F.greatest(F.ceil(F.log2(F.col("_n") / LEAF)), F.lit(0)), F.lit(24)).cast("int")
-    leaves = coded.join(cut(sizes), "space").withColumn("depth", depth).select("id", "space", "vector", "depth", F.posexplode("codes").alias("tree", "code"))
-    leaves = cut(leaves.select("id", "space", "vector", "tree", F.expr("code & (shiftleft(1L, depth) - 1)").alias("leaf")))
+    leaves = coded.join(cut(sizes), "space").withColumn("depth", depth).select(*slim.columns, "depth", F.posexplode("codes").alias("tree", "code"))
+    leaves = cut(leaves.select(*slim.columns, "tree", F.expr("code & (shiftleft(1L, depth) - 1)").alias("leaf")))
     out = _searched(_split(leaves, ["space", "tree", "leaf"], 2 * LEAF), ["space", "tree", "leaf"], k)
     return out
 
 
-def _descended(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """One round: the neighbours of each vector, and the vectors that it is a neighbour of, meet, and each finds its
-    nearest among them. Vectors with many such relations are dealt into parts."""
-    edges = graph.select(F.col("id").alias("v"), F.explode("near").alias("u"))
-    both = edges.select(F.col("v").alias("center"), F.col("u").alias("id")).unionByName(edges.select(F.col("u").alias("center"), F.col("v").alias("id"))).unionByName(graph.select(F.col("id").alias("center"), "id")).distinct()
+def _descended(graph: DataFrame, vectors: DataFrame, k: int, beside: DataFrame | None = None) -> DataFrame:
+    """One round: the neighbours of each vector (in `beside` too), and the vectors that it is a neighbour of, meet, and
+    each finds its nearest among them. Vectors with many such relations are dealt into parts."""
+    lists = graph.select("id", "near") if beside is None else graph.select("id", "near").unionByName(beside.select("id", "near"))
+    edges = lists.select(F.col("id").alias("v"), F.explode("near").alias("u"))
+    both = edges.select(F.col("v").alias("center"), F.col("u").alias("id")).unionByName(edges.select(F.col("u").alias("center"), F.col("v").alias("id"))).unionByName(lists.select(F.col("id").alias("center"), "id")).distinct()
     met = cut(both)
-    out = _searched(_split(met, ["center"], 8 * k).join(vectors.select("id", "vector"), "id"), ["center"], k)
+    out = _searched(_split(met, ["center"], 8 * k).join(vectors.select("id", "vector", *(c for c in vectors.columns if c == "component")), "id"), ["center"], k)
     dropped_later = graph.select("id", "near", "cosine", F.lit(True).alias("old"))
     best = _best(out.withColumn("old", F.lit(False)).unionByName(dropped_later), k)
     dropped(met)
@@ -164,12 +190,45 @@ def _audit(vectors: DataFrame, found: DataFrame, least: float) -> float:
     return float(both["f"] or 0) / both["e"] if both["e"] else 1.0
 
 
-def _linked(graph: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(id, n_links, component) from the graph's threshold edges. A list that is full of links is saturated: there may
-    be more than it holds. So lists are enlarged to the whole component that edges join, which is compared in pairs of
-    blocks, in double precision; links are counted there and never listed."""
-    edges = graph.select("id", F.explode(F.arrays_zip("near", "cosine")).alias("e")).where(F.col("e.cosine") >= least - 1e-6).select(F.col("id").alias("src"), F.col("e.near").alias("dst"))
-    groups = cut(connected_components(edges))
+def _edges(lists: DataFrame, least: float) -> DataFrame:
+    return lists.select("id", F.explode(F.arrays_zip("near", "cosine")).alias("e")).where(F.col("e.cosine") >= least - 1e-6).select(F.col("id").alias("src"), F.col("e.near").alias("dst"))
+
+
+def _settled(graph: DataFrame, vectors: DataFrame, k: int, beside: DataFrame | None = None) -> DataFrame:
+    """graph after rounds of refinement, until few lists change."""
+    size = graph.count()
+    for _ in range(ROUNDS):
+        after = _descended(graph, vectors, k, beside)
+        dropped(graph)
+        graph = after
+        changed = graph.agg(F.sum("changed")).first()[0] or 0
+        if changed <= SETTLED * k * max(size, 1):
+            break
+    return graph
+
+
+def _joined(graph: DataFrame, vectors: DataFrame, least: float, k: int, trees: int) -> DataFrame:
+    """(id, component) by the graph's threshold edges and by those that its saturated lists hide: a list that is full of
+    links may hold members of one component only, while the vector has links to another. A pair can only be missing
+    from both lists where both are saturated, so these vectors search for the nearest outside their component, and again
+    those whose new list is saturated too, until none is."""
+    edges, lists = _edges(graph, least), graph
+    while True:
+        groups = cut(connected_components(edges))
+        full = lists.where((F.size("near") >= k) & (F.element_at("cosine", -1) >= least - 1e-6)).select("id")
+        full = cut(vectors.select("id", "space", "vector").join(full, "id").join(groups, "id"))
+        several = full.groupBy("space").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("space")
+        full = cut(full.join(several, "space", "left_semi"))
+        if full.isEmpty():
+            return groups
+        lists = _best(_planted(full, list(range(trees)), k).withColumn("old", F.lit(False)), k)
+        lists = _settled(lists, full, k, graph.join(full.select("id"), "id", "left_semi"))
+        edges = edges.unionByName(_edges(lists, least))
+
+
+def _linked(groups: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """(id, n_links, component) from components (id, component) that threshold edges join. Each is compared as a whole,
+    in pairs of blocks, in double precision; links are counted there and never listed."""
     rows = vectors.join(groups, "id").select("component", "id", "w", "vector")
     found = cut(compared(in_blocks(rows, "component", BLOCK), "vector", partial(_cosines, least=least)))
     joined = connected_components(found.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
@@ -185,8 +244,9 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, neighbours: int = N
     those with a null label or vec_id, are linked with nothing. Equal vectors of a label are one vector of the graph,
     with their number as its weight. Rows that repeat a vec_id are rows like others. An empty table gives no rows.
 
-    The graph starts from random trees and is refined by NN-descent until lists settle. Saturated lists are enlarged to
-    whole components. A sample is audited by brute force; where recall is short, more trees are added.
+    The graph starts from random trees and is refined by NN-descent until lists settle. Vectors with saturated lists
+    search outside their components too; components are compared as wholes. A sample is audited by brute force;
+    where recall is short, more trees are added.
     """
     spark = embeddings.sparkSession
     batches_held(spark)
@@ -200,15 +260,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, neighbours: int = N
     graph = _best(_planted(slim, list(range(trees)), neighbours).withColumn("old", F.lit(False)), neighbours)
     planted = trees
     for attempt in range(AUDITS):
-        size = graph.count()
-        for _ in range(ROUNDS):
-            after = _descended(graph, vectors, neighbours)
-            dropped(graph)
-            graph = after
-            changed = graph.agg(F.sum("changed")).first()[0] or 0
-            if changed <= SETTLED * neighbours * max(size, 1):
-                break
-        found = _linked(graph, vectors, least)
+        graph = _settled(graph, vectors, neighbours)
+        found = _linked(_joined(graph, vectors, least, neighbours, planted), vectors, least)
         if attempt == AUDITS - 1 or _audit(vectors, found, least) >= RECALL:
             break
         more = _planted(slim, list(range(planted, planted + 2 * trees)), neighbours).withColumn("old", F.lit(False))

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,20 @@ def test_components(spark):
     got = {(x["id"], x["component"]) for x in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     nodes = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == set(components(nodes, [p for p in pairs if p[0] != p[1]]).items())
+
+
+def test_touching_groups_of_vectors(spark):
+    """Two groups of 50 whose lists hold members of their own group only, though thousands of links join the groups."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, side = unit(rng.standard_normal(64)), rng.standard_normal(64)
+    side = unit(side - (side @ a) * a)
+    b = 0.987 * a + np.sqrt(1 - 0.987**2) * side
+    v = unit(np.concatenate([c + np.sqrt(0.006 / 64) * rng.standard_normal((50, 64)) for c in (a, b)])).astype(np.float32)
+    u = unit(v.astype(np.float64))
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    nearest = np.argsort(-s, axis=1)[:, : vector_links.NEIGHBOURS]
+    assert (nearest[:50] < 50).all() and (nearest[50:] >= 50).all() and (s[:50, 50:] >= 0.98).sum() > 1000
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_links.near_vectors(spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {k: (int(n), 0) for k, n in enumerate((s >= 0.98).sum(axis=1))}
