@@ -201,3 +201,14 @@ def test_touching_groups_of_vectors(spark):
     assert (nearest[:50] < 50).all() and (nearest[50:] >= 50).all() and (s[:50, 50:] >= 0.98).sum() > 1000
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_links.near_vectors(spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
     assert got == {k: (int(n), 0) for k, n in enumerate((s >= 0.98).sum(axis=1))}
+
+
+def test_audit_counts_vectors_not_links(spark):
+    """A group with most of the links is found whole, all pairs are missed: the audit must see it."""
+    rng = np.random.default_rng(6)
+    hot = np.eye(16)[0] + 0.001 * rng.standard_normal((600, 16))
+    pairs = np.repeat(rng.standard_normal((100, 16)), 2, axis=0)
+    rows = [(k, 7, 1, x.tolist()) for k, x in enumerate(np.concatenate([hot, pairs + 0.001 * rng.standard_normal(pairs.shape)]))]
+    vectors = spark.createDataFrame(rows, "id long, space long, w long, vector array<float>")
+    found = spark.createDataFrame([(k, 599, 0) for k in range(600)], "id long, n_links long, component long")
+    assert vector_links._audit(vectors, found, 0.98) < 0.9
