@@ -14,7 +14,7 @@ from territoria.llm.common import batches_held
 
 #: Fixed values of HTML: elements without content, with raw content, that break lines, and whose end tag may be missing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article aside body div footer header html main nav ol section table td th ul blockquote form dl".split())
@@ -22,6 +22,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold the article, and words in class, id or role that mark such parts.
 ASIDE_TAGS = frozenset("nav footer aside form button select input menu dialog head header search label fieldset datalist object embed canvas audio video map".split())
 ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|skip|search|complementary|contentinfo|navigation|tags|outbrain|taboola)(?:$|[\s_-])", re.I)
+#: Names that say which parts a box has or lacks, not what it is.
+LAYOUT_NAMES = re.compile(r"(?<!\S)(?:\S*[-_])?(?:has|no|with|without)[-_]\S*", re.I)
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[/a-zA-Z][^<]*\Z""", re.S)
@@ -45,7 +47,7 @@ def _marks(attributes: str) -> tuple[bool, float]:
         return True, 0.0
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     main = bool(names) and bool(MAIN_WORDS.search(names))
-    return bool(names) and bool(ASIDE_WORDS.search(names)) and not (main and "comment" not in names.lower() and found.get("role") == "main"), 25.0 * main
+    return bool(names) and bool(ASIDE_WORDS.search(LAYOUT_NAMES.sub(" ", names))) and not (main and "comment" not in names.lower() and found.get("role") == "main"), 25.0 * main
 
 
 def _tree(page: str) -> _Box:
@@ -94,9 +96,11 @@ def _tree(page: str) -> _Box:
                     here = box.parent
                 link = 0
             continue
+        if name == "svg" and re.search(r"(?:^|[\s\"'])/$", m[3] or ""):
+            continue  # only foreign elements can be empty; in an unquoted value the slash is part of it
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = end.end() if end else at if name == "svg" else size
             continue
         if name == "br" or name in VOID and name != "hr":
             text.append(" ")
@@ -167,7 +171,7 @@ def _value(box: _Box) -> float:
 
 
 def _texts(box: _Box, out: list[str]) -> None:
-    """The blocks of a box and of what it holds, in page order, without parts beside the article and lists of links."""
+    """The blocks of a box and of what it holds, in page order, without parts beside the article."""
     stack = [(box, iter(box.items))]
     while stack:
         holder, items = stack[-1]
@@ -176,7 +180,7 @@ def _texts(box: _Box, out: list[str]) -> None:
                 if not item.bad:
                     stack.append((item, iter(item.items)))
                     break
-            elif holder.tag in HEADINGS or item[1] < 0.8 * len(item[0]) or holder.tag == "p":
+            else:
                 out.append(item[0])
         else:
             stack.pop()

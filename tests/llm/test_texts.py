@@ -195,6 +195,17 @@ def test_main_text():
     assert main_text("plain, no markup at all") == "plain, no markup at all"
 
 
+def test_main_text_keeps_what_is_in_the_article():
+    line = "This is a long sentence of the article, with commas, and with enough words that it scores well."
+    end = f"<p>{line} End.</p>"
+    for inner in ('<svg class="i"/>', "<svg>", "<math/>"):
+        assert main_text(f"<body><div><p>{line}</p>{inner}{end}</div>") == f"{line}\n{line} End."
+    assert main_text(f"<body><article><p>{line}<math><mi>x</mi>=<mn>2</mn></math></p></article>") == f"{line}x=2"
+    for name in ("has-sidebar", "no-sidebar", "layout-with-sidebar"):
+        assert main_text(f'<body><div class="content {name}"><p>{line}</p>{end}</div>') == f"{line}\n{line} End."
+    assert main_text(f'<body><article><p>{line}</p><ul><li><a href="x">A source</a></li></ul><ul class="menu"><li><a href="x">Home</a></li></ul></article>') == f"{line}\nA source"
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, f"<p>{LONG}</p>", "x"), (2, "u", f"<p>{LONG}</p>" * 5000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
