@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,49 +13,105 @@ from pyspark.sql import functions as F
 
 from territoria.llm.common import batches_held
 
-#: Fixed values of HTML: elements without content, with raw content, that break lines, and whose end tag may be missing.
+#: Fixed values of HTML: elements without content; with text that isn't markup, to their end tag or the page's end; that
+#: break lines; whose end tag may be missing; and at which the search for such an element ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg".split())
+RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article aside body div footer header html main nav ol section table td th ul blockquote form dl".split())
+STOPS = SCOPE | CLOSES.keys()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that never hold the article, and words in class, id or role that mark such parts.
-ASIDE_TAGS = frozenset("nav footer aside form button select input menu dialog head header search label fieldset datalist object embed canvas audio video map".split())
-ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|rail|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|skip|search|complementary|contentinfo|navigation|tags|outbrain|taboola)(?:$|[\s_-])", re.I)
-#: Names that say which parts a box has or lacks, not what it is.
-LAYOUT_NAMES = re.compile(r"(?<!\S)(?:\S*[-_])?(?:has|no|with|without)[-_]\S*", re.I)
+#: Inline elements that hold no text of an article; one without an end tag, or that ends in a slash, is empty.
+SKIPPED = frozenset("svg template noscript iframe noembed noframes button select datalist canvas audio video map".split())
+#: Block elements that never hold the article.
+ASIDE_TAGS = frozenset("nav footer aside form menu dialog head header search fieldset".split())
+#: Names in class, id or role that say by themselves that a part isn't the article; names that say so only together with
+#: another such name or with a plain one, as in social-links; and the plain ones.
+ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising advertorial adsense adsbygoogle adslot banner sponsor sponsored sponsors promo promos promotion nav navbar navigation navigational menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin login share sharing sharebar addthis related recommended recommendations widget widgets pagination pager paginator skiplink complementary contentinfo outbrain taboola".split())
+ASIDE_HALVES = frozenset("social side header foot head search tags tag skip rail links link media site page sticky".split())
+PLAIN_NAMES = frozenset("area bar block body bottom box btn button buttons card center column container content desktop div element float form group holder home icon icons inner item items large left list main mobile module outer panel placeholder posts primary right row secondary section slot small space the thread title top unit wide wrap wrapper zone".split())
+HALVES_ALONE = frozenset("header search".split())
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<[/a-zA-Z][^<]*\Z""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A tag: quotes count where they follow an equals sign. No part of it is tried twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 
 
 class _Box:
     """An element of the tree: its blocks of text, in page order, and its score."""
 
-    __slots__ = ("bad", "chars", "children", "inside", "items", "links", "parent", "score", "tag", "weight")
+    __slots__ = ("bad", "chars", "children", "inside", "items", "links", "parent", "score", "stop", "tag", "weight")
 
     def __init__(self, tag: str, parent: _Box | None, bad: bool, weight: float):
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
+        self.stop = self if tag in STOPS or parent is None else parent.stop  # the nearest, itself included, where a search for an open item may end
         self.tag, self.parent, self.bad, self.weight, self.score, self.chars, self.links, self.children, self.items = tag, parent, bad, weight, 0.0, 0, 0, [], []
 
 
-def _marks(attributes: str) -> tuple[bool, float]:
+def _beside(names: str, inside: bool) -> bool:
+    """Whether a class, id or role names a part beside the article: some name of it, as a whole, is well known for that,
+    or all of the words that hyphens join in it are. Names in an article that mark its own header don't count."""
+    for name in re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", names).lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+        aside = sum(x in ASIDE_NAMES for x in parts)
+        half = sum(x in ASIDE_HALVES for x in parts)
+        plain = sum(x in PLAIN_NAMES for x in parts)
+        if len(parts) != aside + half + plain or not parts:
+            continue
+        if aside or half > 1 or half and (plain or parts[0] in HALVES_ALONE) and not (inside and "header" in parts):
+            return True
+    return False
+
+
+def _marks(attributes: str, inside: bool) -> tuple[bool, float]:
     """Whether attributes mark a part beside the article, and what they add to its score."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return True, 0.0
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    main = bool(names) and bool(MAIN_WORDS.search(names))
-    return bool(names) and bool(ASIDE_WORDS.search(LAYOUT_NAMES.sub(" ", names))) and not (main and "comment" not in names.lower() and found.get("role") == "main"), 25.0 * main
+    if not names.strip():
+        return False, 0.0
+    return found.get("role") != "main" and _beside(names, inside), 25.0 * bool(MAIN_WORDS.search(names))
+
+
+class _Tags:
+    """The tags of a page, one after another, in time that is linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.tag, self.last, self.absent = page, TAG, page.rfind(">"), set()
+
+    def at(self, k: int) -> re.Match | None:
+        """The tag that starts at k, if any does. Where a quote hides all that could end it, quotes no longer count."""
+        if k > self.last:
+            return None
+        found = self.tag.match(self.page, k)
+        if not found and self.tag is TAG and self.page[k + 1 : k + 3].lstrip("/")[:1].isalpha():
+            self.tag = LOOSE_TAG
+            found = self.tag.match(self.page, k)
+        return found
+
+    def after(self, name: str, k: int) -> int:
+        """Where the element `name` that is open at k ends, nested ones of the name included; -1 where it doesn't."""
+        if name in self.absent:
+            return -1
+        depth = 1
+        for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*+>", re.I).finditer(self.page, k):
+            depth += -1 if m[1] else not m[0].endswith("/>")
+            if not depth or name in RAW and m[1]:
+                return m.end()
+        self.absent.add(name)  # what is searched for from here on isn't there either
+        return -1
 
 
 def _tree(page: str) -> _Box:
     """Boxes for block elements; runs of text between block boundaries are their items (text, characters in links)."""
     root = here = _Box("html", None, False, 0.0)
     text: list[str] = []
-    linked = link = pre_heading = 0
+    linked = link = 0
+    tags, opened = _Tags(page), Counter()
 
     def ended() -> None:
         nonlocal linked
@@ -65,45 +122,64 @@ def _tree(page: str) -> _Box:
             text.clear()
         linked = 0
 
+    def left(to: _Box) -> _Box:
+        """Where one stands when box `to`, and all open in it, have ended."""
+        box = here
+        while box is not to.parent:
+            opened[box.tag] -= 1
+            box = box.parent
+        return box
+
     at, size = 0, len(page)
     while at < size:
-        m = TOKEN.search(page, at)
-        piece = page[at : m.start() if m else size]
+        start = page.find("<", at)
+        piece = page[at : start if start >= 0 else size]
         if piece:
             text.append(piece)
             if link:
                 linked += len(piece.strip())
-        if not m:
+        if start < 0:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            if not m[0].startswith("<!") and not m[0].startswith("<?") and m.end() == size:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else size
+            continue
+        m = tags.at(start)
+        if not m:
+            if start > tags.last and page[start + 1 : start + 3].lstrip("/")[:1].isalpha():
                 break  # a tag that the page's end cuts off
+            text.append("<")
+            at = start + 1
             continue
+        at, name = m.end(), m[2].lower()
         if m[1]:
             if name == "a":
                 link = 0
             elif name == "p" or name in BLOCK:
                 ended()
-                box = here
-                while box is not None and box.tag != name:
-                    if name == "p" and box.tag in SCOPE:
-                        box = None
-                        break
-                    box = box.parent
-                if box is not None and box.parent is not None:
-                    here = box.parent
                 link = 0
+                if name == "p":
+                    here = left(here) if here.tag == "p" else here
+                elif opened[name]:
+                    box = here
+                    while box.tag != name:
+                        box = box.parent
+                    here = left(box)
             continue
-        if name == "svg" and re.search(r"(?:^|[\s\"'])/$", m[3] or ""):
-            continue  # only foreign elements can be empty; in an unquoted value the slash is part of it
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at if name == "svg" else size
+            end = tags.after(name, at)
+            at = end if end >= 0 else size
+            continue
+        if name in SKIPPED:
+            end = -1 if re.search(r"(?:^|[\s\"'])/$", m[3]) else tags.after(name, at)
+            at = end if end >= 0 else at
             continue
-        if name == "br" or name in VOID and name != "hr":
-            text.append(" ")
+        if name in VOID and name != "hr":
+            text.append(" " if name == "br" else "")
             continue
         if name == "a":
             link = 1
@@ -113,18 +189,19 @@ def _tree(page: str) -> _Box:
             if name == "hr":
                 continue
             while here.tag == "p" or here.tag in HEADINGS and name in HEADINGS:
-                here = here.parent
+                here = left(here)
             if name in CLOSES:
-                box = here
+                box = here.stop
                 while box.tag not in CLOSES[name] and box.tag not in SCOPE and box.parent is not None:
-                    box = box.parent
+                    box = box.parent.stop
                 if box.tag in CLOSES[name]:
-                    here = box.parent
-            bad, weight = _marks(m[3]) if m[3] else (False, 0.0)
+                    here = left(box)
+            bad, weight = _marks(m[3], here.inside) if m[3] else (False, 0.0)
             bad = bad or name in ASIDE_TAGS and not (name == "header" and here.inside) or here.bad
             if name == "body":
                 bad = False
             box = _Box(name, here, bad, weight)
+            opened[name] += 1
             here.children.append(box)
             here.items.append(box)
             here = box
@@ -205,7 +282,8 @@ def main_text(page: str | None) -> str:
         if isinstance(item, _Box):
             plain = item.tag == "p" and item.chars > 80 and item.links < 0.25 * item.chars
             heading = item.tag in HEADINGS and best.tag not in ("article", "main")
-            if item is best or not item.bad and (_value(item) >= enough or plain or heading):
+            alike = item.tag == best.tag == "section" and item.links < 0.25 * item.chars
+            if item is best or not item.bad and (_value(item) >= enough or plain or heading or alike):
                 _texts(item, out)
     return "\n".join(out)
 

@@ -19,109 +19,175 @@ PATTERNS = {
 }
 #: Texts without these can't hold a span of the kind, and are not searched for it.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: A token that may be an identifier: it holds a digit or an at sign.
-CANDIDATE = r"(?:\G|(?<![\p{L}\p{N}._%+@-]))[\p{L}._%+-]*+[0-9@](?:[\p{L}\p{N}._%+@-]*[\p{L}\p{N}])?"
-#: Distinct seeds that a context needs, rounds of scoring, and the confidence from which contexts and tokens count.
-SUPPORT, ROUNDS, CONFIDENT = 5, 3, 0.9
+#: Kinds that the method may add: the base ones, and secrets, which have seeds by shape but no base pattern.
+EVERY_KIND = (*KINDS, "secret")
+SECRET = r"\A(?=[0-9]*[a-f])(?=[a-f]*[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\z"
+#: What may be an identifier: a phone number or a card number with its blanks, or a token that holds a digit or an at sign.
+CANDIDATE = r"\+[0-9][\x20().0-9-]+[0-9]|(?<![\p{L}\p{N}._%+@-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\p{L}\p{N}@])|(?:\G|(?<![\p{L}\p{N}._%+@-]))[\p{L}._%+-]*+[0-9@](?:[\p{L}\p{N}._%+@-]*[\p{L}\p{N}])?"
+#: Distinct seeds that a pattern needs; the part of its patterns' belief that an unseen instance gives back; confidence
+#: from which patterns and instances count; change of scores at which they have settled.
+SUPPORT, DAMPING, CONFIDENT, SETTLED = 5, 0.8, 0.7, 0.01
+#: Elements of an array that are added up in one go: sums over long arrays then cost the square of this only.
+STEP = 256
+#: Characters of a cell of the text by which spans of one place find each other.
+CELL = 64
 
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+SPAN = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 
 
-def _valid(kind: str, hit: Column) -> Column:
-    digits = F.regexp_replace(hit, "[^0-9]", "")
+def _raw(pattern: str) -> str:
+    return f"r'{pattern}'"
+
+
+def _held(value: str, name: str, body: str) -> str:
+    """body, in SQL, where `name` is the value, worked out once however often body has it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _valid(kind: str, hit: str) -> str:
+    """Whether a match of the base pattern is a span of the kind, in SQL."""
     if kind == "ip":
-        return hit.rlike(rf"\A{PART}(?:\.{PART}){{3}}\z")
+        return f"rlike({hit}, {_raw(rf'\A{PART}(?:\.{PART}){{3}}\z')})"
     if kind == "phone":
-        return F.length(digits).between(10, 15)
+        return f"length(regexp_replace({hit}, '[^0-9]', '')) between 10 and 15"
     if kind == "card":
-        digit = lambda i: F.substring(digits, F.length(digits) - i + 1, F.lit(1)).cast("int")
-        worth = lambda i: F.when(i % 2 == 1, digit(i)).when(digit(i) > 4, 2 * digit(i) - 9).otherwise(2 * digit(i))
-        total = F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + worth(i))
-        return F.when(F.length(digits).between(14, 19), total % 10 == 0).otherwise(False)
-    return F.lit(True)
+        digit = "cast(substring(d, -i, 1) as int)"
+        worth = f"case when i % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end"
+        return _held(f"regexp_replace({hit}, '[^0-9]', '')", "d", f"case when length(d) between 14 and 19 then aggregate(sequence(1, length(d)), 0, (a, i) -> a + {worth}) % 10 = 0 else false end")
+    return "true"
+
+
+def _summed(xs: str) -> str:
+    """The sum of numbers (at), and the sums before each (out), in SQL."""
+    return f"aggregate({xs}, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x, 'out', concat(a.out, array(a.at))))"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches as structs (start, end, hit), in code points: the lengths of what is between them, added up."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+def _starts(lengths: str) -> str:
+    """The sums of the numbers before each element, in SQL. Steps of STEP elements are summed by themselves and then
+    shifted, so no array is copied once for each of its elements."""
+    steps = f"transform(case when size(xs) > 0 then sequence(1, size(xs), {STEP}) else cast(array() as array<int>) end, k -> {_summed(f'slice(xs, k, {STEP})')})"
+    shifted = f"flatten(zip_with(steps, {_summed('transform(steps, s -> s.at)')}.out, (s, b) -> transform(s.out, x -> x + b)))"
+    return _held(_held(lengths, "xs", steps), "steps", shifted)
 
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["gap"])
-        end = start + F.length(z["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), z["hit"].alias("hit")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(z["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), zero, step, lambda acc: acc["out"])
+def spans(text: str, pattern: str) -> Column:
+    """All matches in a column as structs (start, end, hit, before, after), in code points: the lengths of what is
+    between them, added up. before and after are what lies between a match and its neighbours."""
+    between = "zip_with(z.gaps, z.hits, (g, h) -> length(g) + coalesce(length(h), 0))"
+    found = "transform(sequence(0, size(z.hits) - 1), k -> named_struct('at', firsts[k], 'hit', z.hits[k], 'before', z.gaps[k], 'after', z.gaps[k + 1]))"
+    span = "x -> named_struct('start', x.at + length(x.before), 'end', x.at + length(x.before) + length(x.hit), 'hit', x.hit, 'before', x.before, 'after', x.after)"
+    placed = _held(_starts(between), "firsts", f"transform({found}, {span})")
+    made = f"case when size(z.hits) > 0 then {placed} else cast(array() as {SPAN}) end"
+    return F.expr(_held(f"named_struct('gaps', split({text}, {_raw(pattern)}, -1), 'hits', regexp_extract_all({text}, {_raw(pattern)}, 0))", "z", made))
 
 
-def _context(text: Column, s: Column) -> Column:
-    """The one and the two words before a span, as two patterns; an empty one where there are fewer."""
-    before = F.lower(F.substring(text, F.greatest(s["start"] - 79, F.lit(1)), F.least(s["start"], F.lit(80))))
-    one, two = F.regexp_extract(before, r"(\S+)\s*\z", 1), F.regexp_extract(before, r"(\S+\s+\S+)\s*\z", 1)
-    return F.array(one, F.regexp_replace(two, r"\s+", " "))
+def _words(text: str) -> str:
+    """The words of a piece of text in lower case, digits as 0, in SQL."""
+    return f"filter(split(regexp_replace(lower({text}), {_raw(r'\p{N}')}, '0'), ' '), w -> w <> '')"
 
 
-def _filtered(found: Column, kind: str) -> Column:
-    return F.filter(found, lambda s: _valid(kind, s["hit"]))
+def _patterns() -> str:
+    """The lexical patterns around a candidate s, in SQL: one to three words before it, the word after it, and one on
+    both sides. Where a neighbouring candidate (last, following) is nearer, it is one of the words."""
+    blank = lambda x: f"translate({x}, '\\n\\t\\r\\u000b\\u000c', '     ')"
+    left = _words(f"substring_index(concat(coalesce(y.last, ''), {blank('y.s.before')}), ' ', -5)")
+    right = _words(f"substring_index(ltrim(concat({blank('y.s.after')}, coalesce(y.following, ''))), ' ', 1)")
+    tail = lambda n: f"case when size(p.l) >= {n} then concat(array_join(slice(p.l, -{n}, {n}), ' '), ' _') end"
+    one = "get(p.r, 0)"  # at the end of the text there is no word, and no pattern of it
+    made = f"filter(array({tail(1)}, {tail(2)}, {tail(3)}, concat('_ ', {one}), concat({tail(1)}, ' ', {one})), q -> q is not null)"
+    return _held(f"named_struct('l', {left}, 'r', {right})", "p", made)
 
 
-def _named(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit")))
+def _kind(hit: str) -> str:
+    """The kind of a candidate that is a base span or a secret as a whole, a seed, in SQL."""
+    whole = " ".join(f"when rlike({hit}, {_raw(rf'\A(?:{PATTERNS[k]})\z')}) and {_valid(k, hit)} then '{k}'" for k in KINDS)
+    return f"case when rlike({hit}, {_raw(SECRET)}) then 'secret' {whole} end"
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, base, seen): the base spans of each text (start, place, kind, end), and all identifier-like tokens
-    with their contexts (start, end, hit, kind or null, contexts). h tells rows of one doc_id apart."""
+    """(doc_id, h, base, seen): the base spans of each text (start, place, kind, end), and all that may be identifiers
+    (start, end, token, seed, patterns); seed is the kind of one that is known. h tells rows of one doc_id apart."""
     rows = documents_of(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    text, none = F.col("text"), F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    text, none = F.col("text"), F.expr(f"cast(array() as {SPAN})")
     for kind in KINDS:
         may = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9]")
-        rows = rows.withColumn(kind, F.when(may, _filtered(spans(text, PATTERNS[kind]), kind)).otherwise(none))
-    base = F.concat(*(_named(kind) for kind in KINDS))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), base.alias("base"))
-    tokens = F.when(text.rlike("[0-9@]"), spans(text, CANDIDATE)).otherwise(none)
-    apart = F.filter(tokens, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    seen = F.concat(
-        F.transform("base", lambda s: F.struct(s["start"], s["end"], s["hit"], s["kind"].alias("kind"), _context(text, s).alias("contexts"))),
-        F.transform(apart, lambda s: F.struct(s["start"], s["end"], s["hit"], F.lit(None).cast("string").alias("kind"), _context(text, s).alias("contexts"))),
-    )
-    plain = F.array_sort(F.transform("base", lambda s: F.struct(s["start"], s["place"], s["kind"], s["end"])))
-    return rows.select("doc_id", "h", plain.alias("base"), seen.alias("seen"))
-
-
-def discovered(found: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
-    """(doc_id, h, start, end, kind, context, confidence): tokens that no base pattern matches but that stand in contexts
-    of seeds. Contexts with `support` distinct seeds of a kind and the tokens in them are a graph. A context's score is
-    the mean of its tokens' (with one added that has none), a token's is that of its contexts by noisy-or, a seed's is
-    1; after some rounds, confident tokens of confident contexts count."""
-    seen = found.select("doc_id", "h", F.explode("seen").alias("s")).select("doc_id", "h", "s.start", "s.end", F.lower("s.hit").alias("token"), "s.kind", F.explode("s.contexts").alias("context")).where("context <> ''")
-    edges = seen.groupBy("context", "token").agg(F.max("kind").alias("seed"))
-    seeds = cut(edges.where("seed is not null").groupBy("context", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support))
-    graph = cut(edges.join(seeds, "context").select("context", "token", "seed", "kind"))
-    known = F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNotNull(), 0.0)
-    scored = graph.withColumn("score", F.coalesce(known, F.lit(0.0)))
-    for _ in range(rounds):
-        contexts = cut(scored.groupBy("context", "kind").agg((F.sum("score") / (F.count("*") + 1)).alias("p")))
-        rated = graph.join(contexts, ["context", "kind"])
-        tokens = cut(rated.where("seed is null").groupBy("token", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least("p", F.lit(0.999)))))).alias("s")))
-        scored = rated.join(tokens, ["token", "kind"], "left").withColumn("score", F.coalesce(known, "s", F.lit(0.0)))
-    good = cut(scored.where(F.col("seed").isNull() & (F.col("p") >= confident) & (F.col("score") >= confident)).select("context", "token", "kind", F.col("score").alias("confidence")))
-    return seen.where("kind is null").drop("kind").join(good, ["context", "token"]).groupBy("doc_id", "h", "start", "end").agg(F.max(F.struct("confidence", "kind", "context")).alias("m")).select("doc_id", "h", "start", "end", "m.kind", "m.context", "m.confidence")
-
-
-def personal_data(docs: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
+        rows = rows.withColumn(kind, F.when(may, spans("text", PATTERNS[kind])).otherwise(none))
+    rows = rows.withColumn("all", F.when(text.rlike("[0-9@]"), spans("text", CANDIDATE)).otherwise(none))
+    named = (f"transform(filter({k}, s -> {_valid(k, 's.hit')}), s -> named_struct('start', s.start, 'place', {n}, 'kind', '{k}', 'end', s.end))" for n, k in enumerate(KINDS))
+    beside = "transform(xs, (s, k) -> named_struct('s', s, 'last', case when k > 0 then xs[k - 1].hit end, 'following', get(xs, k + 1).hit))"
+    one = f"y -> named_struct('start', y.s.start, 'end', y.s.end, 'token', lower(y.s.hit), 'seed', {_kind('y.s.hit')}, 'patterns', {_patterns()})"
+    seen = _held("all", "xs", f"transform({beside}, {one})")
+    return rows.select("doc_id", F.xxhash64("text").alias("h"), F.expr(f"array_sort(concat({', '.join(named)}))").alias("base"), F.expr(seen).alias("seen"))
+
+
+def _scored(edges: DataFrame, known: DataFrame, support: int, settled: float) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, p) and (token, kind, s) from the graph of patterns and instances (pattern, token). known: (token,
+    kind, s), what is believed of some instances and stays; others start at nothing. A pattern with `support` known
+    instances of a kind is worth the mean of all its instances, one that is none of the kind added; an unseen instance
+    gives back the noisy-or of its patterns, damped, so many unseen ones keep a pattern down. Scores are worked out again
+    and again until none moves by more than `settled`; by the damping that is a matter of some rounds."""
+    seeded = cut(edges.join(known, "token"))
+    worthy = cut(seeded.groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("s").alias("sure")).where(F.col("seeds") >= support))
+    sizes = edges.join(worthy.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("n"))
+    base = cut(worthy.join(sizes, "pattern"))
+    open_ = cut(edges.join(known.select("token").distinct(), "token", "left_anti").join(base.select("pattern", "kind"), "pattern"))
+    patterns = cut(base.select("pattern", "kind", (F.col("sure") / (F.col("n") + 1)).alias("p")))
+    while True:
+        tokens = cut(open_.join(patterns, ["pattern", "kind"]).groupBy("token", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least("p", F.lit(0.999)))))).alias("s")))
+        back = open_.join(tokens, ["token", "kind"]).groupBy("pattern", "kind").agg((F.sum("s") * DAMPING).alias("back"))
+        after = cut(base.join(back, ["pattern", "kind"], "left").join(patterns, ["pattern", "kind"]).select("pattern", "kind", ((F.col("sure") + F.coalesce("back", F.lit(0.0))) / (F.col("n") + 1)).alias("now"), "p"))
+        moved = after.agg(F.max(F.abs(F.col("now") - F.col("p")))).first()[0]
+        patterns = after.select("pattern", "kind", F.col("now").alias("p"))
+        if moved is None or moved <= settled:
+            return patterns, tokens
+
+
+def discovered(found: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, settled: float = SETTLED) -> DataFrame:
+    """(doc_id, h, start, end, kind, pattern, confidence): candidates that stand in patterns of which seeds are known.
+
+    Seeds, the base spans and tokens of a secret's shape, induce patterns; the graph of patterns and instances is scored
+    (see _scored); instances that confident patterns hold and that are confident themselves become seeds, which induce
+    patterns of their own, until there are no new ones. A secret's shape alone is no finding: it counts as one where a
+    confident pattern holds it."""
+    seen = found.select("doc_id", "h", F.explode("seen").alias("s")).select("doc_id", "h", "s.*").select("doc_id", "h", "start", "end", "token", "seed", F.explode("patterns").alias("pattern"))
+    every = cut(seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
+    edges = every.select("pattern", "token")
+    known = cut(every.where("seed is not null").groupBy("token").agg(F.max("seed").alias("kind")).withColumn("s", F.lit(1.0)))
+    while True:
+        patterns, tokens = _scored(edges, known, support, settled)
+        good = cut(patterns.where(F.col("p") >= confident))
+        sure = tokens.where(F.col("s") >= confident).groupBy("token").agg(F.max(F.struct("s", "kind")).alias("m")).select("token", "m.kind", "m.s")
+        new = cut(sure.join(known, "token", "left_anti").join(edges.join(good, "pattern").select("token", "kind").distinct(), ["token", "kind"], "left_semi"))
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new.select("token", "kind", "s")))
+    of_kind = cut(edges.join(good, "pattern").join(known, ["token", "kind"]).groupBy("token", "pattern").agg(F.max(F.struct(F.least("s", "p").alias("confidence"), "kind")).alias("m")))
+    hits = seen.where(F.col("seed").isNull() | (F.col("seed") == "secret")).join(of_kind, ["token", "pattern"])
+    return hits.groupBy("doc_id", "h", "start", "end").agg(F.max(F.struct("m.confidence", "m.kind", "pattern")).alias("x")).select("doc_id", "h", "start", "end", "x.kind", "x.pattern", "x.confidence")
+
+
+def _apart(extra: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of extra that overlap no base span of their text: spans are compared only in the cells both touch."""
+    cells = lambda df: df.withColumn("cell", F.explode(F.expr(f"sequence(start div {CELL}, (end - 1) div {CELL})")))
+    base = cells(found.select("doc_id", "h", F.explode("base").alias("s")).select("doc_id", "h", F.col("s.start").alias("start"), F.col("s.end").alias("end")))
+    hit = cells(extra).alias("x").join(base.alias("b"), F.expr("x.doc_id <=> b.doc_id and x.h = b.h and x.cell = b.cell and b.start < x.end and x.start < b.end"))
+    return extra.alias("e").join(cut(hit.select("x.doc_id", "x.h", "x.start", "x.end").distinct()).alias("o"), F.expr("e.doc_id <=> o.doc_id and e.h = o.h and e.start = o.start and e.end = o.end"), "left_anti")
+
+
+def personal_data(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, settled: float = SETTLED) -> DataFrame:
     """Personal data of whole texts.
 
     Returns a row per row of docs (doc_id, text; other columns are ignored): doc_id, base (spans of the base patterns:
-    start, place, kind, end; code points, end exclusive), extra (those that contexts add, alike), spans (both, in
-    order). A null text counts as empty; texts without personal data have empty arrays. Rows that repeat a doc_id and
-    its text have equal spans; an empty table gives no rows. Contexts hold counts only while they are scored, so a very
-    common one is no burden.
+    start, place, kind, end; code points, end exclusive), extra (those that patterns add, alike: of the base kinds, or
+    secrets, in last place), spans (both, in order). A null text counts as empty; texts without personal data have empty
+    arrays. Rows that repeat a doc_id and its text have equal spans, and count once as evidence; an empty table gives no
+    rows. Of kinds equally likely the last by name counts. Patterns hold counts only while they are scored, so a very
+    common one is no burden, and texts cost time in proportion to their length.
     """
     found = cut(found_in(docs))
-    place = F.element_at(F.create_map(*(F.lit(x) for n, k in enumerate(KINDS) for x in (k, n))), F.col("kind"))
-    extra = discovered(found, support, rounds, confident).withColumn("place", place)
+    place = F.element_at(F.create_map(*(F.lit(x) for n, k in enumerate(EVERY_KIND) for x in (k, n))), F.col("kind"))
+    extra = _apart(cut(discovered(found, support, confident, settled)), found).withColumn("place", place)
     extra = cut(extra.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "place", "kind", "end"))).alias("extra")))
     rows = found.alias("f").join(extra.alias("x"), F.expr("f.doc_id <=> x.doc_id and f.h = x.h"), "left")
     return rows.select("f.doc_id", "f.base", F.coalesce("x.extra", F.array().cast("array<struct<start:int,place:int,kind:string,end:int>>")).alias("extra")).withColumn("spans", F.array_sort(F.concat("base", "extra")))

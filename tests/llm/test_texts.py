@@ -157,10 +157,45 @@ def test_base_spans_of_all_documents(spark):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in base) for k in pii.KINDS]
 
 
-def test_contexts_find_new_identifiers(spark):
+def test_patterns_find_new_identifiers(spark):
     rows = [(k, f"please write to x{k}@example.com today") for k in range(30)] + [(50, "please write to jane-99 today"), (51, "room 12 is jane-99 or b7")]
-    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [(s["kind"], s["start"], s["end"]) for s in got[50]["extra"]] == [("email", 16, 23)] and got[51]["extra"] == []
+    rows += [(60 + k, f"reach jane-99 under q{k % 7} now") for k in range(3)]
+    rows += [(100 + k, f"page {k + 100} and 10.0.{k // 4}.{k} here") for k in range(16)] + [(200 + k, f"page x{k}@example.org") for k in range(5)]  # "page" mostly holds numbers
+    got = {r["doc_id"]: r for r in pii.personal_data(clashing(spark, rows + ODD)).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[50]["extra"]] == [("email", 16, 23)]
+    assert all(not r["extra"] for k, r in got.items() if k != 50)
+    assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_found_instances_become_seeds(spark):
+    """Five tokens that no base pattern matches are found next to seeds, and induce a pattern in which a sixth stands."""
+    rows = [(k, f"mail to u{k}@example.com please") for k in range(40)] + [(100 + k, f"mail to user-{k}7 please") for k in range(6)] + [(200 + k, f"signed by user-{k}7 himself") for k in range(6)] + [(300, "signed by other-77 himself")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["extra"]] for r in pii.personal_data(docs).collect()}
+    assert all(got[100 + k] == [("email", 8)] for k in range(6)) and all(got[200 + k] == [("email", 10)] for k in range(6)) and got[300] == [("email", 10)]
+
+
+def test_secrets_of_all_documents(spark):
+    """The tables hold secrets that no base pattern matches; all that the method adds are such, and nearly all are found."""
+    d = "/root/testdata/sf0.01"
+    wanted = {(r["doc_id"], m.start(1), m.end(1)) for r in queries.table(spark, d, "documents").collect() for m in re.finditer(r'token[^\w\s]* [=][^\w\s]* "([0-9a-f]{40})"', r["text"], re.I)}
+    got = {(r["doc_id"], s["start"], s["end"]) for r in pii.personal_data(queries.table(spark, d, "documents")).collect() for s in r["extra"]}
+    assert len(got & wanted) >= 0.9 * len(got) and len(got & wanted) >= 0.9 * len(wanted) and len(wanted) > 10
+
+
+def test_spans_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = " ".join(str(100_000 + k) for k in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text.replace(" ", "@x.yz ")), (3, "9" * n * 4)], "doc_id long, text string")
+        began = time.time()
+        seen = docs.transform(pii.found_in).agg(F.sum(F.size("seen")).alias("n"), F.sum(F.size("base")).alias("b")).first()
+        assert seen["b"] == n - 1 and seen["n"] > n
+        return time.time() - began
+
+    took(1000)
+    assert took(50_000) < 20
 
 
 # extraction
@@ -206,9 +241,61 @@ def test_main_text_keeps_what_is_in_the_article():
     assert main_text(f'<body><article><p>{line}</p><ul><li><a href="x">A source</a></li></ul><ul class="menu"><li><a href="x">Home</a></li></ul></article>') == f"{line}\nA source"
 
 
+def test_names_and_elements_beside_the_article():
+    end = f"<p>{LONG} End.</p>"
+    kept = ('<svg class="i"/>', "<svg>", "<svg><svg></svg>x</svg>", "<iframe src=x />", "<iframe src=a>", "<template/>", "<template><p>x</p></template>", "<button>Go</button>", '<a "', "<select><option>one</select>")
+    for inner in kept:
+        assert main_text(f"<body><div><p>{LONG}</p>{inner}{end}</div>") == f"{LONG}\n{LONG} End.", inner
+    for name in ('class="social science"', 'id="side-effects"', 'class="tags-explained"', 'class="header-history"', 'class="sharepoint"'):
+        assert main_text(f"<body><div><p>{LONG}</p><section {name}>{end}</section></div>") == f"{LONG}\n{LONG} End.", name
+    for name in ('class="ad"', 'class="ad-container"', 'id="cookieBanner"', 'class="social-links"', 'class="related-posts"', 'class="site-header"', 'class="left sidebar"', 'class="comment-list"', 'id=comments', 'class="newsletter-signup"', 'role="navigation"', "hidden"):
+        assert main_text(f"<body><div><p>{LONG}</p>{end}<div {name}><p>{LONG} x</p></div></div>") == f"{LONG}\n{LONG} End.", name
+
+
+LAYOUTS = {
+    "{a}": ("<table><tr><td class=menu><ul><li><a href=1>Home</a></ul></td><td>", "</td></tr></table>"),
+    "divs": ('<div id="page"><div class="header"><a href="/">Site</a></div><div class="col-8">', '</div><div class="sidebar"><p>Popular now, with many words, and commas, and more.</p></div></div><div id="footer">Imprint</div>'),
+    "main": ("<header><h2>Site</h2></header><nav><a href=1>One</a></nav><main>", "</main><aside><p>An aside that is long enough, with commas, to score.</p></aside><footer>(c)</footer>"),
+    "sections": ('<div class="wrapper"><section>', f"</section></div><form><p>{'Write to us, please. ' * 9}</p></form>"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_pages_of_other_layouts(name):
+    """Built from blocks, so what is the article is known without reading the page."""
+    import random
+
+    r = random.Random(name)
+    before, after = LAYOUTS[name]
+    for _ in range(40):
+        blocks, body = [], []
+        for k in range(r.randrange(3, 9)):
+            words = " ".join(r.choice(("alpha", "beta", "gamma,", "delta", "eps &amp; zeta")) for _ in range(r.randrange(12, 80)))
+            kind = r.choice(("p", "p", "p", "li", "h2", "quote", "refs"))
+            text = f"{k} {words}".replace("&amp;", "&")
+            body.append({"p": f"<p>{k} {words}</p>", "li": f"<ul><li>{k} {words}</ul>", "h2": f"<h2>{k} {words}</h2>", "quote": f"<blockquote class='social science'>{k} {words}</blockquote>", "refs": f"<ul><li><a href=x>{k} {words}</a></li></ul>"}[kind])
+            blocks.append(text)
+        body.append(f"<p>{LONG} {LONG}</p><p>{LONG} {LONG}</p>")
+        assert main_text(f"<html><body>{before}{''.join(body)}{after}</body></html>") == "\n".join([*blocks, f"{LONG} {LONG}", f"{LONG} {LONG}"])
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    size = 1_000_000
+    for part in ("<a \"", "<a x=\"", "<svg>", "<", "<!-- ", "<p>", "</div>", "<div></section>", "<a x=\">", "&"):
+        began = time.process_time()
+        main_text(part * (size // len(part)))
+        assert time.process_time() - began < 6, part
+    for page in ("<div>" * 100_000 + "</section>" * 50_000, "<figure>" * 60_000 + "<li></li>" * 50_000, "<li><div>" + "<figure>" * 60_000 + "<li></li>" * 50_000):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 6, page[:30]
+
+
 def test_pages_odd_rows(spark):
-    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, f"<p>{LONG}</p>", "x"), (2, "u", f"<p>{LONG}</p>" * 5000, "x")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    rows = [(1, "u", None, *"xyzw"), (1, "u", None, *"xyzw"), (None, None, f"<p>{LONG}</p>", *"xyzw"), (2, "u", f"<p>{LONG}</p>" * 5000, *"xyzw")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string, row string, id string")
     got = extracted_text(pages).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, len(LONG), 5000 * (len(LONG) + 1) - 1]
     assert extracted_text(pages.limit(0)).count() == 0
