@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ REDUCER_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a session in one process gets a
+    temporary folder of its own; one with executors on other machines has no folder that they all see, which is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.territoria.scratch", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.territoria.scratch", at := tempfile.mkdtemp(prefix="territoria-"))
     return at
 

@@ -201,21 +201,22 @@ def in_blocks(members: DataFrame, group: str, size: int, text: str | None = None
     return pairs.select(F.col(group).alias("g"), F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"), (F.col("b") > F.col("other")).cast("long").alias("side"), *rest)
 
 
-def compared(blocks: DataFrame, payload: str, linked: Callable[[list, list | None], np.ndarray], paired: Callable[[list, list], np.ndarray] | None = None) -> DataFrame:
-    """(id, links, parent) for members that have a link in a pair of blocks: links is the weight w of what they are
+def compared(blocks: DataFrame, payload: list[str], linked: Callable[[pa.Table, pa.Table | None], np.ndarray], paired: Callable[[pa.Table, pa.Table], np.ndarray] | None = None) -> DataFrame:
+    """(g, id, links, parent) for members that have a link in a pair of blocks: links is the weight w of what they are
     linked with there, parent the smallest id that links there lead to. linked(left, right or None) is a matrix of
-    booleans; paired(left, right), a vector, serves groups of two, many at once. Pairs never leave the task; there are
-    no more rows than members of blocks."""
+    booleans over rows with the columns g and payload; paired(left, right), a vector, serves groups of two, many at once.
+    Pairs never leave the task; there are no more rows than members of blocks."""
     batches_held(blocks.sparkSession)
+    names, columns = ["g", "id", "links", "parent"], ["g", *payload]
 
     def in_twos(twos: list[pa.Table]) -> pa.RecordBatch:
         both = pa.concat_tables(twos)
-        ids, w, data = both.column("id").to_numpy(), both.column("w").to_numpy(), both.column(payload)
-        hit = paired(list(data.take(pa.array(np.arange(0, len(ids), 2)))), list(data.take(pa.array(np.arange(1, len(ids), 2)))))
-        hit = np.repeat(hit & (ids[::2] != ids[1::2]), 2)
+        g, ids, w = (both.column(c).to_numpy() for c in ("g", "id", "w"))
+        left, right = (both.select(columns).take(pa.array(np.arange(k, len(ids), 2))) for k in (0, 1))
+        hit = np.repeat(paired(left, right) & (ids[::2] != ids[1::2]), 2)
         least = np.repeat(np.minimum(ids[::2], ids[1::2]), 2)
         other = w.reshape(-1, 2)[:, ::-1].ravel()
-        return pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(other[hit], pa.int64()), pa.array(least[hit], pa.int64())], ["id", "links", "parent"])
+        return pa.RecordBatch.from_arrays([pa.array(x[hit], pa.int64()) for x in (g, ids, other, least)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twos: list[pa.Table] = []
@@ -231,31 +232,52 @@ def compared(blocks: DataFrame, payload: str, linked: Callable[[list, list | Non
             ids, w, side = (group.column(c).to_numpy() for c in ("id", "w", "side"))
             if len(ids) < 2:
                 continue
-            data = group.column(payload)
             within = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
             a = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
             b = a if within else np.flatnonzero(side == 1)
             if not len(a) or not len(b):
                 continue
-            m = linked([data[int(k)] for k in a], None if within else [data[int(k)] for k in b])
+            data = group.select(columns)
+            m = linked(data, None) if within else linked(data.take(pa.array(a)), data.take(pa.array(b)))
             links = np.zeros(len(ids), np.int64)
             i, j = np.nonzero(m)
-            if within:
-                np.add.at(links, a[i], w[b[j]])
-            else:
-                np.add.at(links, a[i], w[b[j]])
+            np.add.at(links, a[i], w[b[j]])
+            if not within:
                 np.add.at(links, b[j], w[a[i]])
             order = np.argsort(ids, kind="stable")  # so that the smallest index is the smallest id
             place = np.empty_like(order)
             place[order] = np.arange(len(ids))
             root = ids[order][roots(len(ids), place[a[i]], place[b[j]])[place]]
             hit = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array(root[hit], pa.int64())], ["id", "links", "parent"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit], pa.int64()) for x in (group.column("g").to_numpy(), ids, links, root)], names)
         if twos:
             yield in_twos(twos)
 
-    ready = blocks.select("g", "bi", "bj", "side", "id", "w", payload).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "id")
-    return ready.mapInArrow(run, "id long, links long, parent long")
+    ready = blocks.select("g", "bi", "bj", "side", "id", "w", *payload).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "id")
+    return ready.mapInArrow(run, "g long, id long, links long, parent long")
+
+
+def first_met(left: pa.Table, right: pa.Table | None) -> np.ndarray:
+    """Which rows share no smaller bucket (column own, sorted) than the one they are compared in (g): of all buckets that
+    a pair shares, one tells it so, and the pair counts there only."""
+    g = left.column("g")[0].as_py()
+    n, both = left.num_rows, left.column("own").to_pylist() + (right.column("own").to_pylist() if right is not None else [])
+    who = np.array([k for k, own in enumerate(both) for x in own if x < g], np.int64)
+    what = np.array([x for own in both for x in own if x < g], np.int64)
+    met = np.zeros((n, n if right is None else len(both) - n), np.float32)
+    if len(what):
+        _, column, count = np.unique(what, return_inverse=True, return_counts=True)
+        held = count[column] > 1
+        who, column = who[held], np.unique(column[held], return_inverse=True)[1]
+        bits = np.zeros((len(both), int(column.max()) + 1 if len(column) else 1), np.float32)
+        bits[who, column] = 1
+        met = bits[:n] @ (bits if right is None else bits[n:]).T
+    return met == 0
+
+
+def first_met_pairs(left: pa.Table, right: pa.Table) -> np.ndarray:
+    g, a, b = (x.to_pylist() for x in (left.column("g"), left.column("own"), right.column("own")))
+    return np.array([min(set(x) & set(y), default=k) >= k for k, x, y in zip(g, a, b, strict=True)], bool)
 
 
 def _sets(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,10 +294,10 @@ def _sets(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, own, np.bincount(own, minlength=len(texts)).astype(np.float64)
 
 
-def similar_pairs(left: list, right: list, plan: Plan) -> np.ndarray:
+def similar_pairs(left: list[str], right: list[str], plan: Plan) -> np.ndarray:
     """Whether each left text has the least Jaccard similarity with the right one of the same index."""
     n = len(left)
-    h, own, size = _sets([x.as_py() for x in left] + [x.as_py() for x in right], plan)
+    h, own, size = _sets(left + right, plan)
     pair = own % n
     order = np.lexsort((h, pair))
     h, pair = h[order], pair[order]
@@ -283,9 +305,9 @@ def similar_pairs(left: list, right: list, plan: Plan) -> np.ndarray:
     return (common > 0) & (common >= plan.least * (size[:n] + size[n:] - common) - 1e-9)
 
 
-def similar(left: list, right: list | None, plan: Plan) -> np.ndarray:
-    """Which texts (Arrow strings) have the least Jaccard similarity of whole shingle sets; the diagonal counts not."""
-    texts = [x.as_py() for x in left] + ([x.as_py() for x in right] if right is not None else [])
+def similar(left: list[str], right: list[str] | None, plan: Plan) -> np.ndarray:
+    """Which texts have the least Jaccard similarity of whole shingle sets; the diagonal counts not."""
+    texts = left + (right or [])
     n = len(left)
     h, own, size = _sets(texts, plan)
     _, column, count = np.unique(h, return_inverse=True, return_counts=True)
@@ -308,15 +330,19 @@ def similar(left: list, right: list | None, plan: Plan) -> np.ndarray:
     return out
 
 
-def _near_pairs(left: list, right: list) -> np.ndarray:
-    a, b = (np.frombuffer(b"".join(x.as_py() for x in y), np.uint8).reshape(len(y), -1) for y in (left, right))
-    return (a == b).sum(axis=1) >= NEAR * a.shape[1]
+def _low(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+
+
+def _near_pairs(left: pa.Table, right: pa.Table) -> np.ndarray:
+    a, b = _low(left), _low(right)
+    return ((a == b).sum(axis=1) >= NEAR * a.shape[1]) & first_met_pairs(left, right)
 
 
-def _near(left: list, right: list | None) -> np.ndarray:
-    """Which low bytes of signatures agree so often that the texts may be similar, or may both be similar to a third."""
-    a = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in left])
-    b = a if right is None else np.stack([np.frombuffer(x.as_py(), np.uint8) for x in right])
+def _near(left: pa.Table, right: pa.Table | None) -> np.ndarray:
+    """Which low bytes of signatures agree so often that the texts may be similar, of pairs that count in this bucket."""
+    a = _low(left)
+    b = a if right is None else _low(right)
     out = np.empty((len(a), len(b)), bool)
     for k in range(0, len(a), 64):
         part = a[k : k + 64]
@@ -326,7 +352,16 @@ def _near(left: list, right: list | None) -> np.ndarray:
         out[k : k + 64] = same >= NEAR * a.shape[1]
     if right is None:
         np.fill_diagonal(out, False)
-    return out
+    return out & first_met(left, right) if out.any() else out
+
+
+def _linked(left: pa.Table, right: pa.Table | None, plan: Plan) -> np.ndarray:
+    counts = first_met(left, right)
+    return similar(left.column("text").to_pylist(), None if right is None else right.column("text").to_pylist(), plan) & counts
+
+
+def _linked_pairs(left: pa.Table, right: pa.Table, plan: Plan) -> np.ndarray:
+    return similar_pairs(left.column("text").to_pylist(), right.column("text").to_pylist(), plan) & first_met_pairs(left, right)
 
 
 #: Share of equal signature bytes from which texts are compared on whole sets. At a similarity of 0.8 and 50 bytes this
@@ -350,16 +385,19 @@ def links(bands: DataFrame, texts: Callable[[DataFrame], DataFrame], plan: Plan)
     """(id, n_links, component) for ids that are linked with another: n_links is the weight of all they are linked
     with, component the smallest id that links lead to.
 
-    bands: (id, bands). texts(ids) gives (id, w, text) for a table of ids. Members of a shared bucket whose signatures
-    agree are joined to candidate groups; each group is compared on whole shingle sets in pairs of blocks, so neither
-    its pairs nor a group as a whole are ever in one place. Intermediate tables are written to the shared folder.
+    bands: (id, bands). texts(ids) gives (id, w, text) for a table of ids. Members of each shared bucket are compared by
+    their signatures, in pairs of blocks; those that may be similar to another meet again in the bucket with their texts,
+    and are compared on whole shingle sets. A pair that shares several buckets counts in the smallest one only, so links
+    add up, and only links that are verified join components. Neither pairs nor a bucket as a whole are ever in one
+    place; intermediate tables are written to the shared folder.
     """
     buckets = shared_buckets(bands)
-    known = cut(with_signature(texts(buckets.select("id").distinct()), plan))
-    members = buckets.join(known.select("id", "low"), "id").withColumn("w", F.lit(1).cast("long"))
-    near = compared(in_blocks(members.select("bucket", "id", "w", "low"), "bucket", BUCKET), "low", _near, _near_pairs)
-    groups = cut(connected_components(cut(near.select(F.col("id").alias("src"), F.col("parent").alias("dst")))))
-    rows = known.drop("low").join(groups, "id")
-    found = cut(compared(in_blocks(rows.select("component", "id", "w", "text"), "component", BLOCK, "text"), "text", partial(similar, plan=plan), partial(similar_pairs, plan=plan)))
+    own = cut(buckets.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("own")))  # a bucket for each band at most
+    known = cut(with_signature(texts(own.select("id")), plan))
+    sketches = known.select("id", "low").join(own, "id")
+    members = buckets.select("bucket", "id").join(sketches, "id").withColumn("w", F.lit(1).cast("long"))
+    near = cut(compared(in_blocks(members, "bucket", BUCKET), ["low", "own"], _near, _near_pairs).select(F.col("g").alias("bucket"), "id").distinct())
+    rows = near.join(known.drop("low"), "id").join(own, "id")
+    found = cut(compared(in_blocks(rows, "bucket", BLOCK, "text"), ["text", "own"], partial(_linked, plan=plan), partial(_linked_pairs, plan=plan)).select("id", "links", "parent"))
     joined = connected_components(found.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
     return cut(found.groupBy("id").agg(F.sum("links").alias("n_links")).join(joined, "id"))

@@ -119,5 +119,5 @@ keyed as (
       order by -ln((('0x' || substr(md5(s.doc_id::varchar), 1, 12))::bigint + 0.5::double) / 281474976710656::double) / s.w, s.doc_id, s.size
       rows between unbounded preceding and 1 preceding), 0)::bigint ahead
   from sized s join budget b on s.source is not distinct from b.source)
-select doc_id, size, source_size, round(target, 3) as target, (epochs * size + least(greatest(rest - ahead, 0), size))::bigint as taken from keyed
+select doc_id, size, source_size, target, (epochs * size + least(greatest(rest - ahead, 0), size))::bigint as taken from keyed
 """

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from territoria.llm.common import batches_held, documents_of
 
-#: The classifier learns from about so many labelled rows at most, chosen by a hash of doc_id; all else reads all rows.
+#: The classifier learns from about so many labelled rows of a class at most, chosen by a hash of doc_id; counts for the
+#: prior, and all else, read all rows.
 TRAINING_ROWS = 20_000
 #: Words count with their first STEM letters as a token of their own, so that unseen inflections score.
 STEM = 4
-#: Weight of the prior (in documents), least z-score of a token that scores, and largest score of a token.
-PRIOR, Z, MOST = 50.0, 4.0, 8.0
+#: Weight of the prior (in documents), and the least z-score and log-odds of a token that scores.
+PRIOR, Z, ODDS = 50.0, 4.0, 1.5
 #: Score of a token that says nothing: it ends a passage after a while.
 DRIFT = -0.25
 #: Passages whose expected number in clean text of that length is below this are significant.
@@ -102,28 +103,65 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[0][x] for x in part], pa.int64()), pa.array([seen[1][x] for x in part], pa.int64())], ["token", "clean", "toxic"])
 
 
-def _lexicon(counts: DataFrame, n0: int, n1: int) -> dict[str, float]:
-    """Tokens whose log-odds of being in toxic documents stand out, with a Dirichlet prior from all documents. Tokens of
-    the bounded sample only, so the table that is collected is bounded too."""
-    share = (F.col("clean") + F.col("toxic")) / float(n0 + n1)
-    a = share * PRIOR
-    y1, y0 = F.col("toxic") + a, F.col("clean") + a
-    odds = F.ln(y1 / (n1 + PRIOR - y1)) - F.ln(y0 / (n0 + PRIOR - y0))
-    rows = counts.where((F.col("toxic") > 1) & (y1 < n1 + PRIOR) & (y0 < n0 + PRIOR)).select("token", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"), (F.col("clean") / float(max(n0, 1))).alias("p"))
-    return {r["token"]: (min(r["odds"], MOST), r["p"]) for r in rows.where((F.col("z") >= Z) & (F.col("odds") >= 1.5)).collect()}
-
-
-def _decay(lexicon: dict, tokens_a_document: float) -> float:
-    """The lambda of the score distribution in clean text: sum of p * exp(lambda * score) is 1, by bisection."""
-    p = np.array([max(x[1], 1e-6) for x in lexicon.values()]) / max(tokens_a_document, 1.0)
-    s = np.array([x[0] for x in lexicon.values()])
-    rest = max(1 - p.sum(), 0.0)
-    total = lambda x: float((p * np.exp(x * s)).sum() + rest * math.exp(x * DRIFT))
-    lo, hi = 1e-3, 4.0
-    for _ in range(60):
+def _background(tokens_: list[str]):
+    wanted = frozenset(tokens_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        n = 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(wanted.intersection(features(tokens(text or ""))))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())], ["token", "n"])
+
+    return run
+
+
+def _lexicon(counts: DataFrame, docs: DataFrame, n0: int, n1: int) -> dict[str, tuple[float, float]]:
+    """The log-odds, of being in toxic documents, of tokens for which they stand out, and the tokens' share of clean
+    documents. The Dirichlet prior is a token's share of all documents, labelled or not. Candidates are tokens of the
+    bounded sample whose odds stand out even if no other document had them, so what is collected is bounded too."""
+    y1, y0 = F.col("toxic") / n1, (F.col("clean") + 0.5) / (n0 + 1)
+    rows = counts.where((F.col("toxic") > 1) & (y1 > y0)).select("token", "clean", "toxic").collect()
+    if not rows:
+        return {}
+    everywhere = documents_of(docs, "text").mapInArrow(_background([r["token"] for r in rows]), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = {r["token"]: r["n"] for r in everywhere.collect()}
+    n, out = max(seen.get("", 0), 1), {}
+    for r in rows:
+        a = PRIOR * seen.get(r["token"], 0) / n
+        y1, y0 = r["toxic"] + a, r["clean"] + a
+        if min(n1 + PRIOR - y1, n0 + PRIOR - y0, y0) <= 0:
+            continue
+        odds = math.log(y1 / (n1 + PRIOR - y1)) - math.log(y0 / (n0 + PRIOR - y0))
+        if odds >= ODDS and odds / math.sqrt(1 / y1 + 1 / y0) >= Z:
+            out[r["token"]] = (odds, y0 / (n0 + PRIOR))
+    return out
+
+
+def decay(scores: np.ndarray, rates: np.ndarray, drift: float = DRIFT) -> float:
+    """The lambda of the distribution of largest segment sums where tokens score `scores` at `rates` a token, and the
+    drift otherwise: the positive root of sum(rate * exp(lambda * score)) = 1. There is one where the mean is negative."""
+    s, p = np.append(scores, drift), np.append(rates, 1 - rates.sum())
+    if p.min() < 0 or s @ p >= 0 or s.max() <= 0:
+        raise ValueError("scores have no negative mean in clean text, so their segments have no extreme-value distribution")
+    total = lambda x: float(p @ np.exp(x * s)) - 1
+    hi = 1.0
+    while total(hi) < 0:
+        hi *= 2
+    lo = hi / 2
+    while total(lo) > 0:
+        lo /= 2
+    for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if total(mid) < 1 else (lo, mid)
-    return min(max(lo, 0.05), 2.0)
+        lo, hi = (mid, hi) if total(mid) < 0 else (lo, mid)
+    return lo
+
+
+def fitted_scale(lam: float, sizes: np.ndarray, tops: np.ndarray) -> float:
+    """The maximum-likelihood K of P(top > x) = 1 - exp(-K n exp(-lambda x)) for largest sums of clean texts of n tokens."""
+    return len(tops) / float((sizes * np.exp(-lam * tops)).sum())
 
 
 def _best(scores: dict):
@@ -136,7 +174,8 @@ def _best(scores: dict):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton's method, with a little shrinkage so that separable data end too."""
+    """Slope and shift by Newton's method, with a little shrinkage so that separable data end too. The slope is never
+    negative: where it would be, evidence says nothing and the shift is the log-odds of the class."""
     b = np.zeros(2)
     X = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(50):
@@ -147,6 +186,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
         b -= step
         if np.abs(step).max() < 1e-8:
             break
+    if not np.isfinite(b).all() or b[0] < 0:
+        return 0.0, math.log((w @ y) / (w @ (1 - y)))
     return float(b[0]), float(b[1])
 
 
@@ -155,32 +196,37 @@ def held_out(doc_id="doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model | None:
-    """Learns from labelled rows (labels: doc_id, toxic) whose crc32(doc_id) mod 5 isn't 0; None where docs don't hold
-    both classes of them."""
+    """Learns from labelled rows (labels: doc_id, toxic) whose crc32(doc_id) mod 5 isn't 0, about `rows` of each class at
+    most; None where docs don't hold both classes of them. Where no token stands out the score is the share of the
+    toxic class for every text. Rows of docs that repeat a doc_id count as documents of its class each."""
     batches_held(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * rows / n))
-    # about `rows` small rows at any size of the data, so they can be broadcast
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    part = {c: min(1.0, rows / k) for c, k in n.items()}
+    if min(part.values(), default=1.0) < 1:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 50)) < F.when(F.col("toxic") == 1, part.get(1, 1.0)).otherwise(part.get(0, 1.0)) * (1 << 50))
+    # about 2 * `rows` small rows at any size of the data, so they can be broadcast
     sample = documents_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # of the documents there are
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return None
     counts = sample.mapInArrow(_counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lexicon = _lexicon(counts, n0, n1)
+    lexicon = _lexicon(counts, docs, n0, n1)
     scores = {t: s for t, (s, _) in lexicon.items()}
     tops = sample.mapInArrow(_best(scores), "toxic int, top double, n long, sums array<double>")
     found = tops.select("toxic", "n", "top", "sums").toPandas()  # a number or a few for each of the bounded sample's rows
     found["n"] = found["n"].clip(lower=1)
     clean = found[found["toxic"] == 0]
-    decay = _decay(lexicon, float(found["n"].mean())) if lexicon else 1.0
-    # maximum likelihood of the Gumbel distribution's scale, given its decay
-    scale = len(clean) / float((clean["n"] * np.exp(-decay * clean["top"])).sum())
-    x = np.log1p([evidence([(0, 0, s) for s in sums], n, decay, scale) for sums, n in zip(found["sums"], found["n"], strict=True)])
-    slope, shift = _logistic(x, found["toxic"].to_numpy(float), np.ones(len(found)))
-    return Model(scores, decay, scale, slope, shift)
+    lam = scale = 1.0
+    if lexicon:
+        whole = [(s, p) for t, (s, p) in lexicon.items() if not t.endswith("*") or t[:-1] not in lexicon]
+        lam = decay(np.array([s for s, _ in whole]), np.array([p for _, p in whole]) / float(clean["n"].mean()))
+        scale = fitted_scale(lam, clean["n"].to_numpy(float), clean["top"].to_numpy(float))
+    x = np.log1p([evidence([(0, 0, s) for s in sums], n, lam, scale) for sums, n in zip(found["sums"], found["n"], strict=True)])
+    weights = found["toxic"].map({c: 1 / p for c, p in part.items()}).to_numpy(float)
+    slope, shift = _logistic(x, found["toxic"].to_numpy(float), weights)
+    return Model(scores, lam, scale, slope, shift)
 
 
 def score(text: str | None, model: Model) -> float:

@@ -18,8 +18,11 @@ from territoria.llm.minhash import compared, in_blocks
 NEIGHBOURS, TREES, LEAF = 10, 6, 128
 #: Rounds of refinement at most, and the share of changed lists at which they end.
 ROUNDS, SETTLED = 4, 0.02
-#: Vectors (about) whose links are found by brute force to audit the graph, and the recall below which trees are added.
+#: Vectors (about) whose links are found by brute force to audit the graph; the recall below which trees are added; and
+#: the attempts after which all vectors of a label are compared with each other instead.
 AUDITED, RECALL, AUDITS = 256, 0.98, 3
+#: Hashes are compared with shares of so many.
+HASHES = 1 << 50
 #: Vectors of one component that are compared with another block of it in a task.
 BLOCK = 256
 
@@ -149,12 +152,9 @@ def _descended(graph: DataFrame, vectors: DataFrame, k: int, beside: DataFrame |
     return best
 
 
-def _cosines(left: list, right: list | None, least: float) -> np.ndarray:
-    def matrix(rows: list) -> np.ndarray:
-        return _unit(np.array([x.as_py() for x in rows]))
-
-    a = matrix(left)
-    s = a @ (a if right is None else matrix(right)).T
+def _cosines(left: pa.Table, right: pa.Table | None, least: float) -> np.ndarray:
+    a = _unit(floats(left.column("vector")))
+    s = a @ (a if right is None else _unit(floats(right.column("vector")))).T
     if right is None:
         np.fill_diagonal(s, -2)
     return s >= least
@@ -164,7 +164,7 @@ def _sampled(vectors: DataFrame) -> DataFrame:
     """About AUDITED vectors by hash, as many of each label as of any other."""
     sizes = cut(vectors.groupBy("space").agg(F.count("*").alias("_n")))
     share = AUDITED / F.lit(max(sizes.count(), 1)) / F.col("_n")
-    return vectors.join(sizes, "space").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.greatest(F.lit(1.0), share * 1e6)).select("id", "space", "vector")
+    return vectors.join(sizes, "space").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(HASHES)) < share * HASHES).select("id", "space", "vector")
 
 
 def _audit(vectors: DataFrame, found: DataFrame, least: float) -> float:
@@ -244,32 +244,13 @@ def _linked(groups: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """(id, n_links, component) from components (id, component) that threshold edges join. Each is compared as a whole,
     in pairs of blocks, in double precision; links are counted there and never listed."""
     rows = vectors.join(groups, "id").select("component", "id", "w", "vector")
-    found = cut(compared(in_blocks(rows, "component", BLOCK), "vector", partial(_cosines, least=least)))
+    found = cut(compared(in_blocks(rows, "component", BLOCK), ["vector"], partial(_cosines, least=least)))
     joined = connected_components(found.select(F.col("id").alias("src"), F.col("parent").alias("dst")))
     return cut(found.groupBy("id").agg(F.sum("links").alias("n_links")).join(joined, "id"))
 
 
-def near_vectors(embeddings: DataFrame, least: float = 0.98, neighbours: int = NEIGHBOURS, trees: int = TREES) -> DataFrame:
-    """Links between vectors of equal, known label and equal length whose cosine, in double precision, is `least` or more.
-
-    Returns a row per row of embeddings (vec_id long, embedding array of floats, label; other columns are ignored):
-    vec_id, n_links (other rows linked directly), component_id (the smallest vec_id that links lead to, itself
-    included), kept (vec_id is component_id). Vectors that are null, empty, zero or hold null or non-finite numbers, and
-    those with a null label or vec_id, are linked with nothing. Equal vectors of a label are one vector of the graph,
-    with their number as its weight. Rows that repeat a vec_id are rows like others. An empty table gives no rows.
-
-    The graph starts from random trees and is refined by NN-descent until lists settle. Vectors with saturated lists
-    search outside their components too; components are compared as wholes. A sample is audited by brute force after
-    every attempt; where recall is short, more trees are added, and after AUDITS attempts an error is raised.
-    """
-    spark = embeddings.sparkSession
-    batches_held(spark)
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.withColumn("ok", F.coalesce(valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    rows = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64("label", "embedding"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding", "label")))
-    equal = rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("embedding").alias("vector"))
-    equal = equal.withColumn("rank", F.row_number().over(_by_id()))  # a repeated vec_id with another vector gets an id of its own
-    vectors = cut(equal.select("k1", "k2", F.col("id").alias("vec"), F.when(F.col("rank") == 1, F.col("id")).otherwise(-F.shiftrightunsigned(F.col("k1"), 2) - 2).alias("id"), "w", F.xxhash64("label", F.size("vector")).alias("space"), "vector"))
+def _found(vectors: DataFrame, least: float, neighbours: int, trees: int) -> DataFrame:
+    """(id, n_links, component) of the vectors (id, space, w, vector) that have links, by a graph whose recall is audited."""
     slim = vectors.select("id", "space", "vector")
     graph = _best(_planted(slim, list(range(trees)), neighbours).withColumn("old", F.lit(False)), neighbours)
     planted = trees
@@ -283,15 +264,40 @@ def near_vectors(embeddings: DataFrame, least: float = 0.98, neighbours: int = N
                 graph = _best(graph.select("id", "near", "cosine", F.lit(True).alias("old")).unionByName(more), neighbours)
                 graph = _settled(graph, vectors, neighbours)
         found = _linked(_joined(graph, vectors, least, neighbours, planted), vectors, least)
-        recall = _audit(vectors, found, least)
-        if recall >= RECALL:
-            break
-        if attempt == AUDITS - 1:
-            raise RuntimeError(f"near_vectors: the audit finds a recall of {recall:.4f} with {planted} trees, {RECALL} is wanted")
+        if _audit(vectors, found, least) >= RECALL:
+            return found
         more = _planted(slim, list(range(planted, planted + 2 * trees)), neighbours)
         more = more.unionByName(_planted(_light(slim, found), list(range(planted, planted + 2 * trees)), neighbours)).withColumn("old", F.lit(False))
         planted += 2 * trees
         graph = _best(graph.select("id", "near", "cosine", F.lit(True).alias("old")).unionByName(more), neighbours)
+    return _linked(vectors.select("id", F.col("space").alias("component")), vectors, least)
+
+
+def near_vectors(embeddings: DataFrame, least: float = 0.98, neighbours: int = NEIGHBOURS, trees: int = TREES) -> DataFrame:
+    """Links between vectors of equal, known label and equal length whose cosine, in double precision, is `least` or more.
+
+    Returns a row per row of embeddings (vec_id long, embedding array of floats or doubles, label; other columns are
+    ignored): vec_id, n_links (other rows linked directly), component_id (the smallest vec_id that links lead to, itself
+    included), kept (vec_id is component_id). Vectors that are null, empty, zero or hold null or non-finite numbers, and
+    those with a null label or vec_id, are linked with nothing. Equal vectors of a label are one vector of the graph,
+    with their number as its weight; they count as equal when two 64-bit hashes of them are. A cosine of exactly `least`
+    is a link. Rows that repeat a vec_id are rows like others. An empty table gives no rows.
+
+    The graph starts from random trees and is refined by NN-descent until lists settle. Vectors with saturated lists
+    search outside their components too; components are compared as wholes. A sample is audited by brute force after
+    every attempt; where recall is short, more trees are added, and after AUDITS attempts the vectors of each label are
+    compared block by block, without a graph, so that a result is never short.
+    """
+    spark = embeddings.sparkSession
+    batches_held(spark)
+    as_is = dict(embeddings.dtypes)["embedding"] in ("array<float>", "array<double>")
+    rows = embeddings.select("vec_id", "label", (F.col("embedding") if as_is else F.col("embedding").cast("array<double>")).alias("embedding"))
+    rows = rows.withColumn("ok", F.coalesce(valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64("label", "embedding"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(1), "embedding", "label")))
+    equal = rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("embedding").alias("vector"))
+    equal = equal.withColumn("rank", F.row_number().over(_by_id()))  # a repeated vec_id with another vector gets an id of its own
+    vectors = cut(equal.select("k1", "k2", F.col("id").alias("vec"), F.when(F.col("rank") == 1, F.col("id")).otherwise(-F.shiftrightunsigned(F.col("k1"), 2) - 2).alias("id"), "w", F.xxhash64("label", F.size("vector")).alias("space"), "vector"))
+    found = _found(vectors, least, neighbours, trees)
     named = vectors.select("k1", "k2", "id", "vec", "w").join(found, "id", "left")
     least_id = cut(named.where("component is not null").groupBy("component").agg(F.min("vec").alias("component_id")))
     named = cut(named.join(least_id, "component", "left").where("w > 1 or n_links is not null").select("k1", "k2", (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component_id", "vec").alias("component_id")))

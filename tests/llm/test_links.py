@@ -212,3 +212,75 @@ def test_audit_counts_vectors_not_links(spark):
     vectors = spark.createDataFrame(rows, "id long, space long, w long, vector array<float>")
     found = spark.createDataFrame([(k, 599, 0) for k in range(600)], "id long, n_links long, component long")
     assert vector_links._audit(vectors, found, 0.98) < 0.9
+
+
+def exact_links(v, least):
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return s >= least
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_a_large_label_of_vectors(spark, monkeypatch, short):
+    """More vectors than leaves hold, so trees, descent and audit all work; and again with a graph that finds nothing,
+    which the audit must see and the comparison of all must make good."""
+    rng = np.random.default_rng(9)
+    n = 700 if short else 3000
+    centers = rng.standard_normal((n // 4, 24))
+    v = (centers[rng.integers(0, len(centers), n)] + 0.1 * rng.standard_normal((n, 24))).astype(np.float32)
+    if short:
+        nothing = spark.createDataFrame([], "id long, component long")
+        monkeypatch.setattr(vector_links, "_joined", lambda *a: nothing)
+        monkeypatch.setattr(vector_links, "AUDITS", 1)
+    hit = exact_links(v, 0.98)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_links.near_vectors(spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    top = components(range(n), np.argwhere(hit).tolist())
+    wanted = {k: (int(hit[k].sum()), top[k]) for k in range(n)}
+    assert hit.sum() > n / 2
+    if short:
+        assert got == wanted
+    else:
+        assert sum(got[k] == wanted[k] for k in wanted) >= 0.99 * n and all(got[k][0] <= wanted[k][0] for k in wanted)
+
+
+def test_vectors_at_the_threshold_in_doubles(spark):
+    """A cosine of the threshold itself is a link, one that only double precision tells from it is none."""
+    turned = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1.0, 0.0], 1), (2, turned(0.98 - 1e-10), 1), (3, [5.0, 0.0], 2), (4, [0.98 * 50, 50 * (1 - 0.98**2) ** 0.5 - 1e-9], 2), (5, [3.0, 4.0], 3), (6, [3.0, 4.0], 3), (6, [4.0, 3.0], 3)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_links.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 0, 6), (6, 1, 5)]
+
+
+def test_similarity_of_exactly_the_threshold(spark):
+    """Texts of 44 words have 40 shingles; with the last 4 of 9 times that replaced, pairs share 32 of 40 shingles."""
+    rows, wanted = [], set()
+    for k in range(150):
+        base = [f"a{k}w{j}" for j in range(40)]  # 36 shingles
+        rows += [(4 * k, " ".join(base)), (4 * k + 1, " ".join([*base[:36], *(f"b{k}w{j}" for j in range(4))])), (4 * k + 2, " ".join([*base[:35], *(f"c{k}w{j}" for j in range(5))]))]
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            x, y = grams(rows[3 * k + a][1]), grams(rows[3 * k + b][1])
+            if len(x & y) >= 0.8 * len(x | y):
+                wanted.add((4 * k + a, 4 * k + b))
+    exact = [(10_000 + k, " ".join(f"e{k}w{j}" for j in (*range(36), *range(100 + 50 * s, 104 + 50 * s)))) for k in range(100) for s in (0,)]
+    exact += [(20_000 + k, " ".join(f"e{k}w{j}" for j in range(40))) for k in range(100)]  # 32 of 40 shingles: 0.8
+    shared = [len(grams(a[1]) & grams(b[1])) / len(grams(a[1]) | grams(b[1])) for a, b in zip(exact[:100], exact[100:], strict=True)]
+    assert set(shared) == {0.8}
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.ngram_links(spark.createDataFrame(rows + exact, "doc_id long, text string")).collect()}
+    assert sum(got[20_000 + k] == (1, 10_000 + k) for k in range(100)) >= 99
+    n = defaultdict(int)
+    for a, b in wanted:
+        n[a] += 1
+        n[b] += 1
+    assert all(got[i][0] <= n[i] for i, _ in rows) and sum(got[i][0] for i, _ in rows) >= 0.999 * 2 * len(wanted)
+
+
+def test_chains_are_joined_by_verified_links_only(spark):
+    """Neighbours in a chain are similar, its ends aren't: links count neighbours, the component is the whole chain."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(120)]
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.ngram_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [grams(t) for _, t in rows]
+    wanted = [sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in range(120)) for a in range(120)]
+    assert sum(got[k][0] for k in range(120)) >= 0.99 * sum(wanted) and all(got[k][0] <= wanted[k] for k in range(120)) and {c for _, c in got.values()} == {0}

@@ -64,6 +64,67 @@ def test_the_best_segment_is_the_largest_sum(steps):
     assert all(x[1] <= y[0] for x, y in itertools.pairwise(sorted(found)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.floats(0.01, 3, allow_nan=False)), min_size=1, max_size=14))
+def test_every_maximal_segment_is_found(steps):
+    """By definition: the best segment, then those of what lies to its left and right, while they are positive."""
+    at, hits, flat = 0, [], []
+    for gap, s in steps:
+        hits.append((at + gap, s, toxicity.DRIFT * gap))
+        flat += [toxicity.DRIFT] * gap + [s]
+        at += gap + 1
+
+    def wanted(a, b):
+        spans = [(sum(flat[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+        if not spans or max(spans)[0] <= 1e-12:
+            return []
+        top = max(x[0] for x in spans)
+        _, i, j = max((x for x in spans if x[0] >= top - 1e-9), key=lambda x: x[1] - x[2])
+        return [*wanted(a, i), (i, j), *wanted(j, b)]
+
+    sums = lambda x: sorted(round(sum(flat[a:b]), 6) for a, b in x)
+    assert sums((a, b) for a, b, _ in toxicity.segments(hits)) == sums(wanted(0, len(flat)))
+
+
+def test_extreme_values_of_simulated_clean_texts():
+    rng = np.random.default_rng(8)
+    scores, rates = np.array([1.7, 2.3, 3.1, 4.4]), np.array([0.02, 0.01, 0.006, 0.002])
+    lam = toxicity.decay(scores, rates)
+    assert abs(rates @ np.exp(lam * scores) + (1 - rates.sum()) * np.exp(lam * toxicity.DRIFT) - 1) < 1e-9 and lam > 0
+
+    def tops(k, n):
+        out = []
+        for _ in range(k):
+            draw = rng.choice(5, n, p=[1 - rates.sum(), *rates])
+            hits, last = [], 0
+            for at in np.flatnonzero(draw):
+                hits.append((int(at), float(scores[draw[at] - 1]), toxicity.DRIFT * (int(at) - last)))
+                last = int(at) + 1
+            out.append(max((s for _, _, s in toxicity.segments(hits)), default=0.0))
+        return np.array(out)
+
+    scale = toxicity.fitted_scale(lam, np.full(400, 600.0), tops(400, 600))
+    fresh = tops(600, 1200)  # other texts, of another length
+    for wanted in (0.5, 0.2, 0.05):
+        edge = (np.log(scale * 1200) - np.log(-np.log1p(-wanted))) / lam
+        assert 0.4 * wanted < (fresh > edge).mean() < 1.8 * wanted + 0.01
+    for bad in ((np.array([5.0]), np.array([0.5])), (np.array([-1.0]), np.array([0.1]))):
+        with pytest.raises(ValueError):
+            toxicity.decay(*bad)
+
+
+def test_evidence_never_lowers_a_score():
+    x = np.array([0.0, 0.0, 1.0, 2.0, 3.0])
+    assert toxicity._logistic(x, np.array([1.0, 1, 0, 0, 0]), np.ones(5))[0] == 0 and toxicity._logistic(x, np.array([0.0, 0, 0, 1, 1]), np.ones(5))[0] > 0
+
+
+def test_the_training_sample_is_bounded_by_class(spark):
+    rows = [(k, f"plain text {k % 50} again") for k in range(3000)] + [(k, f"zorgvile grumkin {k % 50}") for k in range(5000, 5060)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") >= 5000).cast("int").alias("toxic")), rows=200)
+    assert toxicity.score("zorgvile grumkin", model) > 0.5 > toxicity.score("plain text 3 again", model) and {"zorgvile", "grumkin"} <= set(model.scores)
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"  # 825 held-out labels; smaller tables have too few toxic ones to tell
     got = queries.op3_toxicity(spark, d)
