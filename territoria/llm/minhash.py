@@ -257,27 +257,44 @@ def compared(blocks: DataFrame, payload: list[str], linked: Callable[[pa.Table,
     return ready.mapInArrow(run, "g long, id long, links long, parent long")
 
 
+def _own(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all rows in a row, and the row of each."""
+    lists_ = rows.column("own").combine_chunks()
+    return lists_.flatten().to_numpy(), np.repeat(np.arange(len(lists_)), lists_.value_lengths().to_numpy())
+
+
 def first_met(left: pa.Table, right: pa.Table | None) -> np.ndarray:
     """Which rows share no smaller bucket (column own, sorted) than the one they are compared in (g): of all buckets that
     a pair shares, one tells it so, and the pair counts there only."""
-    g = left.column("g")[0].as_py()
-    n, both = left.num_rows, left.column("own").to_pylist() + (right.column("own").to_pylist() if right is not None else [])
-    who = np.array([k for k, own in enumerate(both) for x in own if x < g], np.int64)
-    what = np.array([x for own in both for x in own if x < g], np.int64)
-    met = np.zeros((n, n if right is None else len(both) - n), np.float32)
-    if len(what):
-        _, column, count = np.unique(what, return_inverse=True, return_counts=True)
-        held = count[column] > 1
-        who, column = who[held], np.unique(column[held], return_inverse=True)[1]
-        bits = np.zeros((len(both), int(column.max()) + 1 if len(column) else 1), np.float32)
-        bits[who, column] = 1
-        met = bits[:n] @ (bits if right is None else bits[n:]).T
-    return met == 0
+    g, n = left.column("g")[0].as_py(), left.num_rows
+    m = n if right is None else right.num_rows
+    what, who = _own(left if right is None else pa.concat_tables([left, right]))
+    what, who = what[what < g], who[what < g]
+    if not len(what):
+        return np.ones((n, m), bool)
+    order = np.argsort(what, kind="stable")
+    what, who = what[order], who[order]
+    same = what[1:] == what[:-1]
+    held = np.r_[False, same] | np.r_[same, False]
+    if not held.any():
+        return np.ones((n, m), bool)
+    what, who = what[held], who[held]
+    column = np.cumsum(np.r_[False, what[1:] != what[:-1]])
+    bits = np.zeros((n if right is None else n + m, int(column[-1]) + 1), np.float32)
+    bits[who, column] = 1
+    return bits[:n] @ (bits if right is None else bits[n:]).T == 0
 
 
 def first_met_pairs(left: pa.Table, right: pa.Table) -> np.ndarray:
-    g, a, b = (x.to_pylist() for x in (left.column("g"), left.column("own"), right.column("own")))
-    return np.array([min(set(x) & set(y), default=k) >= k for k, x, y in zip(g, a, b, strict=True)], bool)
+    g = left.column("g").to_numpy()
+    what, who = (np.concatenate(x) for x in zip(_own(left), _own(right), strict=True))
+    small = what < g[who]
+    what, who = what[small], who[small]
+    order = np.lexsort((what, who))
+    what, who = what[order], who[order]
+    met = np.ones(len(g), bool)
+    met[who[1:][(what[1:] == what[:-1]) & (who[1:] == who[:-1])]] = False  # both sides have it
+    return met
 
 
 def _sets(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,8 +373,8 @@ def _near(left: pa.Table, right: pa.Table | None) -> np.ndarray:
 
 
 def _linked(left: pa.Table, right: pa.Table | None, plan: Plan) -> np.ndarray:
-    counts = first_met(left, right)
-    return similar(left.column("text").to_pylist(), None if right is None else right.column("text").to_pylist(), plan) & counts
+    hit = similar(left.column("text").to_pylist(), None if right is None else right.column("text").to_pylist(), plan)
+    return hit & first_met(left, right) if hit.any() else hit
 
 
 def _linked_pairs(left: pa.Table, right: pa.Table, plan: Plan) -> np.ndarray:
