@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from territoria.catalogue import facts, parse, quality, scores
+from territoria.catalogue import adaptive, facts, parse, quality, scores, store
 from territoria.catalogue.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "facts", "parse", "quality", "scores"]
+__all__ = ["ORACLE_SQL", "QUERIES", "adaptive", "facts", "parse", "quality", "scores", "store"]

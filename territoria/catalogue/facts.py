@@ -10,7 +10,7 @@ from territoria.functions.keys import indicator_key
 from territoria.functions.numbers import guarded_ratio, zscore
 from territoria.functions.rules import aggregation_rule, cascade, reference_year
 from territoria.functions.text import label
-from territoria.operators import aggregates, joins, reshape, windows
+from territoria.operators import aggregates, joins, ranks, reshape, windows
 from territoria.plans import imports, star
 from territoria.sinks import absent, overlaid, upserted
 
@@ -30,7 +30,7 @@ def region_ratio_rollup(spark, d):
 @query("""select m.period, m.dept, n_name, r_name, indicator, round(v, 6) as value from {monthly} m join nation on dept = n_nationkey join region on n_regionkey = r_regionkey
 where indicator = '1-URGENT' and r_name = 'ASIA' order by period, dept limit 50 offset 10""")
 def star_fact_listing(spark, d):
-    dim = monthly(spark, d).select("indicator").distinct()
+    dim = table(spark, d, "orders").select(F.col("o_orderpriority").alias("indicator")).distinct()
     rows = star.facts(monthly(spark, d), dim, territories(spark, d), "indicator", "dept").where(reshape.conjunction({"indicator": "1-URGENT", "r_name": "ASIA", "n_name": None}))
     return reshape.page(rows.select("period", "dept", "n_name", "r_name", "indicator", rounded("v", "value")), [F.col("period"), F.col("dept")], 50, 10)
 
@@ -74,7 +74,7 @@ select region_code, period, event_id, round(value / pop * 1000, 6) as value from
 def bridge_dossiers_per_1000(spark, d):
     t = F.broadcast(territories(spark, d))
     e = table(spark, d, "events").where("event_type = 'purchase'").withColumn("dept", (F.col("user_id") % 25).cast("int")).join(t, "dept")
-    best = windows.first_by(e.withColumn("period", F.date_format("ts", "yyyy-MM-dd")), ["region_code", "period"], (F.col("event_id") % 10).desc(), F.col("ts").desc(), F.col("event_id").desc())
+    best = windows.first_by(e.withColumn("period", F.date_format("ts", "yyyy-MM-dd")), ["region_code", "period"], F.col("event_id") % 10, "ts", "event_id", descending=True)
     pop = wide(spark, d).where("y = 2000").join(t, "dept").groupBy("region_code").agg(F.sum("POP").alias("pop"))
     return best.join(F.broadcast(pop), "region_code").select("region_code", "period", "event_id", rounded(guarded_ratio(F.col("value"), F.col("pop"), 1000.0), "value"))
 
@@ -109,9 +109,9 @@ def macro_mart_pivot(spark, d):
     return totals(spark, d).join(m, ["y", "dept"], "left").select("period", "dept", rounded("v", "value"), *(rounded(f"macro_{c}") for c in ("POP", "ACT", "CHOM")))
 
 
-@query("""select c_custkey, c_nationkey, code as indicator_code, round(v, 6) as value from (select c_custkey, c_nationkey, unnest(['bal', 'neg', 'odd']) as code, unnest([c_acctbal, case when c_acctbal < 0 then c_acctbal end, case when c_custkey % 7 = 0 then null else c_custkey::double end]) as v from customer where c_nationkey in (1, 2, 3, 5, 8)) where v is not null""")
+@query("""select c_custkey, c_nationkey, code as indicator_code, round(v, 6) as value from (select c_custkey, c_nationkey, unnest(['bal', 'neg', 'odd']) as code, unnest([c_acctbal, case when c_acctbal < 0 then c_acctbal end, case when c_custkey % 7 = 0 then null else c_custkey::double end]) as v from customer) where v is not null""")
 def unpivot_commune_long(spark, d):
-    c = table(spark, d, "customer").where(F.col("c_nationkey").isin(1, 2, 3, 5, 8))
+    c = table(spark, d, "customer")
     w = c.select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("bal"), F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")).alias("neg"), F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_custkey")).alias("odd"))
     out = reshape.long_form(w, ["c_custkey", "c_nationkey"], ["bal", "neg", "odd"])
     return out.select("c_custkey", "c_nationkey", "indicator_code", rounded("value"))
@@ -226,7 +226,10 @@ def label_examples(spark, d):
 @query("""select count(*)::bigint as n, count(distinct o_custkey)::bigint as customers, round(min(o_totalprice), 6) as lowest, round(max(o_totalprice), 6) as highest, round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 6) as mean, round(median(o_totalprice), 6) as median, round(100.0::double * avg(case when o_orderkey % 9 = 0 then 1 else 0 end), 2) as missing from orders""")
 def kpi_summary(spark, d):
     v = F.col("o_totalprice")
-    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), rounded(F.min(v), "lowest"), rounded(F.max(v), "highest"), rounded(F.sum(v), "total", 2), rounded(F.avg(v), "mean"), rounded(F.median(v), "median"), rounded(F.avg(F.when(F.col("o_orderkey") % 9 == 0, 1).otherwise(0)) * 100, "missing", 2))
+    o = table(spark, d, "orders")
+    median = ranks.percentiles(o, [], "o_totalprice", {"median": 0.5}).select(rounded("median"))
+    figures = o.agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), rounded(F.min(v), "lowest"), rounded(F.max(v), "highest"), rounded(F.sum(v), "total", 2), rounded(F.avg(v), "mean"), rounded(F.avg(F.when(F.col("o_orderkey") % 9 == 0, 1).otherwise(0)) * 100, "missing", 2))
+    return figures.crossJoin(F.broadcast(median))
 
 
 @query("""with x as (select case when contains(p_name, 'red') then 'warm' when contains(p_name, 'blue') or contains(p_name, 'green') then 'cold' when contains(p_name, 'ring') then 'ring' else 'other' end as family, * from part)
@@ -246,7 +249,7 @@ def correlation_matrix(spark, d):
 
 @query("""select dept, y, round(v, 6) as value from (select *, row_number() over (partition by dept order by period desc, v desc) as n from {totals}) where n = 1""")
 def latest_value_per_territory(spark, d):
-    return windows.first_by(totals(spark, d), ["dept"], F.col("period").desc(), F.col("v").desc()).select("dept", "y", rounded("v", "value"))
+    return windows.first_by(totals(spark, d), ["dept"], "period", "v", descending=True).select("dept", "y", rounded("v", "value"))
 
 
 @query("""with x as (select dept, period, v - lag(v) over (partition by dept order by period) as c from {totals}), p as (select dept, sum(v) filter (where period = '1998-02') - sum(v) filter (where period = '1998-01') as c from totals group by all)
@@ -291,7 +294,7 @@ select code, label, case when regexp_matches(label, '(19|20)\\d{2}') then regexp
 def indicator_metadata_lookup(spark, d):
     k = F.col("p_partkey")
     m = table(spark, d, "part").select(k, F.concat(F.lit("IND_"), F.lpad((k % 90).cast("string"), 2, "0")).alias("code"), F.when(k % 4 == 0, F.concat(F.lit("Label "), (F.lit(1990) + k % 30).cast("string"))).otherwise("Label").alias("label"))
-    return windows.first_by(m, ["code"], F.col("p_partkey")).select("code", "label", reference_year(F.col("label"), F.col("code")).alias("year"))
+    return windows.first_by(m, ["code"], "p_partkey").select("code", "label", reference_year(F.col("label"), F.col("code")).alias("year"))
 
 
 @query("""select (2020 + y)::int as year, printf('D%02d', dd::int) as dept, ind as indicator, round((y + 1) * 100 + dd * 10 + length(ind), 6)::double as value from (select unnest(range(5)) as y) cross join (select unnest(range(1, 6)) as dd) cross join (select unnest(['filed', 'accepted']) as ind)""")
@@ -313,9 +316,10 @@ def flattened_levels(spark, d):
     return t.select("dept", label(F.col("n"), F.col("dept").cast("string")).alias("label"), F.col("region.name").alias("region"), F.when(F.col("n").isNull(), "unnamed").otherwise("named").alias("kind"))
 
 
-@query("""select event_id, event_type, d.source, d.lang, round(value, 6) as value from events e join documents d on d.doc_id = e.event_id % 500 join (select distinct event_type from events where event_type <> 'error') i using (event_type) where strftime(ts, '%Y-%m-%d') between '2024-01-05' and '2024-01-20'""")
+@query("""select event_id, event_type, d.source, d.lang, round(value, 6) as value from events e join documents d on d.doc_id = e.event_id % (select count(*) from documents) join (select distinct event_type from events where event_type <> 'error') i using (event_type) where strftime(ts, '%Y-%m-%d') between '2024-01-05' and '2024-01-20'""")
 def observation_listing(spark, d):
-    e = table(spark, d, "events").where(F.date_format("ts", "yyyy-MM-dd").between("2024-01-05", "2024-01-20")).withColumn("doc_id", F.col("event_id") % 500)
+    e = table(spark, d, "events").where(F.date_format("ts", "yyyy-MM-dd").between("2024-01-05", "2024-01-20"))
+    e = e.crossJoin(F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("n")))).withColumn("doc_id", F.col("event_id") % F.col("n"))
     kinds = e.select("event_type").where("event_type <> 'error'").distinct()
     return e.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(F.broadcast(kinds), "event_type").select("event_id", "event_type", "source", "lang", rounded("value"))
 
@@ -337,13 +341,13 @@ def unit_conversions(spark, d):
     return imports.mean_debt(p).select("p_partkey", rounded("value", "per_case"), rounded(F.col("thousands") / 100.0, "per_1000"))
 
 
-@query("""with k as (select c_custkey, case when c_custkey % 25 = 20 then '2A' when c_custkey % 25 = 21 then '2B' when c_custkey % 25 = 22 then 'ZZ' else lpad((c_custkey % 25)::varchar, 2, '0') end as code from customer) select c_custkey, code, row_number() over (order by case when code in ('2A', '2B') then 20 when regexp_matches(code, '^[0-9]+$') then code::int else 999 end, code, c_custkey)::bigint as place from k where c_custkey < 500""")
+@query("""with k as (select c_custkey, case when c_custkey % 25 = 20 then '2A' when c_custkey % 25 = 21 then '2B' when c_custkey % 25 = 22 then 'ZZ' else lpad((c_custkey % 25)::varchar, 2, '0') end as code from customer) select c_custkey, code, row_number() over (order by case when code in ('2A', '2B') then 20 when regexp_matches(code, '^[0-9]+$') then code::int else 999 end, code, c_custkey)::bigint as place from k""")
 def custom_code_sort(spark, d):
     r = F.col("c_custkey") % 25
     code = F.when(r == 20, "2A").when(r == 21, "2B").when(r == 22, "ZZ").otherwise(F.lpad(r.cast("string"), 2, "0"))
-    k = table(spark, d, "customer").where("c_custkey < 500").select("c_custkey", code.alias("code"))
+    k = table(spark, d, "customer").select("c_custkey", code.alias("code"))
     rank = F.when(F.col("code").isin("2A", "2B"), 20).otherwise(F.coalesce(F.when(F.col("code").rlike("^[0-9]+$"), F.col("code").try_cast("int")), F.lit(999)))
-    return k.select("c_custkey", "code", long(F.row_number().over(Window.orderBy(rank, "code", "c_custkey")), "place"))
+    return ranks.places(k.withColumn("rank", rank), ["rank", "code"], "c_custkey").select("c_custkey", "code", "place")
 
 
 @query("select 'x:' || p_brand as key, count(*)::bigint as n from part group by 1")

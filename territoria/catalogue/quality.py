@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from territoria.catalogue.registry import long, monthly, query, rounded, table, totals
+from territoria.catalogue.registry import monthly, query, rounded, table, totals
 from territoria.functions.numbers import parsed
 from territoria.functions.periods import months_between, period_of_file
-from territoria.functions.text import overlap, token_set
+from territoria.functions.text import token_set
 from territoria.operators import aggregates, joins, windows
 from territoria.plans import quality
 
@@ -48,9 +48,9 @@ def join_quality_counts(spark, d):
     return o.agg(F.count_if(F.col("k").isNull()).alias("no_key"), F.count_if(F.col("v").isNull()).alias("no_value"), F.count("*").alias("n"))
 
 
-@query("select source, count(*)::bigint as rows from documents where lang = 'en' group by source having count(*) <> 31")
+@query("select source, count(*)::bigint as rows from documents group by source having count(*) <> 31")
 def incomplete_sources(spark, d):
-    return quality.incomplete(table(spark, d, "documents").where("lang = 'en'"), "source", 31)
+    return quality.incomplete(table(spark, d, "documents"), "source", 31)
 
 
 @query("select indicator, count(*)::bigint as rows, count(distinct dept)::bigint as territories, min(period) as first_period, max(period) as last_period from {monthly} group by 1")
@@ -108,9 +108,9 @@ def source_period_mismatch(spark, d):
     return o.where(period_of_file(F.col("file")) != F.col("period")).groupBy("file", "period").agg(F.count("*").alias("n"))
 
 
-@query("select text_id, n from (select min(doc_id) as text_id, count(*)::bigint as n from documents group by text)")
+@query("select text_id, n from (select max(doc_id) as text_id, count(*)::bigint as n from documents group by text)")
 def document_dedupe_latest(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("k"), F.xxhash64("text").alias("k2")).agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n")).select("text_id", "n")
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("k"), F.xxhash64("text").alias("k2")).agg(F.max("doc_id").alias("text_id"), F.count("*").alias("n")).select("text_id", "n")
 
 
 @query("select o_orderkey, o_orderstatus from orders order by o_orderkey desc limit 20")
@@ -129,20 +129,14 @@ def candidate_key_grid(spark, d):
     months = spark.range(1).select(F.explode(months_between(F.lit("2001-03"), F.lit("2002-02"))).alias("period"))
     g = months.crossJoin(F.broadcast(table(spark, d, "region"))).select(F.concat(F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))), F.lit("/"), "period").alias("url"), "period", F.lit(1).alias("pri"))
     fixed = spark.createDataFrame([("asia/2001-05", "override", 0)], "url string, period string, pri int")
-    return windows.first_by(g.unionByName(fixed), ["url"], F.desc("pri")).select("url", "period")
+    return windows.first_by(g.unionByName(fixed), ["url"], "pri", descending=True).select("url", "period")
 
 
-@query("""with t as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as w from part where p_partkey < 40), c as (select distinct p_name as cand, list_distinct(string_split(lower(p_name), ' ')) as cw from part) select p_partkey, cand, n::bigint as overlap, place::bigint as place from (select p_partkey, cand, len(list_intersect(w, cw)) as n, row_number() over (partition by p_partkey order by len(list_intersect(w, cw)) desc, cand) as place from t cross join c where len(list_intersect(w, cw)) > 0) where place <= 3""")
+@query("""with t as (select p_partkey, list_distinct(string_split(lower(p_name), ' ')) as w from part), c as (select distinct p_name as cand, list_distinct(string_split(lower(p_name), ' ')) as cw from part) select p_partkey, cand, n::bigint as overlap, place::bigint as place from (select p_partkey, cand, len(list_intersect(w, cw)) as n, row_number() over (partition by p_partkey order by len(list_intersect(w, cw)) desc, cand) as place from t cross join c where len(list_intersect(w, cw)) > 0) where place <= 3""")
 def candidate_ranking(spark, d):
     p = table(spark, d, "part")
-    t = p.where("p_partkey < 40").select("p_partkey", token_set(F.col("p_name")).alias("w"))
     c = p.select(F.col("p_name").alias("cand")).distinct().withColumn("cw", token_set(F.col("cand")))
-    words = c.withColumn("word", F.explode("cw"))  # candidates that share a word, not all pairs
-    near = t.withColumn("word", F.explode("w")).join(words, "word").select("p_partkey", "cand", overlap(F.col("w"), F.col("cw")).alias("overlap")).distinct()
-    from pyspark.sql import Window
-
-    ranked = near.withColumn("place", long(F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("overlap"), "cand")), "place"))
-    return ranked.where("place <= 3").select("p_partkey", "cand", long("overlap"), "place")
+    return joins.best_matches(c.select(F.col("cand").alias("name"), F.col("cw").alias("w")), c, 3).join(p.select("p_partkey", F.col("p_name").alias("name")), "name").select("p_partkey", "cand", "overlap", "place")
 
 
 @query("""select column_name, round(share, 6) as share from (select 'p_name' as column_name, 0.0::double as share union all select 'p_brand', 0.0 union all select 'size_text', 1.0 union all select 'mixed', (select avg(case when p_partkey % 3 = 0 then 0 else 1 end) from part))""")

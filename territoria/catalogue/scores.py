@@ -70,8 +70,8 @@ def score_summary_counters(spark, d):
 @query("select period, code, round(score, 6) as score, row_number() over (order by score desc nulls last, period, code)::bigint as place from {scored} order by place limit 30 offset 5")
 def score_listing_nulls_last(spark, d):
     order = [F.col("score").desc_nulls_last(), F.col("period"), F.col("code")]
-    rows = _scores(spark, d).select("period", "code", rounded("score"), long(F.row_number().over(Window.orderBy(*order)), "place"))
-    return reshape.page(rows, [F.col("place")], 30, 5)
+    page = reshape.page(_scores(spark, d).select("period", "code", "score"), order, 30, 5)
+    return page.select("period", "code", rounded("score"), long(F.row_number().over(Window.orderBy(*order)) + 5, "place"))  # over the page's rows
 
 
 @query("select code, period, round(score, 6) as score, round(score - lag(score) over (partition by code order by period), 6) as change from {scored} where code in ('1', '7', '16')")
@@ -147,20 +147,24 @@ def required_indicator_filter(spark, d):
     return have.where(F.size(F.array_except(F.array(F.lit("click"), F.lit("error")), "have")) == 0).select("period", "code")
 
 
-@query()
+@query("""select period, code, to_json(list({'place': place, 'indicator': indicator, 'weight': printf('%.2f', weight)} order by place)) as details
+from (select period, code, indicator, weight, row_number() over (partition by period, code order by round(normalized * weight / available * 100, 6) desc, indicator) as place from {detail}) group by all""")
 def nested_documents(spark, d):
     parts = _details(spark, d).withColumn("k", -F.round("contribution", 6))
-    return reshape.nested(parts, ["period", "code"], ["k", "indicator"], ["weight", "value"]).select("period", "code", F.to_json("details").alias("details"))
+    nested = reshape.nested(parts, ["period", "code"], ["k", "indicator"], ["weight"])
+    rows = F.transform("details", lambda x, k: F.struct((k + 1).alias("place"), x["indicator"].alias("indicator"), F.format_string("%.2f", x["weight"]).alias("weight")))
+    return nested.select("period", "code", F.to_json(rows).alias("details"))
 
 
-@query()
+@query("""select 'default' as model, 0.6::double as floor, count(*)::bigint as n, to_json(list({'ord': ord, 'indicator': indicator, 'weight': weight, 'direction': direction} order by ord)) as configs from {configs}""")
 def model_with_configs(spark, d):
     c = configs(spark).withColumn("model", F.lit("default")).withColumn("settings", F.lit('{"floor": 0.6}'))
     one = reshape.nested(c, ["model", "settings"], ["ord", "indicator"], ["weight", "direction"], "configs")
-    return one.select("model", F.from_json("settings", "floor double")["floor"].alias("floor"), F.size("configs").alias("n"), F.to_json("configs").alias("configs"))
+    return one.select("model", F.from_json("settings", "floor double")["floor"].alias("floor"), F.size("configs").cast("long").alias("n"), F.to_json("configs").alias("configs"))
 
 
-@query()
+@query(f"""with t as (select period, code, string_agg(printf('%s (%.1f)', indicator, c), ', ' order by c desc, indicator) as words from (select period, code, indicator, normalized * weight / available * 100 as c, row_number() over (partition by period, code order by normalized * weight / available * 100 desc, indicator) as n from {{detail}}) where n <= 3 group by all)
+select period, code, printf('Score %.1f (%s), mainly from %s.', score, {RISK}, words) as text from {{scored}} join t using (period, code) where score is not null""")
 def score_narrative(spark, d):
     s = _scores(spark, d).where("score is not null")
     return scoring.explained(s, _details(spark, d), 3).select("period", "code", "text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from territoria.operators.ranks import percentiles
+
 
 def by_rule(df: DataFrame, keys: list[str], rule: str, value: str) -> DataFrame:
     """Sum, or mean where the rule says mean; rows without a value don't count. Sums and counts combine before the
@@ -15,8 +17,9 @@ def by_rule(df: DataFrame, keys: list[str], rule: str, value: str) -> DataFrame:
 
 def bounds(df: DataFrame, keys: list[str], value: str, winsorized: bool = False, tail: float = 0.05) -> DataFrame:
     """Lower and upper bound by key: extremes, or exact interpolated percentiles."""
-    lo, hi = (F.percentile(value, tail), F.percentile(value, 1 - tail)) if winsorized else (F.min(value), F.max(value))
-    return df.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"), F.count(value).alias("n"))
+    if winsorized:
+        return percentiles(df, keys, value, {"lo": tail, "hi": 1 - tail})
+    return df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,4 +51,4 @@ def examples(value: str, n: int = 8) -> Column:
 
 def missing_by(df: DataFrame, group: str, expected: DataFrame) -> DataFrame:
     """Rows of group x expected that df lacks."""
-    return df.select(group).distinct().crossJoin(F.broadcast(expected)).join(df, [group, *expected.columns], "left_anti")
+    return df.select(group).distinct().crossJoin(expected).join(df, [group, *expected.columns], "left_anti")

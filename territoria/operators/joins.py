@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from territoria.functions.periods import year_before
@@ -36,7 +36,7 @@ def conformed(frames: list[DataFrame], key: str, column: str) -> DataFrame:
 
 def missing_pairs(a: DataFrame, b: DataFrame, present: DataFrame) -> DataFrame:
     """Pairs of two small dimensions that are not present."""
-    return a.crossJoin(F.broadcast(b)).join(present, [*a.columns, *b.columns], "left_anti")
+    return a.crossJoin(b).join(present, [*a.columns, *b.columns], "left_anti")
 
 
 def compared_sets(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
@@ -54,29 +54,49 @@ def year_over_year(series: DataFrame, period: str, value: str) -> DataFrame:
 def propagated(annual: DataFrame, periods: DataFrame, year: str, period: str) -> DataFrame:
     """Each annual row at each period from its year's first month on. Periods compare as strings: a bare year comes
     before its own months."""
-    return annual.crossJoin(F.broadcast(periods)).where(F.col(period) >= F.concat(F.col(year).cast("string"), F.lit("-01")))
+    return annual.crossJoin(periods).where(F.col(period) >= F.concat(F.col(year).cast("string"), F.lit("-01")))
 
 
 def months_or_year(annual: DataFrame, months: DataFrame, year: str, month: str) -> DataFrame:
     """Each annual row at the months of its year, or at the year itself if no month is known."""
     found = months.select(F.col(month).alias("_m"), F.substring(F.col(month), 1, 4).alias("_y"))
-    return annual.join(F.broadcast(found), F.col(year).cast("string") == F.col("_y"), "left").withColumn("period_key", F.coalesce("_m", F.col(year).cast("string"))).drop("_m", "_y")
+    return annual.join(found, F.col(year).cast("string") == F.col("_y"), "left").withColumn("period_key", F.coalesce("_m", F.col(year).cast("string"))).drop("_m", "_y")
 
 
 def ratios(rows: DataFrame, keys: list[str], code: str, value: str, pairs: DataFrame) -> DataFrame:
     """(keys, code, value) of derived ratios by their definitions (result, top, bottom); null where the lower value is
     zero. Definitions are few."""
     top, bottom = rows.select(*keys, F.col(code).alias("top"), F.col(value).alias("_t")), rows.select(*keys, F.col(code).alias("bottom"), F.col(value).alias("_b"))
-    joined = top.join(F.broadcast(pairs), "top").join(bottom, [*keys, "bottom"])
+    joined = top.join(pairs, "top").join(bottom, [*keys, "bottom"])
     return joined.select(*keys, F.col("result").alias(code), (F.lit(100.0) * F.col("_t") / F.nullif(F.col("_b"), F.lit(0.0))).alias(value))
 
 
 def matched(rows: DataFrame, others: DataFrame, on: list[str]) -> DataFrame:
-    """An inner join that must be one to one: a repeated key on either side is an error."""
-    for side in (rows, others):
-        if not side.groupBy(*on).count().where("count > 1").isEmpty():
-            raise ValueError(f"keys {on} repeat")
-    return rows.join(others, on)
+    """An inner join that must be one to one: a repeated key on either side is an error, which the job that reads the
+    result raises. Keys that are null equal each other."""
+
+    def once(side: DataFrame, tag: str) -> DataFrame:
+        rest = [c for c in side.columns if c not in on]
+        held = side.groupBy(*on).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+        single = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit(f"keys {on} repeat")).cast("boolean"))
+        return held.where(single).select(*(F.col(k).alias(f"{tag}{k}") for k in on), "_r.*")
+
+    a, b = once(rows, ""), once(others, "_o_")
+    return a.join(b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in on]).drop(*(f"_o_{k}" for k in on))
+
+
+def absent_keys(rows: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key isn't there yet."""
+    return rows.join(there.select(*keys).distinct(), keys, "left_anti")
+
+
+def best_matches(sets: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """(name, cand, overlap, place): of the candidates (cand, cw) the n that share most words with each set (name, w),
+    the first by name among equals. Only pairs that share a word meet, and they are counted before they are ranked."""
+    words = candidates.select("cand", F.explode("cw").alias("word"))
+    shared = sets.select("name", F.explode("w").alias("word")).join(words, "word").groupBy("name", "cand").agg(F.count("*").alias("overlap"))
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("overlap"), "cand"))
+    return shared.withColumn("place", place.cast("long")).where(F.col("place") <= n)
 
 
 def either(*conditions: Column) -> Column:

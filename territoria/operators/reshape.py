@@ -50,6 +50,14 @@ def conjunction(conditions: dict[str, object]) -> Column:
     return out
 
 
+def matrix(df: DataFrame, keys: list[str], names: str, value: str, columns: list, prefix: str = "") -> DataFrame:
+    """A column per name from rows that are one for each key and name; a second one is an error, which the job that reads
+    the result raises."""
+    single = F.when(F.count(value) <= 1, F.first(value, ignorenulls=True)).otherwise(F.raise_error(F.lit("a cell of the matrix has several rows")).cast("double"))
+    cells = df.groupBy(*keys, names).agg(single.alias(value))
+    return wide_form(cells, keys, names, value, columns, F.max, prefix)
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 5000) -> DataFrame:
     """A page of an ordered listing; limits outside 1..most and negative offsets are errors."""
     if not 1 <= limit <= most or offset < 0:

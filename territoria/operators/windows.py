@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from territoria.functions.periods import month_index
 
 
-def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the order given."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], *order: Column | str, descending: bool = False) -> DataFrame:
+    """The first row of each key in the order given, ascending or descending throughout, nulls last. Rows combine before
+    the shuffle, so a key with very many rows is no burden to a task."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest or not order:
+        return df.dropDuplicates(keys)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    known = (lambda c: c.isNotNull()) if descending else (lambda c: c.isNull())
+    by = F.struct(*(x.alias(f"_{n}{k}") for n, c in enumerate(columns) for k, x in (("a", known(c)), ("b", c))))
+    row = F.struct(*(F.col(f"`{c}`") for c in rest))
+    best = df.groupBy(*keys).agg((F.max_by if descending else F.min_by)(row, by).alias("_row"))
+    return best.select(*(F.col(f"`{c}`") if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
 
 
 def best_observations(df: DataFrame, keys: list[str], confidence: str = "confidence", updated: str = "updated", created: str = "created", ident: str = "id") -> DataFrame:
     """The most trusted row of each key: confidence, then freshness, nulls last; the largest id among equals."""
-    return first_by(df, keys, F.col(confidence).desc_nulls_last(), F.col(updated).desc_nulls_last(), F.col(created).desc_nulls_last(), F.col(ident).desc())
+    return first_by(df, keys, confidence, updated, created, ident, descending=True)
 
 
 def change(value: str, keys: list[str], order: str) -> Column:
@@ -37,4 +46,4 @@ def percent_change(value: str, keys: list[str], order: str) -> Column:
 
 
 def latest_wins(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    return first_by(df, keys, F.col(version).desc())
+    return first_by(df, keys, version, descending=True)

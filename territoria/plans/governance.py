@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from territoria.functions.numbers import average_rank, correlation
 from territoria.operators.aggregates import bounds
 from territoria.operators.joins import matched
+from territoria.operators.ranks import average_ranks
 from territoria.operators.windows import change
 
 
@@ -26,10 +27,9 @@ def comparison(rows: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
-    """Spearman's correlation over all pairs, null for fewer than `least`. Ranks are global; callers give a row per
-    territory, so the window is small."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.select(average_rank(x).alias("_x"), average_rank(y).alias("_y"))
+    """Spearman's correlation over all pairs, null for fewer than `least`."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_a"), F.col(y).alias("_b"))
+    ranked = average_ranks(average_ranks(pairs, "_a", "_x"), "_b", "_y")
     return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation(F.col("_x"), F.col("_y"))).alias("spearman"))
 
 

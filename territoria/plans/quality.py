@@ -37,7 +37,7 @@ def filings(rows: DataFrame, departments: int = 50) -> tuple[DataFrame, list[str
     values are an error; with too few departments the set is empty, with a warning."""
     from territoria.operators.windows import first_by
 
-    once = first_by(rows, ["year", "month", "code", "indicator", "file"], F.col("value").asc_nulls_last())
+    once = first_by(rows, ["year", "month", "code", "indicator", "file"], "value")
     seen = once.agg(F.count_distinct("code").alias("n"), F.count_if(F.col("value") < 0).alias("negative")).first()
     if seen["negative"]:
         raise ValueError("negative filings")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from territoria.functions.numbers import band, finite, scaled
@@ -31,12 +31,16 @@ def picked(observations: DataFrame, configs: DataFrame) -> DataFrame:
 def details(chosen: DataFrame, configs: DataFrame, winsorized: bool = False) -> DataFrame:
     """Each picked value scaled between its bounds, with its effective weight and contribution. Bounds are those of the
     whole cohort; fixed ones of a config come first."""
-    cohort = bounds(chosen, ["level", "period", "indicator"], "value", winsorized)
+    cohort = ["level", "period", "indicator"]
+    if winsorized:
+        chosen = chosen.join(bounds(chosen, cohort, "value", True).drop("n"), cohort)
+    else:
+        chosen = chosen.withColumn("lo", F.min("value").over(Window.partitionBy(*cohort))).withColumn("hi", F.max("value").over(Window.partitionBy(*cohort)))
     fixed = configs.withColumn("_lo", F.col("fixed_min") if "fixed_min" in configs.columns else F.lit(None).cast("double")).withColumn("_hi", F.col("fixed_max") if "fixed_max" in configs.columns else F.lit(None).cast("double"))
-    rows = chosen.drop("expected_unit", "warning").join(cohort.drop("n"), ["level", "period", "indicator"]).join(F.broadcast(fixed.select("indicator", "weight", "direction", "_lo", "_hi")), "indicator")
+    rows = chosen.drop("expected_unit", "warning").join(F.broadcast(fixed.select("indicator", "weight", "direction", "_lo", "_hi")), "indicator")
     rows = rows.withColumn("lo", F.coalesce("_lo", "lo")).withColumn("hi", F.coalesce("_hi", "hi")).drop("_lo", "_hi")
-    available = rows.groupBy("level", "period", "code").agg(F.sum("weight").alias("available"))
-    rows = rows.withColumn("normalized", scaled(F.col("value"), F.col("lo"), F.col("hi"), F.col("direction"))).join(available, ["level", "period", "code"])
+    available = F.sum("weight").over(Window.partitionBy("level", "period", "code"))
+    rows = rows.withColumn("normalized", scaled(F.col("value"), F.col("lo"), F.col("hi"), F.col("direction"))).withColumn("available", available)
     return rows.withColumn("effective_weight", F.col("weight") / F.col("available")).withColumn("contribution", F.col("normalized") * F.col("effective_weight") * 100.0)
 
 

@@ -22,13 +22,14 @@ def periods(*keys: DataFrame) -> DataFrame:
 def indicators(*sources: DataFrame) -> DataFrame:
     """dim_indicator from (source_system, indicator_code, indicator_name), the first name of a code."""
     every = stacked(*sources)
-    once = first_by(every, ["source_system", "indicator_code"], F.col("indicator_name").asc_nulls_last())
+    once = first_by(every, ["source_system", "indicator_code"], "indicator_name")
     return once.withColumn("indicator_key", indicator_key(F.col("source_system"), F.col("indicator_code")))
 
 
 def facts(fact: DataFrame, indicator: DataFrame, territory: DataFrame, indicator_on: str, territory_on: str) -> DataFrame:
-    """A fact with its indicator, which it must have, and its territory, if known. Both dimensions are small."""
-    return fact.join(F.broadcast(indicator), indicator_on).join(F.broadcast(territory), territory_on, "left")
+    """A fact with its indicator, which it must have, and its territory, if known. Whether a dimension is small enough to
+    be broadcast is for Spark to tell by its size."""
+    return fact.join(indicator, indicator_on).join(territory, territory_on, "left")
 
 
 def deposits_with_macro(deposits: DataFrame, macro: DataFrame, on: list[str]) -> DataFrame:

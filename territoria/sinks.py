@@ -2,36 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from territoria.operators.windows import first_by
 
 
 def absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """New rows whose key isn't there yet, one per key."""
-    return first_by(new, keys, *(F.col(c).asc_nulls_last() for c in new.columns if c not in keys)).join(old.select(*keys), keys, "left_anti")
+    return first_by(new, keys, *(c for c in new.columns if c not in keys)).join(old.select(*keys), keys, "left_anti")
 
 
-def insert_if_absent(new: DataFrame, path: str, keys: list[str], dry_run: bool = False) -> dict[str, int]:
-    """Appends rows with new keys; tells how many were inserted and how many were there. A dry run writes nothing."""
-    spark = new.sparkSession
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at a path, or an empty one where nothing is written yet."""
     try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        old = spark.createDataFrame([], new.schema)
-    fresh = absent(new, old, keys).persist()
+        return spark.createDataFrame([], schema)
+
+
+@contextmanager
+def only_writer(spark: SparkSession, path: str) -> Iterator[None]:
+    """Holds a mark beside a table while it is read and written, in the table's own store; a mark that is there already
+    is an error, so that two writers never insert the same key."""
+    jvm = spark._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.writing")
+    fs = mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.createNewFile(mark):
+        raise RuntimeError(f"another writer is at {path}, or one ended without removing {mark}")
     try:
-        inserted, total = fresh.count(), new.select(*keys).distinct().count()
-        if not dry_run and inserted:
-            fresh.write.mode("append").parquet(path)
-        return {"inserted": inserted, "unchanged": total - inserted}
+        yield
     finally:
-        fresh.unpersist()
+        fs.delete(mark, False)
+
+
+def refreshed(df: DataFrame, path: str, by: list[str] = ()) -> None:
+    """A whole table anew, perhaps partitioned. df must not read the same path."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def exchanged(df: DataFrame, path: str, separator: str = ";") -> None:
+    """A table as delimited text with a header, in as many files as it has partitions. Arrays and structs become JSON."""
+    flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
+    df.select(*flat).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+
+
+def scores_replaced(scores: DataFrame, details: DataFrame, path: str, keys: list[str]) -> int:
+    """Writes new scores and their parts beside the old ones as the next version of both tables: a score replaces that of
+    its key, and all parts of the one before go with it. Tells the version. Readers take the newest (`current`)."""
+    spark = scores.sparkSession
+    with only_writer(spark, path):
+        newest = stored(spark, f"{path}/versions", StructType.fromDDL("version int")).agg(F.max("version")).first()[0] or 0
+        for name, new in (("scores", scores), ("details", details)):
+            old = stored(spark, f"{path}/{name}/{newest}", new.schema)
+            rest = old.join(scores.select(*keys).distinct(), keys, "left_anti")
+            rest.unionByName(new).write.mode("overwrite").parquet(f"{path}/{name}/{newest + 1}")
+        spark.createDataFrame([(newest + 1,)], "version int").write.mode("append").parquet(f"{path}/versions")
+        return newest + 1
+
+
+def current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The newest whole version of a table that scores_replaced wrote."""
+    newest = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/{name}/{newest}")
+
+
+def migrated(spark: SparkSession, path: str, migrations: list[tuple[str, str, Callable[[SparkSession], None]]]) -> dict[str, list[str]]:
+    """Runs those migrations (version, description, step) that the registry at a path doesn't know, in order, each noted
+    as soon as it has run; a second call runs none."""
+    with only_writer(spark, path):
+        known = {r["version"] for r in stored(spark, path, StructType.fromDDL("version string, description string, applied_at timestamp")).select("version").collect()}
+        applied, already = [], []
+        for version, description, step in migrations:
+            if version in known:
+                already.append(version)
+                continue
+            step(spark)
+            spark.createDataFrame([(version, description)], "version string, description string").withColumn("applied_at", F.current_timestamp()).write.mode("append").parquet(path)
+            applied.append(version)
+        return {"applied": applied, "already_applied": already}
+
+
+def insert_if_absent(new: DataFrame, path: str, keys: list[str], dry_run: bool = False) -> dict[str, int]:
+    """Appends rows with new keys; tells how many were inserted and how many were there. A dry run writes nothing."""
+    spark = new.sparkSession
+    with only_writer(spark, path):
+        fresh = absent(new, stored(spark, path, new.schema), keys).persist()
+        try:
+            inserted, total = fresh.count(), new.select(*keys).distinct().count()
+            if not dry_run and inserted:
+                fresh.write.mode("append").parquet(path)
+            return {"inserted": inserted, "unchanged": total - inserted}
+        finally:
+            fresh.unpersist()
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,7 +112,7 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def overlaid(base: DataFrame, log: DataFrame, keys: list[str], value: str, version: str) -> DataFrame:
     """base with values replaced by the latest entry of an override log; entries for unknown keys are ignored."""
-    last = first_by(log.where(F.col(value).isNotNull()), keys, F.col(version).desc()).select(*keys, F.col(value).alias("_v"))
+    last = first_by(log.where(F.col(value).isNotNull()), keys, version, descending=True).select(*keys, F.col(value).alias("_v"))
     return base.join(last, keys, "left").withColumn("overridden", F.col("_v").isNotNull()).withColumn(value, F.coalesce("_v", value)).drop("_v")
 
 
@@ -49,7 +120,7 @@ def patched(log: DataFrame, ident: int, fields: dict, version: int) -> DataFrame
     """A new log entry with some fields changed. No fields or an unknown id is an error."""
     if not fields:
         raise ValueError("nothing to change")
-    current = first_by(log.where(F.col("id") == ident), ["id"], F.col("version").desc())
+    current = first_by(log.where(F.col("id") == ident), ["id"], "version", descending=True)
     if current.isEmpty():
         raise LookupError(f"no override {ident}")
     for k, v in fields.items():
@@ -79,6 +150,7 @@ def journalled(spark: SparkSession, path: str, run_id: str, steps: dict[str, Cal
         spark.createDataFrame([(run_id, step, status)], "run_id string, step string, status string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
     for name, step in steps.items():
+        note(name, "running")
         try:
             if step() is False:
                 status = "quality_failed"

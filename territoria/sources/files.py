@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,10 @@ def sniffed(line: str) -> str:
         return ","
 
 
-def distinct_names(names: list[str], fold: bool = True) -> list[str]:
-    """Headers as identifiers; repeated ones get a number."""
+def distinct_names(names: list[str], fold: bool = True, keep: bool = False) -> list[str]:
+    """Headers as identifiers, or as they are; repeated ones get a number."""
     out: list[str] = []
-    for name in (column_name(n, fold) or "column" for n in names):
+    for name in ((n.strip() if keep else column_name(n, fold)) or "column" for n in names):
         k, new = 0, name
         while new in out:
             k += 1
@@ -52,22 +53,67 @@ def distinct_names(names: list[str], fold: bool = True) -> list[str]:
     return out
 
 
-def archived(spark: SparkSession, path: str, separator: str = ";", skip: str = "meta") -> DataFrame:
-    """The rows of the largest delimited member of each ZIP archive whose name lacks `skip`, as text columns of one map:
-    archives are read where they lie, each by one task, and lines leave it as they are parsed."""
+def archive_lines(spark: SparkSession, path: str, skip: str = "meta", every: bool = False) -> DataFrame:
+    """(path, member, header, line) of the delimited members of ZIP archives whose name lacks `skip`: the largest of each
+    archive, or every one. An archive can't be split, so a task reads it as a stream and lets lines go as text; a line
+    goes on while a quote in it is open. An archive without such a member gives no rows."""
 
-    def members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "member", "header", "line"]
         for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    best = max((i for i in z.infolist() if i.filename.lower().endswith(".csv") and skip not in i.filename.lower()), key=lambda i: i.file_size, default=None)
-                    if best is None:
-                        continue
-                    with z.open(best) as f:
-                        for chunk in pd.read_csv(f, sep=separator, dtype=str, encoding="utf-8-sig", chunksize=10_000, keep_default_na=False):
-                            yield pd.DataFrame({"path": name, "member": best.filename, "row": chunk.to_dict("records")})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "path string, member string, row map<string,string>")
+            for name, content in zip(part.column("path").to_pylist(), part.column("content"), strict=True):
+                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
+                    found = sorted((i for i in z.infolist() if i.filename.lower().endswith(".csv") and skip not in i.filename.lower()), key=lambda i: -i.file_size)
+                    for member in found if every else found[:1]:
+                        with z.open(member) as raw:
+                            header, held, open_ = None, [], ""
+                            for text in io.TextIOWrapper(raw, "utf-8-sig", newline="\n"):
+                                open_ += text
+                                if open_.count('"') % 2:
+                                    continue
+                                line, open_ = open_.rstrip("\r\n"), ""
+                                if header is None:
+                                    header = line
+                                    continue
+                                held.append(line)
+                                if len(held) == 10_000:
+                                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(held)) for x in (name, member.filename, header)] + [pa.array(held)], names)
+                                    held = []
+                            if held:
+                                yield pa.RecordBatch.from_arrays([pa.array([x] * len(held)) for x in (name, member.filename, header)] + [pa.array(held)], names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "path string, member string, header string, line string")
+
+
+#: Different headers that the members of one set of archives may have.
+HEADERS = 100
+
+
+def archived(spark: SparkSession, path: str, separator: str = ";", skip: str = "meta", every: bool = False) -> DataFrame:
+    """The rows of delimited members of ZIP archives (see archive_lines) as text columns, with path and member; a column
+    that a member lacks is null. Lines are parsed on Spark's side, by each header there is."""
+    lines = archive_lines(spark, path, skip, every)
+    found = [r["header"] for r in lines.select("header").distinct().limit(HEADERS + 1).collect()]
+    if len(found) > HEADERS:
+        raise ValueError(f"more than {HEADERS} different headers")
+    out = None
+    for header in sorted(found):
+        names = distinct_names(next(csv.reader([header], delimiter=separator)), keep=True)
+        schema = ", ".join(f"`{n}` string" for n in names)
+        rows = lines.where(F.col("header") == header).select("path", "member", F.from_csv("line", schema, {"sep": separator, "multiLine": "true"}).alias("r")).select("path", "member", "r.*")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return lines.select("path", "member").limit(0) if out is None else out
+
+
+def profiled(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """(source_file, rows, columns, error, and mentions_<word> for each word) of the delimited files of a folder, in one
+    pass: what the first line and the name of each file hold. An empty file is an error in its row."""
+    text = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b")).alias("at"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("source_file")).distinct()
+    seen = text.groupBy("source_file").agg(F.min_by("value", "at").alias("header"), (F.count("*") - 1).alias("rows"))
+    rows = files.join(seen, "source_file", "left")
+    hay = F.lower(F.concat_ws(" ", "source_file", "header"))
+    return rows.select("source_file", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("header").alias("columns"), *(F.contains(hay, F.lit(w)).alias(f"mentions_{w}") for w in words), F.when(F.col("header").isNull(), "empty file").alias("error"))
 
 
 def discovered(spark: SparkSession, folder: str, pattern: str = "*", words: list[str] = ()) -> DataFrame:

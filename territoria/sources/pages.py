@@ -24,4 +24,4 @@ def chosen_file(candidates: DataFrame, year: int, current: int) -> DataFrame:
     from territoria.operators.windows import first_by
 
     fit = candidates.where((F.col("year") == year) | F.lit(year == current))
-    return first_by(fit, ["page_id"], (F.col("year") == year).desc_nulls_last(), F.col("place"))
+    return first_by(fit, ["page_id"], ~F.coalesce(F.col("year") == year, F.lit(False)), "place")

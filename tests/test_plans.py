@@ -1,11 +1,13 @@
 """Small fixtures with known results."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from territoria import sinks
 from territoria.functions.numbers import scaled
-from territoria.operators import aggregates, joins, reshape
+from territoria.operators import aggregates, joins, ranks, reshape
 from territoria.plans import governance, imports, quality, scoring
 from territoria.sources import files
 
@@ -56,8 +58,27 @@ def test_versions(spark):
     b = spark.createDataFrame([("01", "2024", 25.0), ("02", "2024", 75.0)], "code string, period string, score double")
     r = governance.comparison(governance.comparison_rows(a, b)).first()
     assert (r["compared"], r["spearman"], r["mean_abs_delta"]) == (2, 1.0, 5.0)
-    with pytest.raises(ValueError, match="repeat"):
-        governance.comparison_rows(a.union(a), b)
+    with pytest.raises(Exception, match="repeat"):
+        governance.comparison_rows(a.union(a), b).collect()
+    named = lambda rows: spark.createDataFrame(rows, "code string, name string, v int")
+    assert joins.matched(named([("1", None, 1), ("2", "x", 2)]), named([("1", None, 3)]).withColumnRenamed("v", "w"), ["code", "name"]).collect() == [("1", None, 1, 3)]
+
+
+def test_ranks_and_percentiles(spark):
+    r = np.random.default_rng(1)
+    p = pd.DataFrame({"k": r.integers(0, 4, 3000), "v": np.round(r.standard_normal(3000), 2), "w": r.standard_normal(3000)})
+    p.loc[p.k == 3, "v"] = 1.5  # a group of one value
+    df = spark.createDataFrame(p)
+    got = ranks.percentiles(df, ["k"], "v", {"lo": 0.05, "hi": 0.95}).toPandas().set_index("k").sort_index()
+    want = p.groupby("k").v.quantile([0.05, 0.95]).unstack()
+    assert np.allclose(got[["lo", "hi"]], want) and got.n.sum() == 3000
+    for n in (1, 2, 3, 30):
+        few = p.head(n)
+        assert np.isclose(ranks.percentiles(spark.createDataFrame(few), [], "w", {"x": 0.05}).first()["x"], few.w.quantile(0.05))
+    g = ranks.average_ranks(df, "v", "r", ["k"]).toPandas()
+    assert len(g) == 3000 and np.allclose(g.r, g.groupby("k").v.rank())
+    assert (ranks.places(df.select("k", "w"), ["k"], "w").toPandas().sort_values(["k", "w"]).place.to_numpy() == np.arange(1, 3001)).all()
+    assert ranks.percentiles(df.limit(0), ["k"], "v", {"x": 0.5}).count() == 0 and ranks.places(df.limit(0), ["k"], "w").count() == 0
 
 
 def test_scenarios(spark):
@@ -163,7 +184,8 @@ def test_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("data.csv", "GEO;OBS\n01;5\n")
         z.writestr("metadata.csv", "a;b\n" + "1;2\n" * 99)
-    assert files.archived(spark, str(tmp_path / "z.zip")).first()["row"] == {"GEO": "01", "OBS": "5"}
+    got = files.archived(spark, str(tmp_path / "z.zip")).first()
+    assert (got["GEO"], got["OBS"]) == ("01", "5")
     assert files.distinct_names(["Année", "x", "x"]) == ["annee", "x", "x_1"]
     xml = spark.createDataFrame([('<M><DataSet><Series><Obs TIME_PERIOD="2024-01" OBS_VALUE="100"/><Obs TIME_PERIOD="2024" OBS_VALUE="9"/></Series></DataSet></M>',)], "x string")
     assert [tuple(r) for r in files.monthly_index(xml, "x").collect()] == [("2024-01", 100.0)]
