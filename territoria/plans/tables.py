@@ -37,8 +37,8 @@ def folded_regions(names: list[str]) -> dict[str, str]:
 def statement_rows(lines: DataFrame, page: list[str], regions: list[str], indicators: list[str]) -> DataFrame:
     """(page, region, departement_code, departement_name, indicator_name, value) from lines (page, line_no, line).
 
-    A line of a label and as many figures as there are indicators is a row. A label that stands on the line before, a
-    department's or the beginning of a region's, belongs to it. A region's row is no result but holds for the rows that
+    A line of a label and as many figures as there are indicators is a row. A label that stands on the line before without
+    any figure, a department's or the beginning of a region's, belongs to it. A region's row is no result but holds for the rows that
     follow; it never leaves its page."""
     names, at = folded_regions(regions), Window.partitionBy(*page).orderBy("line_no")
     rows = lines.withColumn("line", cell(F.col("line"))).where("line is not null")
@@ -46,7 +46,7 @@ def statement_rows(lines: DataFrame, page: list[str], regions: list[str], indica
     rows = rows.withColumn("figures", figures).withColumn("label", F.trim(F.regexp_replace("line", rf"(?s)(?:{FIGURE}).*$", "")))
     full = F.size("figures") == len(indicators)
     begins = F.exists(F.array(*(F.lit(n) for n in names)), lambda n: F.startswith(n, page_text(F.col("line"))) & (page_text(F.col("line")) != ""))
-    rows = rows.withColumn("full", full).withColumn("splits", ~full & (F.col("line").rlike(DEPARTMENT) | begins))
+    rows = rows.withColumn("full", full).withColumn("splits", (F.size("figures") == 0) & (F.col("line").rlike(DEPARTMENT) | begins))
     before = F.when(F.lag("splits").over(at), F.lag("line").over(at))
     rows = rows.withColumn("joined", F.trim(F.concat_ws(" ", before, "label")))
     rows = rows.where(F.col("full") & (F.col("joined") != ""))
