@@ -180,11 +180,14 @@ def banded(items: DataFrame, plan: Plan) -> DataFrame:
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """(bucket, n, id) for the members of buckets with two or more, a bucket for each set of members only: bands that
-    hold the same set, as those of near copies do, count once. From (id, bands)."""
+    hold the same set, as those of near copies do, count once. Larger buckets have smaller numbers, so that most pairs of
+    a group first meet in one of them. From (id, bands)."""
     rows = bands.select("id", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
     once = cut(full.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
-    return cut(likely_in(rows, once, F.col("bucket"), F.col("bucket")).join(once, "bucket"))
+    found = likely_in(rows, once, F.col("bucket"), F.col("bucket")).join(once, "bucket")
+    numbered = F.expr(f"shiftleft(cast(31 - least(31, floor(log2(n))) as bigint), 57) | (bucket & {(1 << 57) - 1}L)")
+    return cut(found.select(numbered.alias("bucket"), "n", "id"))
 
 
 def in_blocks(members: DataFrame, group: str, size: int, text: str | None = None) -> DataFrame:

@@ -10,19 +10,25 @@ from unicodedata import is_normalized, normalize
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from territoria.llm.common import batches_held, cut, documents_of, runs
 
-#: Limits of a sequence: tokens, segments (pieces), and tokens that bear loss; and the id after each document.
-TOKENS, SEGMENTS, LOSS, END = 4096, 256, 4096, 2
+#: Limits of a sequence: tokens, segments (pieces), and tokens that bear loss; and the id after each document. Of plain
+#: documents nearly all tokens bear loss, so there the third limit is the first; of conversations the answers do.
+TOKENS, SEGMENTS, LOSS, END = 4096, 64, 4096, 2
+#: Roles whose turns bear loss, and the loss-bearing tokens of a sequence of conversations.
+ANSWERS, ANSWER_TOKENS = ("assistant",), 2048
 #: Pieces that are packed together in one task. Groups are dealt by hash, so their number grows with the data.
 GROUP = 2048
 #: Encoded words that a worker remembers.
 REMEMBERED = 600_000
 
 #: The tokenizer's own way of splitting lower-case text into words (a fixed value of the vocabulary file).
+#: Letters for which splitting and lower case are known, by tests, to be the tokenizer's own: Latin ones, and what goes
+#: with them. Texts with any other go to it whole.
+OTHER = regex.compile("[^\x00-\x7f\xa0-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]|[\u0130\u0149\u01c5\u01c8\u01cb\u01f0\u01f2]|<[|]")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -64,10 +70,10 @@ def _words(path: str) -> Words:
 
 def encoded(texts: list[str], words: Words) -> list[bytes]:
     """The ids of whole texts, equal to the tokenizer's own: it lower-cases composed text and encodes word by word.
-    Texts that hold its special tokens, or letters whose lower case depends on their place, go to it whole."""
+    Texts that may hold its special tokens, or letters beyond those tested, go to it whole."""
     whole, split = {}, []
     for k, text in enumerate(texts):
-        if "<|" in text or "Σ" in text or "İ" in text:
+        if "<|" in text or not text.isascii() and OTHER.search(text):
             whole[k] = words.alone(text)
             split.append([])
             continue
@@ -175,9 +181,43 @@ def packed_documents(docs: DataFrame, tokenizer: str, limit: int = TOKENS, segme
 
     A document is cut into pieces of `limit` tokens, each a full sequence, and a rest, which is packed with others.
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset. A null or
-    empty text is one piece of the end id alone. Rows that repeat a doc_id are documents of their own; other columns are
-    ignored; an empty table gives no rows.
+    empty text is one piece of the end id alone. Rows that repeat a doc_id are documents of their own; ties in the packing
+    go to the smaller doc_id and start, those with equal ones are alike; other columns are ignored; an empty table gives
+    no rows.
     """
     made = pieces(docs, tokenizer, limit, end).withColumn("loss_tokens", F.col("length") - (F.col("start") == 0).cast("long")).withColumn("segments", F.lit(1).cast("long"))
     out = packed(made, {"length": limit, "segments": segments, "loss_tokens": loss}, ["doc_id", "start"])
     return out.drop("segments")
+
+
+def _counted_turns(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words(path)
+        for batch in batches:
+            n = [len(x) // 4 + 1 for k in range(0, batch.num_rows, 256) for x in encoded([t or "" for t in batch.column("text").slice(k, 256).to_pylist()], words)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("conv_id", "turn", "role")] + [pa.array(n, pa.int64())], ["conv_id", "turn", "role", "n"])
+
+    return run
+
+
+def packed_conversations(conversations: DataFrame, tokenizer: str, limit: int = TOKENS, segments: int = SEGMENTS, loss: int = ANSWER_TOKENS, answers: tuple[str, ...] = ANSWERS) -> DataFrame:
+    """Conversations (conv_id, turn, role, text) as sequences of at most `limit` tokens, `segments` examples and `loss`
+    tokens of answers, all three at once.
+
+    A conversation is its turns in order, each with an end id. One of more than `limit` or `loss` tokens is cut so that
+    each piece fits alone. Returns a row per piece: conv_id, start, length, loss_tokens, sequence_id, offset. A null text
+    counts as empty, a null role bears no loss, rows with a null conv_id are one conversation. Turns that repeat are turns
+    of their own, in the order of their role and length; other columns are ignored; an empty table gives no rows.
+    """
+    batches_held(conversations.sparkSession)
+    turns = documents_of(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    counted = turns.mapInArrow(_counted_turns(tokenizer), "conv_id long, turn long, role string, n long")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    size = min(limit, loss)
+    cuts = placed.withColumn("piece", F.explode(F.expr(f"sequence(at div {size}, (at + n - 1) div {size})")))
+    part = F.least(F.col("at") + F.col("n"), (F.col("piece") + 1) * size) - F.greatest(F.col("at"), F.col("piece") * size)
+    bears = F.coalesce(F.col("role").isin(*answers), F.lit(False))
+    items = cuts.withColumn("part", part).groupBy("conv_id", (F.col("piece") * size).alias("start")).agg(F.sum("part").alias("length"), F.sum(F.when(bears, F.col("part")).otherwise(0)).alias("loss_tokens"))
+    out = packed(items.withColumn("segments", F.lit(1).cast("long")), {"length": limit, "segments": segments, "loss_tokens": loss}, ["conv_id", "start"])
+    return out.drop("segments")

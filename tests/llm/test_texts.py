@@ -373,7 +373,7 @@ def whole_ids(texts):
 
 
 def test_packing_is_a_round_trip(spark):
-    docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, DIR, "documents").collect()] + [(i, t) for i, t in ODD if i not in (None, 905)] + [(990, "İstanbul ΣΑΣ <|endoftext|> don't 12"), (991, "é naïve x 😀😀"), (992, "word " * 9000)]
+    docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, DIR, "documents").collect()] + [(i, t) for i, t in ODD if i not in (None, 905)] + [(905_000, "x " * 50_000)] + [(990, "İstanbul ΣΑΣ <|endoftext|> don't 12"), (991, "é naïve x 😀😀"), (992, "word " * 9000)]
     rows = packing.packed_documents(clashing(spark, docs), queries.tokenizer()).collect()
     of = defaultdict(list)
     for r in rows:
@@ -396,6 +396,42 @@ def test_packing_is_a_round_trip(spark):
     assert sum(r["length"] for r in rows) > 0.98 * 4096 * (len(sequences) - 1)
 
 
+def test_conversations_are_packed_under_three_limits_at_once(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in queries.table(spark, d, "conversations").collect()]
+    rows += [(900_000 + k, 0, "assistant", "yes " * 400) for k in range(60)] + [(950_000 + k, 0, "user", "no") for k in range(400)] + [(990_000, 0, "assistant", "long " * 9000), (990_001, 0, None, None), (None, 1, "user", None)]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("length", F.lit("x"))
+    got = packing.packed_conversations(talks, queries.tokenizer(), 4096, 24, 1500).collect()
+    texts = whole_ids([x[3] for x in rows])
+    size, bears = Counter(), Counter()
+    for k, (c, _, role, _) in enumerate(rows):
+        size[c] += len(texts[k])
+        bears[c] += len(texts[k]) * (role == "assistant")
+    found, answers, sequences = Counter(), Counter(), defaultdict(list)
+    for r in got:
+        found[r["conv_id"]] += r["length"]
+        answers[r["conv_id"]] += r["loss_tokens"]
+        sequences[r["sequence_id"]].append(r)
+    assert found == size and +answers == +bears
+    full = Counter()
+    for parts in sequences.values():
+        n = (sum(r["length"] for r in parts), len(parts), sum(r["loss_tokens"] for r in parts))
+        assert n[0] <= 4096 and n[1] <= 24 and n[2] <= 1500
+        full.update(k for k, (x, most) in enumerate(zip(n, (4096, 24, 1500), strict=True)) if x >= 0.97 * most)
+        at = 0
+        for r in sorted(parts, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+    assert min(full[k] for k in (1, 2)) > 0 and len(sequences) < 1.4 * max(sum(bears.values()) / 1500, sum(size.values()) / 4096, len(got) / 24)
+    assert packing.packed_conversations(talks.limit(0), queries.tokenizer()).count() == 0
+
+
+def test_letters_beyond_those_tested_go_to_the_tokenizer_whole():
+    texts = ["Éá ǅ ŉ ÇĞ ıĐ ŁØ", "Привет МИР", "ΑΣ ΌΣΟΣ", "日本語 テスト", "हिन्दी", "e\u0301 A\u030a", "ﬁ ﬀ Ⅷ ①", "\u200bzero\u00adwidth", "ẞ STRASSE", "😀 🤖 x", "a\x85b\x1cc", *(chr(k) + "a" + chr(k) for k in range(0xA0, 0x250))]
+    got = packing.encoded(texts, packing._words(queries.tokenizer()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x[:-1] for x in whole_ids(texts)]
+
+
 def test_packing_odd_rows(spark):
     docs = clashing(spark, [(None, None), (None, None), (1, ""), (1, "")])
     assert [(r["start"], r["length"], r["doc_tokens"]) for r in packing.packed_documents(docs, queries.tokenizer()).collect()] == [(0, 1, 1)] * 4
