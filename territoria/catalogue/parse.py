@@ -70,6 +70,20 @@ def candidate_file_choice(spark, d):
     return pages.chosen_file(found, 2031, 2031).select("page_id", "href", "place")
 
 
+@query(r"""with h as (select page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) as base, unnest(list_distinct(regexp_extract_all(html, '(/t[a-z]+)"', 1))) as hit from pages), u as (select distinct page_id, base || hit as url from h)
+select page_id, url, row_number() over (partition by page_id order by url desc)::bigint as place from u""")
+def publication_links(spark, d):
+    """Slugs with a t, some of them in JSON with escaped slashes."""
+    p = table(spark, d, "pages")
+    html = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit("/"), F.lit("\\/")))
+    return pages.publications(p.select("page_id", "url", html.alias("html")), '/t[a-z]+(?=")')
+
+
+@query(f"""with {LINKS} select page_id, absolute, case when contains(lower(absolute), 'and') then 'AND' when contains(lower(absolute), 'the') then 'the' end as region, 'other' as kind, false as relevant from links""")
+def classified_links(spark, d):
+    return pages.classified(pages.links(table(spark, d, "pages")), ["AND", "the"]).select("page_id", "absolute", "region", "kind", "relevant")
+
+
 @query("select event_id, regexp_extract(props, '\"k\": ?(-?[0-9]+)', 1)::bigint as k, '{\"k\":' || regexp_extract(props, '\"k\": ?(-?[0-9]+)', 1) || '}' as again from events")
 def json_roundtrip(spark, d):
     parsed = F.from_json("props", "k long")

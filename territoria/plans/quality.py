@@ -42,9 +42,3 @@ def filings(rows: DataFrame, departments: int = 50) -> tuple[DataFrame, list[str
     if seen["negative"]:
         raise ValueError("negative filings")
     return (once, []) if seen["n"] >= departments else (once.limit(0), [f"{seen['n']} departments, {departments} needed"])
-
-
-def alerts(counts: dict[str, int]) -> list[tuple[str, str]]:
-    """(severity, name) for counts that aren't zero."""
-    severity = {"documents_to_review": "warning", "missing_region_months": "warning", "indicator_mismatch": "error", "integrity": "error"}
-    return [(severity.get(k, "warning"), k) for k, n in counts.items() if n]

@@ -132,7 +132,7 @@ def monthly_index(df: DataFrame, column: str) -> DataFrame:
     """(period, value) of the monthly observations in SDMX documents."""
     series = F.from_xml(column, "DataSet struct<Series struct<Obs array<struct<_TIME_PERIOD string, _OBS_VALUE string>>>>")
     obs = df.select(F.explode(series["DataSet"]["Series"]["Obs"]).alias("o"))
-    return obs.select(F.col("o._TIME_PERIOD").alias("period"), F.col("o._OBS_VALUE").try_cast("double").alias("value")).where("length(period) = 7 and value is not null")
+    return obs.select(F.col("o._TIME_PERIOD").alias("period"), F.col("o._OBS_VALUE").try_cast("double").alias("value")).where(F.col("period").rlike(r"^\d{4}-\d{2}$") & F.col("value").isNotNull())
 
 
 def nested_lines(df: DataFrame, path: str) -> None:

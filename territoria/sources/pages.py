@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from territoria.functions.periods import last_year
-from territoria.functions.text import defragmented, extension
+from territoria.functions.rules import cascade
+from territoria.functions.text import defragmented, extension, name_words
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -25,3 +26,30 @@ def chosen_file(candidates: DataFrame, year: int, current: int) -> DataFrame:
 
     fit = candidates.where((F.col("year") == year) | F.lit(year == current))
     return first_by(fit, ["page_id"], ~F.coalesce(F.col("year") == year, F.lit(False)), "place")
+
+
+#: Extensions of files that hold data, and words that tell a link's kind (fixed values), in the order in which they count.
+DATA = ("csv", "xlsx", "xls", "zip", "json", "xml", "pdf")
+KINDS = [("surendettement", "filings"), ("depots", "deposits"), ("inclusion", "inclusion"), ("emploi", "employment")]
+
+
+def classified(found: DataFrame, regions: list[str]) -> DataFrame:
+    """Links (see links) with region, kind and relevant: the first region and kind whose word the address holds, letters
+    folded, and whether it leads to a file of data."""
+    key = name_words(F.lower(F.translate("absolute", "-_/", "   ")))
+    region = F.lit(None).cast("string")
+    for r in reversed(regions):
+        region = F.when(F.contains(key, F.lower(name_words(F.lit(r)))), r).otherwise(region)
+    kind = cascade(key, KINDS, "other")
+    return found.withColumn("region", region).withColumn("kind", kind).withColumn("relevant", F.col("extension").isin(*DATA))
+
+
+def publications(pages: DataFrame, pattern: str) -> DataFrame:
+    """(page_id, url, place): addresses of publications by a pattern, in links or in JSON whose slashes are escaped, once
+    each; place counts from the last in the alphabet, as newer ones have later names."""
+    hits = F.regexp_extract_all(F.replace("html", F.lit("\\/"), F.lit("/")), F.lit(f"({pattern})"), 1)
+    base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    rows = pages.select("page_id", base.alias("base"), F.explode(F.array_distinct(hits)).alias("hit"))
+    absolute = F.when(F.col("hit").rlike("^https?://"), F.col("hit")).otherwise(F.concat("base", "hit"))
+    once = rows.groupBy("page_id").agg(F.sort_array(F.collect_set(absolute), asc=False).alias("urls"))
+    return once.select("page_id", F.posexplode("urls").alias("place", "url")).select("page_id", "url", (F.col("place") + 1).cast("long").alias("place"))

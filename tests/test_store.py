@@ -141,3 +141,47 @@ def test_serving_checks_what_is_asked(spark):
         serving.facts({"deposits": df}, "deposits", limit=5001)
     df.createOrReplaceTempView("some_view")
     assert ("some_view", "view") in {tuple(r) for r in serving.tables(spark).collect()}
+
+
+def test_small_helpers(spark, tmp_path):
+    from territoria.functions.text import contains_any, file_slug
+    from territoria.operators import aggregates, windows
+    from territoria.plans import imports
+
+    assert file_slug("Dépôts-Régions 2024.PDF") == "d_p_ts_r_gions_2024_pdf"
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "k string, version int, v string")
+    assert sorted(windows.latest_wins(df, ["k"], "version").collect()) == [("a", 2, "y"), ("b", 1, None)]
+    assert [r[0] for r in df.select(contains_any(F.col("v"), ["x", "z"])).collect()] == [True, False, False]
+    assert sorted(aggregates.missing_by(df.select("k", "version"), "k", spark.createDataFrame([(1,), (2,)], "version int")).collect()) == [("b", 2)]
+    files.nested_lines(reshape.nested(df, ["k"], ["version"], ["v"]), str(tmp_path / "j"))
+    assert {r["k"]: len(r["details"]) for r in spark.read.json(str(tmp_path / "j")).collect()} == {"a": 2, "b": 1}
+    xml = spark.createDataFrame([('<D><Cell code="01" v="5"/><Cell code="02" v="6"/></D>',)], "x string")
+    assert [tuple(r) for r in files.xml_cells(xml, "x", "_code string, _v string", "Cell").collect()] == [("01", "5"), ("02", "6")]
+    income = spark.createDataFrame([("01", "DEP", "MED_SL", "F", 2020, 9.0), ("99", "DEP", "MED_SL", "F", 2020, 9.0)], "GEO string, GEO_OBJECT string, FILOSOFI_MEASURE string, CONF_STATUS string, TIME_PERIOD int, OBS_VALUE double")
+    months = spark.createDataFrame([("2019-12",), ("2020-01",), ("2021",)], "period string")
+    assert sorted(r["period"] for r in imports.income(income, spark.createDataFrame([("01",)], "GEO string"), months).collect()) == ["2020-01", "2021"]
+
+
+def test_the_store(spark, tmp_path):
+    from territoria.plans import star
+
+    deps = spark.createDataFrame([("75", "Paris", "11")], "department_code string, department_name string, region_code string")
+    deposits = spark.createDataFrame([("2025-08", "75", "total", "TOTAL", 568.6), ("2025-08", "99", "total", "TOTAL", 1.0)], "reference_period string, department_code string, indicator_code string, indicator_name string, value double")
+    annual = lambda code: spark.createDataFrame([(2022, "75", code, None, 2.0), (2022, "75", code, None, None)], "reference_year int, department_code string, indicator_code string, indicator_name string, value double")
+    tables_ = star.store(deposits, annual("P22_POP"), annual("dossiers"), deps, spark.createDataFrame([("P22_POP", "Population 2022")], "code string, label string"))
+    for name, df in tables_.items():
+        sinks.refreshed(df, f"{tmp_path}/{name}")
+    read = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in tables_}
+    assert {n: df.count() for n, df in read.items()} == {"dim_department": 1, "dim_indicator": 3, "dim_period": 2, "fact_deposits": 1, "fact_macro": 1, "fact_filings": 1}
+    assert read["dim_indicator"].where("indicator_key = 'macro:P22_POP'").first()["indicator_name"] == "Population 2022"
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    from territoria.streaming.ingest import events, windowed
+
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 11:00:00", "a", 2.0), ("2024-01-02 10:00:00", "a", 5.0)], "ts string, k string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/in")
+    out = windowed(events(spark, f"{tmp_path}/in", "ts timestamp, k string, v double"), "ts", ["k"], "v")
+    q = out.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r["n"], r["total"]) for r in spark.table("w").collect()) == [(1, 5.0), (2, 3.0)]
