@@ -58,6 +58,7 @@ def mixed_sources(docs: DataFrame, labels: DataFrame | None = None, weights=WEIG
     Keys are sorted in sqrt(n) ranges of each source, whose sums are added up before, so no task sorts a source.
     """
     rows = documents_of(docs, "doc_id", "source", "text").select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    rows = cut(rows)  # texts are read and counted once
     if labels is None:
         rows = rows.withColumn("quality_weight", F.lit(UNLABELLED))
     else:
@@ -67,6 +68,7 @@ def mixed_sources(docs: DataFrame, labels: DataFrame | None = None, weights=WEIG
     targets = budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, ceiling)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("left", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
+    targets = cut(targets)
     few = targets.count() <= BROADCAST_SOURCES
     same_source = rows["source"].eqNullSafe(targets["source"])
     keyed = rows.join(F.broadcast(targets) if few else targets, same_source).drop(targets["source"])

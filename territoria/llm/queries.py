@@ -22,51 +22,62 @@ def tokenizer() -> str:
 
 
 def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at 0.98. Invalid vectors, null labels and null ids have no links; equal vectors are linked; a cosine of 0.98 counts; an empty table gives no rows."""
     return vector_links.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source, labelled quality as weight. Null texts have size 0, null sources are one source in last place; ties of keys go by doc_id and size; repeated rows count each; an empty table gives no rows."""
     mixed = mixing.mixed_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text. Null and empty texts score as texts without evidence, a null doc_id is not held out; 0.5 itself counts as toxic; repeated rows score alike; an empty table gives no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.toxicity(docs, toxicity.train(docs, labels), spans=False)
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by doc_id. A null doc_id counts as the empty string; equal ids share a shard; an empty table gives no rows."""
     return sharding.placed(table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all lines. Null texts have no lines, blank lines are no copies; a similarity of 0.8 counts; of equal lines the first by doc_id and place is kept; an empty table gives no rows."""
     return line_dedup.line_components(table(spark, sf_dir, "documents")).drop("t")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text, and how many spans there are in all. Null and empty texts have none; repeated rows have equal spans; an empty table gives no rows."""
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts. Null texts count as empty, empty texts are equal; the largest doc_id stays, a null one never where there is another; repeated rows count each; an empty table gives no rows."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_bytes")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of word n-grams among all documents. Null and wordless texts have none; a similarity of 0.8 counts; the smallest doc_id of a component is kept; repeated rows count as copies; an empty table gives no rows."""
     return ngram_join.ngram_links(table(spark, sf_dir, "documents"))
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null, empty and textless pages give an empty text; of containers that score alike the first counts; repeated rows give repeated rows; an empty table gives none."""
     return html_extract.extracted_text(table(spark, sf_dir, "pages"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences. Null and empty texts are one piece of the end id; ties go to the smaller doc_id and start; repeated rows are documents of their own; an empty table gives no rows."""
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What corpus_pipeline.run makes of all documents; its stages' docstrings say what becomes of nulls, ties and repeats."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
