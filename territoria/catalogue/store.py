@@ -24,11 +24,11 @@ def department_listing(spark, d):
     return serving.departments(dim, "EUROPE", 3, 1)
 
 
-@query("select 'insee:' || p_type as indicator_key, 'insee' as source_system, p_type as indicator_code, min(p_type) as indicator_name, min(p_brand) as indicator_group from part where contains(lower(p_type), 'steel') group by p_type order by 1 limit 20")
+@query("select 'insee:' || p_type as indicator_key, 'insee' as source_system, p_type as indicator_code, min(p_type) as indicator_name, min(p_brand) as indicator_group from part where contains(lower(p_type), 'm') group by p_type order by 1 limit 20")
 def indicator_listing(spark, d):
     dim = table(spark, d, "part").groupBy(F.col("p_type").alias("indicator_code")).agg(F.min("p_brand").alias("indicator_group"))
     dim = dim.select(F.concat(F.lit("insee:"), "indicator_code").alias("indicator_key"), F.lit("insee").alias("source_system"), "indicator_code", F.col("indicator_code").alias("indicator_name"), "indicator_group")
-    return serving.indicators(dim, "insee", None, "Steel", 20)
+    return serving.indicators(dim, "insee", None, "M", 20)
 
 
 @query("""select 'deposits' as kind, dept::varchar as department_code, indicator as indicator_code, period as time, round(v, 6) as value from {monthly} where dept = 7 and period between '1997-03' and '1997-09' order by period, indicator limit 20""")
