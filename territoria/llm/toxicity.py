@@ -22,7 +22,8 @@ TRAINING_ROWS = 20_000
 STEM = 4
 #: Weight of the prior (in documents), and the least z-score and log-odds of a token that scores.
 PRIOR, Z, ODDS = 50.0, 4.0, 1.5
-#: Score of a token that says nothing: it ends a passage after a while.
+#: Score of a token that says nothing: it ends a passage after a while. Where clean text holds so many scoring tokens
+#: that sums would grow by chance, it is doubled until they don't.
 DRIFT = -0.25
 #: Passages whose expected number in clean text of that length is below this are significant.
 E_VALUE = 1.0
@@ -39,6 +40,7 @@ class Model:
     scale: float
     slope: float
     shift: float
+    drift: float = DRIFT
 
 
 def tokens(text: str) -> list[str]:
@@ -72,8 +74,8 @@ def segments(scores) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi, _ in stack]
 
 
-def passages(text: str, model_scores: dict) -> tuple[list[tuple[int, int, float]], int]:
-    """Scoring segments of a text's tokens, and their number."""
+def passages(text: str, model_scores: dict, drift: float = DRIFT) -> tuple[list[tuple[int, int, float]], int, list[float]]:
+    """Scoring segments of a text's tokens, the number of tokens, and the scores of those that have one."""
     words = tokens(text)
     get, hits, last = model_scores.get, [], 0
     for k, w in enumerate(words):
@@ -81,9 +83,9 @@ def passages(text: str, model_scores: dict) -> tuple[list[tuple[int, int, float]
         if s is None:
             s = get(w[:STEM] + "*") if len(w) >= STEM else None
         if s is not None:
-            hits.append((k, s, DRIFT * (k - last)))
+            hits.append((k, s, drift * (k - last)))
             last = k + 1
-    return (segments(hits) if hits else []), len(words)
+    return (segments(hits) if hits else []), len(words), [s for _, s, _ in hits]
 
 
 def evidence(found: list[tuple[int, int, float]], n: int, decay: float, scale: float) -> float:
@@ -118,9 +120,8 @@ def _background(tokens_: list[str]):
     return run
 
 
-def _lexicon(counts: DataFrame, docs: DataFrame, n0: int, n1: int) -> dict[str, tuple[float, float]]:
-    """The log-odds, of being in toxic documents, of tokens for which they stand out, and the tokens' share of clean
-    documents. The Dirichlet prior is a token's share of all documents, labelled or not. Candidates are tokens of the
+def _lexicon(counts: DataFrame, docs: DataFrame, n0: int, n1: int) -> dict[str, float]:
+    """The log-odds, of being in toxic documents, of tokens for which they stand out. The Dirichlet prior is a token's share of all documents, labelled or not. Candidates are tokens of the
     bounded sample whose odds stand out even if no other document had them, so what is collected is bounded too."""
     y1, y0 = F.col("toxic") / n1, (F.col("clean") + 0.5) / (n0 + 1)
     rows = counts.where((F.col("toxic") > 1) & (y1 > y0)).select("token", "clean", "toxic").collect()
@@ -136,7 +137,7 @@ def _lexicon(counts: DataFrame, docs: DataFrame, n0: int, n1: int) -> dict[str,
             continue
         odds = math.log(y1 / (n1 + PRIOR - y1)) - math.log(y0 / (n0 + PRIOR - y0))
         if odds >= ODDS and odds / math.sqrt(1 / y1 + 1 / y0) >= Z:
-            out[r["token"]] = (odds, y0 / (n0 + PRIOR))
+            out[r["token"]] = odds
     return out
 
 
@@ -164,11 +165,11 @@ def fitted_scale(lam: float, sizes: np.ndarray, tops: np.ndarray) -> float:
     return len(tops) / float((sizes * np.exp(-lam * tops)).sum())
 
 
-def _best(scores: dict):
+def _best(scores: dict, drift: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [passages(x, scores) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([max((s for _, _, s in f), default=0.0) for f, _ in rows], pa.float64()), pa.array([n for _, n in rows], pa.int64()), pa.array([[s for _, _, s in f] for f, _ in rows], pa.list_(pa.float64()))], ["toxic", "top", "n", "sums"])
+            rows = [passages(x, scores, drift) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([max((s for _, _, s in f), default=0.0) for f, _, _ in rows], pa.float64()), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([[s for _, _, s in f] for f, _, _ in rows], pa.list_(pa.float64())), pa.array([h for _, _, h in rows], pa.list_(pa.float64()))], ["toxic", "top", "n", "sums", "hits"])
 
     return run
 
@@ -213,25 +214,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
         return None
     counts = sample.mapInArrow(_counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lexicon = _lexicon(counts, docs, n0, n1)
-    scores = {t: s for t, (s, _) in lexicon.items()}
-    tops = sample.mapInArrow(_best(scores), "toxic int, top double, n long, sums array<double>")
-    found = tops.select("toxic", "n", "top", "sums").toPandas()  # a number or a few for each of the bounded sample's rows
-    found["n"] = found["n"].clip(lower=1)
-    clean = found[found["toxic"] == 0]
+    scores, drift = lexicon, DRIFT
+    while True:
+        tops = sample.mapInArrow(_best(scores, drift), "toxic int, top double, n long, sums array<double>, hits array<double>")
+        found = tops.toPandas()  # a number or a few for each of the bounded sample's rows
+        found["n"] = found["n"].clip(lower=1)
+        clean = found[found["toxic"] == 0]
+        # each score's rate in clean text; one that it never has counts as half a token of all that score
+        values = np.unique(list(scores.values()))
+        seen = np.bincount(np.searchsorted(values, np.concatenate([[], *clean["hits"]])), minlength=len(values))
+        rates = (seen + 0.5 / max(len(values), 1)) / (float(clean["n"].sum()) + 1)
+        if rates @ values + (1 - rates.sum()) * drift < 0 <= 1 - rates.sum() or not scores:
+            break
+        drift *= 2
     lam = scale = 1.0
-    if lexicon:
-        whole = [(s, p) for t, (s, p) in lexicon.items() if not t.endswith("*") or t[:-1] not in lexicon]
-        lam = decay(np.array([s for s, _ in whole]), np.array([p for _, p in whole]) / float(clean["n"].mean()))
+    if scores:
+        lam = decay(values, rates, drift)
         scale = fitted_scale(lam, clean["n"].to_numpy(float), clean["top"].to_numpy(float))
     x = np.log1p([evidence([(0, 0, s) for s in sums], n, lam, scale) for sums, n in zip(found["sums"], found["n"], strict=True)])
     weights = found["toxic"].map({c: 1 / p for c, p in part.items()}).to_numpy(float)
     slope, shift = _logistic(x, found["toxic"].to_numpy(float), weights)
-    return Model(scores, lam, scale, slope, shift)
+    return Model(scores, lam, scale, slope, shift, drift)
 
 
 def score(text: str | None, model: Model) -> float:
     """The probability of the label that a text's evidence gives."""
-    found, n = passages(text or "", model.scores)
+    found, n, _ = passages(text or "", model.scores, model.drift)
     x = math.log1p(evidence(found, max(n, 1), model.decay, model.scale))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.shift))))
 
@@ -257,7 +265,7 @@ def _scorer(model: Model | None, spans: bool):
                     out.append(0.0)
                     where.append([])
                     continue
-                found, n = passages(text or "", model.scores)
+                found, n, _ = passages(text or "", model.scores, model.drift)
                 x = math.log1p(evidence(found, max(n, 1), model.decay, model.scale))
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.shift)))))
                 base = math.log(max(model.scale * max(n, 1), 1e-9) / E_VALUE)
