@@ -22,6 +22,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = frozenset("article aside body div footer header html main nav ol section table td th ul blockquote form dl".split())
 STOPS = SCOPE | CLOSES.keys()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of a container and never the article's own.
+PARTS = HEADINGS | frozenset("p pre ul ol li dl dt dd blockquote figure figcaption caption summary address hgroup".split())
 #: Inline elements that hold no text of an article; one without an end tag, or that ends in a slash, is empty.
 SKIPPED = frozenset("svg template noscript iframe noembed noframes button select datalist canvas audio video map".split())
 #: Block elements that never hold the article.
@@ -268,7 +270,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
-    best = max((x for x in _scored(root) if not x.bad), key=_value)
+    best = max((x for x in _scored(root) if not x.bad and x.tag not in PARTS), key=_value)
     if _value(best) <= 0:  # nothing long enough for a score: all that isn't beside the article
         out: list[str] = []
         _texts(root, out)
