@@ -57,8 +57,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def documents_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of a documents table, in this order, null where the table lacks one."""
-    return docs.select(*(F.col(f"`{c}`") if c in docs.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    """The named columns of a documents table, in this order, null where the table lacks one; ids of any integer type are
+    longs."""
+    kind = lambda c: "long" if c.endswith("_id") or c == "turn" else "string"
+    return docs.select(*((F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind(c)).alias(c) for c in columns))
 
 
 def carried(docs: DataFrame) -> DataFrame:
@@ -66,15 +68,18 @@ def carried(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
 
 
-def likely_in(df: DataFrame, members: DataFrame, key: Column, member_key: Column) -> DataFrame:
+def likely_in(df: DataFrame, members: DataFrame, key: Column, member_key: Column, size: int = REDUCER_BITS, marked: bool = False) -> DataFrame:
     """The rows of df whose key may be among the members' keys: all that are, and a few others where bits coincide.
-    The bits are a table of at most REDUCER_BITS / 64 rows, so it can be broadcast at any size of the data; an exact
-    join must follow."""
-    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(REDUCER_BITS))
+    The bits are a table of at most size / 64 rows, so it can be broadcast at any size of the data; an exact join must
+    follow. marked: all rows, with a column `likely`."""
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(size))
     word = lambda s: F.shiftright(s, 6)
     bits = members.select(slot(member_key).alias("_s")).groupBy(word(F.col("_s")).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_b"))
-    marked = df.withColumn("_s", slot(key)).withColumn("_w", word(F.col("_s")))
-    return marked.join(F.broadcast(bits), "_w").where(F.expr("(shiftrightunsigned(_b, cast(_s & 63 as int)) & 1) = 1")).drop("_w", "_s", "_b")
+    placed = df.withColumn("_s", slot(key)).withColumn("_w", word(F.col("_s")))
+    found = F.expr("(shiftrightunsigned(_b, cast(_s & 63 as int)) & 1) = 1")
+    if marked:
+        return placed.join(F.broadcast(bits), "_w", "left").withColumn("likely", F.coalesce(found, F.lit(False))).drop("_w", "_s", "_b")
+    return placed.join(F.broadcast(bits), "_w").where(found).drop("_w", "_s", "_b")
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territoria.llm import exact_dedup, html_extract, line_dedup, mixing, ngram_join, packing, pii, sharding, toxicity, vector_links
+from territoria.llm import alignment, divergence, exact_dedup, html_extract, line_dedup, mixing, ngram_join, packing, pii, sharding, suffixes, toxicity, vector_links
 
 #: Shards that documents are placed on.
 SHARDS = [f"shard-{k:04d}" for k in range(256)]
@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by two tokenizers. Null and empty texts, and those whose bytes a tokenizer doesn't give back, have zeros; ties for the best pair all count; repeated rows are documents each; an empty table gives no rows."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes of strings that stand twice. Null texts count as empty, texts below 200 bytes stay; touching runs are one span; repeated rows repeat each other; an empty table gives no rows."""
+    kept = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ. Null lang, source and text count as empty; ties of value go by the item's bytes; repeated rows count each; an empty table gives no rows."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What corpus_pipeline.run makes of all documents; its stages' docstrings say what becomes of nulls, ties and repeats."""
     import corpus_pipeline
@@ -83,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_links, op2_mixing, op3_toxicity, op4_sharding, op5_line_dedup, op6_pii, op7_exact_dedup, op8_ngram_join, op9_html_extract, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_vector_links, op2_mixing, op3_toxicity, op4_sharding, op5_line_dedup, op6_pii, op7_exact_dedup, op8_ngram_join, op9_html_extract, op10_packing, op11_alignment, op12_suffix_dedup, op13_divergence, pipeline)}
 
 #: The groups of equal texts by SQL alone.
 EXACT_DEDUP = """
@@ -99,4 +115,4 @@ select e.vec_id, (select count(*) from pairs p where p.x = e.vec_id)::bigint as
   e.vec_id <= coalesce((select min(y) from reach r where r.x = e.vec_id), e.vec_id) as kept
 from embeddings e
 """
-ORACLE_SQL = {"op1_vector_links": VECTOR_LINKS, "op2_mixing": mixing.ORACLE, "op7_exact_dedup": EXACT_DEDUP}
+ORACLE_SQL = {"op1_vector_links": VECTOR_LINKS, "op2_mixing": mixing.ORACLE, "op7_exact_dedup": EXACT_DEDUP, "op12_suffix_dedup": suffixes.ORACLE, "op13_divergence": divergence.ORACLE}
