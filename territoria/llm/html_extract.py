@@ -26,15 +26,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = HEADINGS | frozenset("p pre ul ol li dl dt dd blockquote figure figcaption caption summary address hgroup".split())
 #: Inline elements that hold no text of an article; one without an end tag, or that ends in a slash, is empty.
 SKIPPED = frozenset("svg template noscript iframe noembed noframes button select datalist canvas audio video map".split())
-#: Block elements that never hold the article.
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog head header search fieldset".split())
+#: Block elements that are beside the article by themselves, and those that may be.
+ASIDE_TAGS = frozenset("nav footer aside menu dialog head search".split())
+SOFT_TAGS = frozenset("form header fieldset".split())
 #: Names in class, id or role that say by themselves that a part isn't the article; names that say so only together with
 #: another such name or with a plain one, as in social-links; and the plain ones.
-ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising advertorial adsense adsbygoogle adslot banner sponsor sponsored sponsors promo promos promotion nav navbar navigation navigational menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist disqus replies respond cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin login share sharing sharebar addthis related recommended recommendations widget widgets pagination pager paginator skiplink complementary contentinfo outbrain taboola".split())
-ASIDE_HALVES = frozenset("social side header foot head search tags tag skip rail links link media site page sticky".split())
-PLAIN_NAMES = frozenset("area bar block body bottom box btn button buttons card center column container content desktop div element float form group holder home icon icons inner item items large left list main mobile module outer panel placeholder posts primary right row secondary section slot small space the thread title top unit wide wrap wrapper zone".split())
+ASIDE_NAMES = frozenset("ad ads advert adverts advertisement advertising advertorial adsense adsbygoogle adslot banner sponsor sponsored sponsors promo promos promotion nav navbar navigation navigational menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments commentlist discussion discussions disqus replies respond responses cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin login share sharing sharebar addthis related recommended recommendations widget widgets pagination pager paginator skiplink complementary contentinfo outbrain taboola".split())
+ASIDE_HALVES = frozenset("social side header foot head search tags tag skip rail links".split())
+PLAIN_NAMES = frozenset("area bar block body bottom box btn button buttons card center column container content desktop div element float form group holder home icon icons inner item items large left link list main media mobile module outer page panel placeholder posts primary reader readers right row secondary section site slot small space sticky the thread title top unit user users visitor visitors wide wrap wrapper zone".split())
 HALVES_ALONE = frozenset("header search".split())
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])", re.I)
+#: What is left of the points of a part that may be, or that is, beside the article; the part of a page's points from which
+#: a box isn't beside the article, and from which <main> or <article> is taken at its word; the characters of a paragraph
+#: that no article is without; and the part of a box's characters in links from which it is a list of links.
+SOFT, HARD, MOST, ENOUGH, PARAGRAPH, LINKED = 0.2, 0.02, 0.5, 0.4, 80, 0.5
 
 #: A tag: quotes count where they follow an equals sign. No part of it is tried twice.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
@@ -43,19 +48,24 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']
 
 
 class _Box:
-    """An element of the tree: its blocks of text, in page order, and its score."""
+    """An element of the tree: its blocks of text, in page order; whether it is marked as beside the article (1: it may
+    be, 2: it says so); and its points."""
 
-    __slots__ = ("bad", "chars", "children", "inside", "items", "links", "parent", "score", "stop", "tag", "weight")
+    __slots__ = ("bad", "chars", "children", "factor", "inside", "items", "links", "main", "mark", "mass", "own", "parent", "plain", "score", "stop", "tag", "weight")
 
-    def __init__(self, tag: str, parent: _Box | None, bad: bool, weight: float):
-        self.inside = tag in ("article", "main") or parent is not None and parent.inside
+    def __init__(self, tag: str, parent: _Box | None, mark: int, weight: float, main: bool = False):
+        self.main = main or tag == "main"
+        self.inside = self.main or tag == "article" or parent is not None and parent.inside
         self.stop = self if tag in STOPS or parent is None else parent.stop  # the nearest, itself included, where a search for an open item may end
-        self.tag, self.parent, self.bad, self.weight, self.score, self.chars, self.links, self.children, self.items = tag, parent, bad, weight, 0.0, 0, 0, [], []
+        self.tag, self.parent, self.mark, self.weight, self.children, self.items = tag, parent, mark, weight, [], []
+        self.score, self.own, self.mass, self.chars, self.links, self.plain, self.factor, self.bad = 0.0, 0.0, 0.0, 0, 0, 0, 1.0, False
 
 
-def _beside(names: str, inside: bool) -> bool:
-    """Whether a class, id or role names a part beside the article: some name of it, as a whole, is well known for that,
-    or all of the words that hyphens join in it are. Names in an article that mark its own header don't count."""
+def _beside(names: str, inside: bool) -> int:
+    """Whether a class, id or role names a part beside the article: 2 if some name of it, as a whole, is well known for
+    that, or one of the words that hyphens join in it is and the others are plain; 1 if these only go with it. Names in an
+    article that mark its own header don't count."""
+    found = 0
     for name in re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", names).lower().split():
         parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
         aside = sum(x in ASIDE_NAMES for x in parts)
@@ -63,20 +73,23 @@ def _beside(names: str, inside: bool) -> bool:
         plain = sum(x in PLAIN_NAMES for x in parts)
         if len(parts) != aside + half + plain or not parts:
             continue
-        if aside or half > 1 or half and (plain or parts[0] in HALVES_ALONE) and not (inside and "header" in parts):
-            return True
-    return False
+        if aside:
+            return 2
+        if half > 1 or half and (plain or parts[0] in HALVES_ALONE) and not (inside and "header" in parts):
+            found = 1
+    return found
 
 
-def _marks(attributes: str, inside: bool) -> tuple[bool, float]:
-    """Whether attributes mark a part beside the article, and what they add to its score."""
+def _marks(attributes: str, inside: bool) -> tuple[int, float, bool]:
+    """The mark that attributes give, what they add to a score, and whether they name the page's main part."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True, 0.0
+        return 2, 0.0, False
     names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
     if not names.strip():
-        return False, 0.0
-    return found.get("role") != "main" and _beside(names, inside), 25.0 * bool(MAIN_WORDS.search(names))
+        return 0, 0.0, False
+    main = found.get("role") == "main"
+    return 0 if main else _beside(names, inside), 25.0 * bool(MAIN_WORDS.search(names)), main
 
 
 class _Tags:
@@ -110,7 +123,7 @@ class _Tags:
 
 def _tree(page: str) -> _Box:
     """Boxes for block elements; runs of text between block boundaries are their items (text, characters in links)."""
-    root = here = _Box("html", None, False, 0.0)
+    root = here = _Box("html", None, 0, 0.0)
     text: list[str] = []
     linked = link = 0
     tags, opened = _Tags(page), Counter()
@@ -198,11 +211,12 @@ def _tree(page: str) -> _Box:
                     box = box.parent.stop
                 if box.tag in CLOSES[name]:
                     here = left(box)
-            bad, weight = _marks(m[3], here.inside) if m[3] else (False, 0.0)
-            bad = bad or name in ASIDE_TAGS and not (name == "header" and here.inside) or here.bad
-            if name == "body":
-                bad = False
-            box = _Box(name, here, bad, weight)
+            mark, weight, main = _marks(m[3], here.inside) if m[3] else (0, 0.0, False)
+            if name in ASIDE_TAGS:
+                mark = 2
+            elif name in SOFT_TAGS and not (name == "header" and here.inside):
+                mark = max(mark, 1)
+            box = _Box(name, here, 0 if name == "body" else mark, weight, main)
             opened[name] += 1
             here.children.append(box)
             here.items.append(box)
@@ -217,31 +231,58 @@ def _above(box: _Box | None) -> Iterator[_Box]:
         box = box.parent
 
 
-def _scored(root: _Box) -> list[_Box]:
-    """All boxes in page order, scored: paragraphs pass points for their length and commas to their parent, and half of
-    them to its parent. Boxes come before what they hold, so backwards all is added up in one pass at any depth."""
-    boxes, stack = [], [root]
+def _all(root: _Box) -> list[_Box]:
+    """A box and all that it holds, in page order: a box comes before what it holds."""
+    found, stack = [], [root]
     while stack:
         box = stack.pop()
-        boxes.append(box)
+        found.append(box)
         stack.extend(reversed(box.children))
+    return found
+
+
+def _weighed(boxes: list[_Box]) -> float:
+    """The points of all paragraphs, of which marked boxes keep a part, added up for each box."""
+    for box in boxes:
+        if box.parent is not None:
+            box.factor = box.parent.factor * (1.0, SOFT, HARD)[box.mark]
+        box.mass = box.own * box.factor
+    for box in reversed(boxes):
+        if box.parent is not None:
+            box.parent.mass += box.mass
+    return boxes[0].mass
+
+
+def _scored(root: _Box) -> list[_Box]:
+    """All boxes, scored: paragraphs pass points for their length and commas to their parent, and half of them to its
+    parent. Marks reduce points; where no article stands outside of marked boxes, a mark doesn't count on a box that holds
+    most of the page's points. Boxes come before what they hold, so backwards all is added up in one pass at any depth."""
+    boxes = _all(root)
+    given = []
     for box in reversed(boxes):
         for block, links in (x for x in box.items if not isinstance(x, _Box)):
-            if box.bad:
-                continue
             box.chars += len(block)
             box.links += links
-            if box.tag in HEADINGS or len(block) < 25:
-                continue
-            points = 1 + block.count(",") + min(len(block) // 100, 3)
-            holder = box.parent if box.tag in ("p", "pre", "li", "dd", "dt", "blockquote") and box.parent is not None else box
-            for k, above in zip((1, 0.5, 0.25), _above(holder), strict=False):
-                above.score += points * k
-        if box.score > 0:
-            box.score += {"article": 20, "main": 15, "section": 3, "div": 5, "td": 3}.get(box.tag, 0) + box.weight
+            if box.tag not in HEADINGS and len(block) >= 25:
+                points = 1 + block.count(",") + min(len(block) // 100, 3)
+                box.own += points * (1 - links / len(block))
+                given.append((box, points))
         if box.parent is not None:
             box.parent.chars += box.chars
             box.parent.links += box.links
+    total = _weighed(boxes)
+    if not any(x.chars and x.factor == 1 and (x.main or x.tag == "article") for x in boxes):
+        for box in boxes:
+            if box.mark and box.mass >= MOST * total > 0 and box.tag not in ASIDE_TAGS:
+                box.mark = 0
+        _weighed(boxes)
+    for box, points in given:
+        holder = box.parent if box.tag in ("p", "pre", "li", "dd", "dt", "blockquote") and box.parent is not None else box
+        for k, above in zip((1, 0.5, 0.25), _above(holder), strict=False):
+            above.score += points * box.factor * k
+    for box in boxes:
+        if box.score > 0:
+            box.score += {"article": 20, "main": 15, "section": 3, "div": 5, "td": 3}.get(box.tag, 0) * box.factor + box.weight * box.factor
     return boxes
 
 
@@ -249,14 +290,39 @@ def _value(box: _Box) -> float:
     return box.score * (1 - box.links / box.chars) if box.chars else 0.0
 
 
-def _texts(box: _Box, out: list[str]) -> None:
-    """The blocks of a box and of what it holds, in page order, without parts beside the article."""
+def _scope(boxes: list[_Box]) -> _Box:
+    """The page's <main>, or else its <article> with the most points, if it has a fair part of the page's unmarked ones; or the page."""
+    total = sum(x.own for x in boxes if x.factor == 1)
+    for kind in ([x for x in boxes if x.main], [x for x in boxes if x.tag == "article"]):
+        best = max(kind, key=lambda x: x.mass, default=None)
+        if best is not None and best.chars and best.mass >= ENOUGH * total and (best.mass or len(kind) == 1):
+            return best
+    return boxes[0]
+
+
+def _judged(boxes: list[_Box], path: set[int]) -> None:
+    """Marked boxes are beside the article, with all they hold, but for those that hold the best container. Then each box
+    knows how many long paragraphs it holds that aren't."""
+    for box in boxes:
+        box.bad = box.parent is not None and box.parent.bad or box.mark > 0 and id(box) not in path
+        box.plain = 0
+    for box in reversed(boxes):
+        if not box.bad:
+            box.plain += sum(len(x[0]) >= PARAGRAPH and x[1] < LINKED * len(x[0]) for x in box.items if not isinstance(x, _Box))
+            if box.parent is not None:
+                box.parent.plain += box.plain
+
+
+def _texts(box: _Box, out: list[str], path: set[int], inner: _Box | None) -> None:
+    """The blocks of a box and of what it holds, in page order, without parts beside the article. Next to boxes that hold
+    the best container (inner), lists of links are left out too; in it they are the article's own."""
     stack = [(box, iter(box.items))]
     while stack:
         holder, items = stack[-1]
+        outside = id(holder) in path and holder is not inner
         for item in items:
             if isinstance(item, _Box):
-                if not item.bad:
+                if not item.bad and not (outside and id(item) not in path and item.tag not in HEADINGS and item.chars and item.links >= LINKED * item.chars):
                     stack.append((item, iter(item.items)))
                     break
             else:
@@ -266,27 +332,37 @@ def _texts(box: _Box, out: list[str]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line feeds: those of the best container and of siblings that score like it."""
+    """The article's blocks, joined by line feeds: those of the lowest box that holds all its paragraphs, without parts
+    that are marked as beside it. <main> or <article> is that box where it has a fair part of the page's points; otherwise
+    it is found by climbing from the best container, and headings next to it count too. Marks lower scores, and never cut
+    off what holds the best container."""
     if not page:
         return ""
     root = _tree(page)
-    best = max((x for x in _scored(root) if not x.bad and x.tag not in PARTS), key=_value)
+    boxes = _scored(root)
+    scope = _scope(boxes)
+    best = max((x for x in _all(scope) if x.tag not in PARTS), key=_value, default=scope)
+    out: list[str] = []
     if _value(best) <= 0:  # nothing long enough for a score: all that isn't beside the article
-        out: list[str] = []
-        _texts(root, out)
+        best = scope
+    path = {id(x) for x in _above(best)}
+    _judged(boxes, path)
+    if scope is not root or best is root:
+        _texts(scope, out, path, best)
+        if not out and best is scope:  # marked as a whole: what its tags don't exclude
+            for box in boxes:
+                box.bad = box.parent is not None and box.parent.bad or box.tag in ASIDE_TAGS
+            _texts(scope, out, path, best)
         return "\n".join(out)
-    out = []
-    if best.parent is None:
-        _texts(best, out)
+    region = best
+    while region.plain < root.plain:
+        region = region.parent
+    if region.parent is None:
+        _texts(region, out, path, best)
         return "\n".join(out)
-    enough = max(10.0, 0.2 * _value(best))
-    for item in best.parent.items:
-        if isinstance(item, _Box):
-            plain = item.tag == "p" and item.chars > 80 and item.links < 0.25 * item.chars
-            heading = item.tag in HEADINGS and best.tag not in ("article", "main")
-            alike = item.tag == best.tag == "section" and item.links < 0.25 * item.chars
-            if item is best or not item.bad and (_value(item) >= enough or plain or heading or alike):
-                _texts(item, out)
+    for item in region.parent.items:
+        if isinstance(item, _Box) and (item is region or item.tag in HEADINGS and not item.bad):
+            _texts(item, out, path, best)
     return "\n".join(out)
 
 
@@ -302,4 +378,4 @@ def extracted_text(pages: DataFrame) -> DataFrame:
     what it has; a tag or character reference that breaks off at the end is dropped or kept as it is. Repeated rows
     give repeated rows, an empty table none."""
     batches_held(pages.sparkSession)
-    return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html")).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
