@@ -29,8 +29,9 @@ def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """
     lines = lines_of(docs).where("norm <> ''").withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no", "t")
-    prints = banded(lines.select("doc_id", "t", "line_no", "h1", "h2", F.col("norm").alias("text")), plan)
-    classes = cut(prints.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("w"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    # a line that stands in many places is hashed once
+    different = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("w"), F.first("norm").alias("text"))
+    classes = cut(banded(different, plan).withColumn("id", F.monotonically_increasing_id()))
     keyed = cut(classes.select("id", "h1", "h2", "w", "place"))
 
     def texts(wanted: DataFrame) -> DataFrame:
@@ -53,7 +54,8 @@ def without_repeated_lines(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     stay. A document that loses all its lines goes; one whose text is null or blank was no copy and stays."""
     dropped = cut(line_components(docs, plan).where("not kept").groupBy("doc_id", "t").agg(F.collect_set("line_no").alias("gone")))
     rows = carried(docs).withColumn("t", F.xxhash64("text")).alias("d").join(dropped.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.t = g.t"), "left")
-    left = F.expr("array_join(filter(split(text, '\n'), (x, k) -> not array_contains(gone, cast(k as bigint))), '\n')")
+    # the lambda's argument holds the lines, so that the text is split once; array_except hashes, so all is linear
+    left = F.expr("transform(array(split(text, '\n')), lines -> array_join(transform(array_except(sequence(0L, size(lines) - 1L), gone), k -> lines[cast(k as int)]), '\n'))[0]")
     now = rows.withColumn("now", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).where("gone is null or trim(now) <> ''")
     out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("now").alias("text")}
     if "n_chars" in out:

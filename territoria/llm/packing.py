@@ -16,18 +16,19 @@ from pyspark.sql import functions as F
 from territoria.llm.common import batches_held, cut, documents_of, runs
 
 #: Limits of a sequence: tokens, segments (pieces), and tokens that bear loss; and the id after each document. Of plain
-#: documents nearly all tokens bear loss, so there the third limit is the first; of conversations the answers do.
-TOKENS, SEGMENTS, LOSS, END = 4096, 64, 4096, 2
-#: Roles whose turns bear loss, and the loss-bearing tokens of a sequence of conversations.
-ANSWERS, ANSWER_TOKENS = ("assistant",), 2048
-#: Pieces that are packed together in one task. Groups are dealt by hash, so their number grows with the data.
-GROUP = 2048
+#: documents each token may be a piece, and nearly all bear loss, so there neither other limit ends a sequence before the
+#: first does; of conversations both are true limits, and the answers bear loss.
+TOKENS, SEGMENTS, LOSS, END = 4096, 4096, 4096, 2
+#: Roles whose turns bear loss, and the examples and loss-bearing tokens of a sequence of conversations.
+ANSWERS, EXAMPLES, ANSWER_TOKENS = ("assistant",), 64, 2048
+#: Pieces that are packed together in one task, more if they fill fewer than so many sequences. Groups are dealt by hash,
+#: so their number grows with the data.
+GROUP, FILLED = 2048, 64
 #: Encoded words that a worker remembers.
 REMEMBERED = 600_000
 
-#: The tokenizer's own way of splitting lower-case text into words (a fixed value of the vocabulary file).
 #: Letters for which splitting and lower case are known, by tests, to be the tokenizer's own: Latin ones, and what goes
-#: with them. Texts with any other go to it whole.
+#: with them. Texts with any other go to it whole. And its way of splitting lower-case text into words (a fixed value).
 OTHER = regex.compile("[^\x00-\x7f\xa0-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]|[\u0130\u0149\u01c5\u01c8\u01cb\u01f0\u01f2]|<[|]")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -113,33 +114,38 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = TOKENS, end: int = END)
 def packed_group(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """The bin of each item (rows of demand: one number for each limit). A bin is filled by the item, of those that
     fit, whose demand has the largest dot product with the room left, both as parts of the limits; ties go to the
-    first. A new bin opens when nothing fits."""
+    first. A new bin opens when nothing fits. Items with equal demands are one kind, so a step takes time in the kinds."""
     if (demand > limits).any():
         raise ValueError("an item is over a limit")
-    left, bins = np.arange(len(demand)), np.full(len(demand), -1)
-    size = [np.ascontiguousarray(c) for c in (demand / limits).T]
-    room, now, gone = [1.0 + 1e-12] * len(size), 0, 0
-    value, fits = np.empty(len(left)), np.empty(len(left), bool)
-    while len(left):
+    kinds, kind = np.unique(demand, axis=0, return_inverse=True) if len(demand) else (demand, np.zeros(0, int))
+    kind = kind.ravel()
+    order = np.argsort(kind, kind="stable")
+    count = np.bincount(kind, minlength=len(kinds))
+    head, end = np.cumsum(count) - count, np.cumsum(count)  # each kind's items are order[head:end], the first first
+    bins, size = np.full(len(demand), -1), [np.ascontiguousarray(c) for c in (kinds / limits).T]
+    room, now, left = [1.0 + 1e-12] * len(size), 0, len(demand)
+    value, fits = np.empty(len(kinds)), np.empty(len(kinds), bool)
+    while left:
         np.less_equal(size[0], room[0], out=fits)
-        np.multiply(size[0], room[0], out=value)  # infinite for what is placed, which doesn't fit
+        np.multiply(size[0], room[0], out=value)  # infinite for what is used up, which doesn't fit
         for c, r in zip(size[1:], room[1:], strict=True):
             fits &= c <= r
             value += c * r
-        k = int(np.where(fits, value, -1.0).argmax())
+        value[~fits] = -1.0
+        k = int(value.argmax())
         if not fits[k]:
             now, room = now + 1, [1.0 + 1e-12] * len(size)
             continue
-        bins[left[k]] = now
+        ties = np.flatnonzero(value == value[k])
+        if len(ties) > 1:
+            k = int(ties[order[head[ties]].argmin()])
+        bins[order[head[k]]] = now
+        head[k] += 1
+        left -= 1
         room = [r - float(c[k]) for c, r in zip(size, room, strict=True)]
-        size[0][k] = np.inf  # placed: it fits nowhere now
-        gone += 1
-        if gone > len(left) // 4:
-            stay = np.isfinite(size[0])
-            left, size, gone = left[stay], [c[stay] for c in size], 0
-            value, fits = np.empty(len(left)), np.empty(len(left), bool)
-            if not len(left):
-                break
+        if head[k] == end[k]:
+            size[0][k] = np.inf
+            head[k] -= 1  # a place to look at for ties, which it can't be part of
     return bins
 
 
@@ -165,10 +171,13 @@ def packed(items: DataFrame, limits: dict[str, int], key: list[str], group: int
     """items with sequence_id and offset: items share a sequence so that the sums of the columns in `limits` (longs, the
     first is the length) stay within its limits. Items of exactly the first limit, or above no limit alone, each fit.
     Items are dealt into groups of about `group` by the hash of their key (longs), and each group is packed by itself;
-    so a group has a few sequences that aren't full. An item over a limit raises an error."""
+    so a group has a few sequences that aren't full; it holds enough items for FILLED full ones at least. An item over a
+    limit raises an error."""
     names = list(limits)
     items = cut(items)
-    groups = max(1, -(-items.count() // group))
+    there = items.agg(F.count("*").alias("n"), *(F.sum(n).alias(f"s_{n}") for n in names)).first()
+    filled = max((there[f"s_{n}"] or 0) // most for n, most in limits.items())
+    groups = max(1, min(-(-there["n"] // group), filled // FILLED))
     carried = items.columns
     dealt = items.withColumn("pack", F.pmod(F.xxhash64(*key), F.lit(groups))).repartition("pack").sortWithinPartitions("pack", *key)
     schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", sequence_id long, offset long"
@@ -200,7 +209,7 @@ def _counted_turns(path: str):
     return run
 
 
-def packed_conversations(conversations: DataFrame, tokenizer: str, limit: int = TOKENS, segments: int = SEGMENTS, loss: int = ANSWER_TOKENS, answers: tuple[str, ...] = ANSWERS) -> DataFrame:
+def packed_conversations(conversations: DataFrame, tokenizer: str, limit: int = TOKENS, segments: int = EXAMPLES, loss: int = ANSWER_TOKENS, answers: tuple[str, ...] = ANSWERS) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as sequences of at most `limit` tokens, `segments` examples and `loss`
     tokens of answers, all three at once.
 

@@ -7,13 +7,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, documents_of
+from territoria.llm.common import batches_held, cut, documents_of
 
 #: The classifier learns from about so many labelled rows of a class at most, chosen by a hash of doc_id; counts for the
 #: prior, and all else, read all rows.
@@ -120,11 +122,27 @@ def _background(tokens_: list[str]):
     return run
 
 
+def _odds(y1: Column, y0: Column, n1: int, n0: int) -> Column:
+    return F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
+
+
+def _candidates(counts: DataFrame, n0: int, n1: int) -> DataFrame:
+    """The tokens of the sample that may stand out, whatever part of all documents holds them: with more weight a of the
+    prior the odds fall and the error does too, so in a range of weights neither beats the odds at its begin with the error
+    at its end."""
+    edges = [0.0, *(PRIOR * 1.25**-k for k in range(40, -1, -1))]
+    ranges = []
+    for least, most in zip(edges, edges[1:], strict=False):
+        error = F.sqrt(1 / (F.col("toxic") + most) + 1 / (F.col("clean") + most))
+        odds = _odds(F.col("toxic") + least, F.greatest(F.col("clean") + least, F.lit(1e-9)), n1, n0)
+        ranges.append((odds >= ODDS) & (odds / error >= Z))
+    return counts.where((F.col("toxic") > 1) & reduce(or_, ranges))
+
+
 def _lexicon(counts: DataFrame, docs: DataFrame, n0: int, n1: int) -> dict[str, float]:
-    """The log-odds, of being in toxic documents, of tokens for which they stand out. The Dirichlet prior is a token's share of all documents, labelled or not. Candidates are tokens of the
-    bounded sample whose odds stand out even if no other document had them, so what is collected is bounded too."""
-    y1, y0 = F.col("toxic") / n1, (F.col("clean") + 0.5) / (n0 + 1)
-    rows = counts.where((F.col("toxic") > 1) & (y1 > y0)).select("token", "clean", "toxic").collect()
+    """The log-odds, of being in toxic documents, of tokens for which they stand out. The Dirichlet prior is a token's
+    share of all documents, labelled or not; only tokens of the bounded sample that may stand out come to the driver."""
+    rows = _candidates(counts, n0, n1).select("token", "clean", "toxic").collect()
     if not rows:
         return {}
     everywhere = documents_of(docs, "text").mapInArrow(_background([r["token"] for r in rows]), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -165,11 +183,29 @@ def fitted_scale(lam: float, sizes: np.ndarray, tops: np.ndarray) -> float:
     return len(tops) / float((sizes * np.exp(-lam * tops)).sum())
 
 
-def _best(scores: dict, drift: float):
+def _hits(scores: dict):
+    """(score, n): how many tokens have a score; null stands for all tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            rows = [passages(x, scores, drift) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([max((s for _, _, s in f), default=0.0) for f, _, _ in rows], pa.float64()), pa.array([n for _, n, _ in rows], pa.int64()), pa.array([[s for _, _, s in f] for f, _, _ in rows], pa.list_(pa.float64())), pa.array([h for _, _, h in rows], pa.list_(pa.float64()))], ["toxic", "top", "n", "sums", "hits"])
+            for text in batch.column("text").to_pylist():
+                _, n, own = passages(text, scores)
+                seen.update(own)
+                seen[None] += max(n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.int64())], ["score", "n"])
+
+    return run
+
+
+def _told(scores: dict, drift: float, lam: float | None = None, scale: float = 1.0):
+    """(toxic, n, x): a text's tokens and its largest segment sum, or its evidence where lambda is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [passages(x, scores, drift)[:2] for x in batch.column("text").to_pylist()]
+            told = [max((s for _, _, s in f), default=0.0) if lam is None else evidence(f, max(n, 1), lam, scale) for f, n in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([max(n, 1) for _, n in rows], pa.int64()), pa.array(told, pa.float64())], ["toxic", "n", "x"])
 
     return run
 
@@ -206,34 +242,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     part = {c: min(1.0, rows / k) for c, k in n.items()}
     if min(part.values(), default=1.0) < 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 50)) < F.when(F.col("toxic") == 1, part.get(1, 1.0)).otherwise(part.get(0, 1.0)) * (1 << 50))
-    # about 2 * `rows` small rows at any size of the data, so they can be broadcast
-    sample = documents_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    # about 2 * `rows` rows at any size of the data: ids that can be broadcast, texts that are written once
+    sample = cut(documents_of(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}  # of the documents there are
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return None
     counts = sample.mapInArrow(_counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    lexicon = _lexicon(counts, docs, n0, n1)
-    scores, drift = lexicon, DRIFT
-    while True:
-        tops = sample.mapInArrow(_best(scores, drift), "toxic int, top double, n long, sums array<double>, hits array<double>")
-        found = tops.toPandas()  # a number or a few for each of the bounded sample's rows
-        found["n"] = found["n"].clip(lower=1)
-        clean = found[found["toxic"] == 0]
+    scores, drift, lam, scale = _lexicon(counts, docs, n0, n1), DRIFT, 1.0, 1.0
+    if scores:
         # each score's rate in clean text; one that it never has counts as half a token of all that score
+        hits = {r["score"]: r["n"] for r in sample.where("toxic = 0").mapInArrow(_hits(scores), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()}
         values = np.unique(list(scores.values()))
-        seen = np.bincount(np.searchsorted(values, np.concatenate([[], *clean["hits"]])), minlength=len(values))
-        rates = (seen + 0.5 / max(len(values), 1)) / (float(clean["n"].sum()) + 1)
-        if rates @ values + (1 - rates.sum()) * drift < 0 <= 1 - rates.sum() or not scores:
-            break
-        drift *= 2
-    lam = scale = 1.0
-    if scores:
+        rates = (np.array([hits.get(v, 0) for v in values.tolist()]) + 0.5 / len(values)) / (hits[None] + 1)
+        while rates @ values + (1 - rates.sum()) * drift >= 0:
+            drift *= 2
         lam = decay(values, rates, drift)
-        scale = fitted_scale(lam, clean["n"].to_numpy(float), clean["top"].to_numpy(float))
-    x = np.log1p([evidence([(0, 0, s) for s in sums], n, lam, scale) for sums, n in zip(found["sums"], found["n"], strict=True)])
-    weights = found["toxic"].map({c: 1 / p for c, p in part.items()}).to_numpy(float)
-    slope, shift = _logistic(x, found["toxic"].to_numpy(float), weights)
+        tops = sample.where("toxic = 0").mapInArrow(_told(scores, drift), "toxic int, n long, x double").toPandas()  # three numbers for each row of the bounded sample
+        scale = fitted_scale(lam, tops["n"].to_numpy(float), tops["x"].to_numpy(float))
+    told = sample.mapInArrow(_told(scores, drift, lam, scale), "toxic int, n long, x double").toPandas()
+    weights = told["toxic"].map({c: 1 / p for c, p in part.items()}).to_numpy(float)
+    slope, shift = _logistic(np.log1p(told["x"].to_numpy(float)), told["toxic"].to_numpy(float), weights)
     return Model(scores, lam, scale, slope, shift, drift)
 
 
