@@ -17,10 +17,10 @@ U = np.uint64
 LENGTH = 200
 #: Bytes of the strings (anchors) by which windows of LENGTH bytes are dealt; where the windows of one anchor are too many
 #: for a task, they are dealt again by the next, longer one, and in the end by themselves.
-ANCHORS = (32, 112, 200)
-#: Bytes that one suffix array is made of at most (one anchor's may exceed it only where that is the last); bytes of texts
-#: that are searched for anchors at once; windows of a segment.
-ROOM, PART, PIECE = 1 << 20, 1 << 20, 4096
+ANCHORS = (32, 180, 200)
+#: Bytes that a suffix array has at least, where there are so many; that one anchor adds at most, but for the last kind; bytes
+#: of texts that are searched for anchors at once; windows of a segment.
+ROOM, LARGE, PART, PIECE = 1 << 20, 1 << 21, 1 << 20, 4096
 #: Bits of the table that drops most segments whose anchor is nowhere else, before they are shuffled.
 BITS = 1 << 26
 
@@ -263,8 +263,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, lo, hi): runs of windows of a segment that stand elsewhere too. A segment that is there more than once is
-    in the suffix array twice."""
+    """(a, b, runs): the runs (lo, hi) of windows of a segment that stand elsewhere too, if there are any. A segment that
+    is there more than once is in the suffix array twice."""
     for block in _blocks(batches):
         segs, twice = block.column("seg").to_pylist(), block.column("m").to_numpy() > 1
         size = np.array([len(x) for x in segs])
@@ -277,8 +277,10 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = edge[::2], edge[1::2]  # a run never leaves its segment: the last windows' starts aren't valid
         row = np.searchsorted(end[: len(segs)], lo, "right")
         base = (end[: len(segs)] - size)[row]
-        a, b = (block.column(c).to_numpy()[row] for c in ("a", "b"))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, lo - base, hi - base)], ["a", "b", "lo", "hi"])
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        runs = pa.StructArray.from_arrays([pa.array(lo - base, pa.int64()), pa.array(hi - base, pa.int64())], ["lo", "hi"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), runs)
+        yield pa.RecordBatch.from_arrays([*(pa.array(block.column(c).to_numpy()[row[first]]) for c in ("a", "b")), lists], ["a", "b", "runs"])
 
 
 def _marks(column: str) -> list:
@@ -286,9 +288,15 @@ def _marks(column: str) -> list:
     return [F.xxhash64(column).alias("a"), F.xxhash64(F.lit(7), column).alias("b")]
 
 
+#: Touching runs of a short list, as one.
+MERGED = """aggregate(runs, array(runs[0]), (out, r) -> if(r.lo <= element_at(out, -1).hi,
+  concat(slice(out, 1, size(out) - 1), array(named_struct('lo', element_at(out, -1).lo, 'hi', greatest(element_at(out, -1).hi, r.hi)))), concat(out, array(r))))"""
+
+
 def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
-    """(a, b, lo, hi): the runs of windows, by first bytes lo to hi - 1, of texts (a, b, data, w) that stand elsewhere in
-    the texts too. a and b are hashes of data, w says how often the text is there; rows that repeat count each.
+    """(a, b, runs): for texts (a, b, data, w) with any, the runs of windows, by first bytes lo to hi - 1, that stand
+    elsewhere in the texts too; runs may overlap. a and b are hashes of data, w says how often the text is there; rows that
+    repeat count each.
 
     Equal windows have the same anchor, so texts are cut into segments of windows with one anchor, segments whose anchor
     is nowhere else are dropped, equal ones are collapsed, and the others of each anchor meet in one suffix array, many
@@ -303,22 +311,23 @@ def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
     distinct = cut(segs.groupBy("key", "seg").agg(F.sum("w").alias("m")).select("key", "m", "seg", *_marks("seg")))
     room = distinct.groupBy("key").agg(F.sum(F.length("seg") * F.least("m", F.lit(2))).alias("size"))
     last = level + 1 == len(ANCHORS)
-    room = cut(room.select("key", (F.lit(not last) & (F.col("size") > ROOM)).alias("large")))
+    room = cut(room.select("key", (F.lit(not last) & (F.col("size") > LARGE)).alias("large")))
     rows = cut(distinct.join(room, "key"))
     own = rows.where("not large").select("key", "m", "seg", "a", "b").repartition("key").sortWithinPartitions("key")
-    found = own.mapInArrow(_searched, "a long, b long, lo long, hi long")
+    found = own.mapInArrow(_searched, "a long, b long, runs array<struct<lo: long, hi: long>>")
     large = rows.where("large")
     if not last and not large.isEmpty():
-        found = found.unionByName(repeats(large.select("a", "b", F.col("seg").alias("data"), F.col("m").alias("w")), level + 1))
+        deeper = repeats(large.select("a", "b", F.col("seg").alias("data"), F.col("m").alias("w")), level + 1)
+        found = found.unionByName(deeper.select("a", "b", F.expr(MERGED).alias("runs")))
     found = cut(found)
-    # a segment's own windows, moved to where the segment stands in each text
+    # a segment's own runs, moved to where the segment stands in each text
     places = segs.select("a", "b", "s", *(c.alias(f"seg_{k}") for k, c in zip("ab", (F.xxhash64("seg"), F.xxhash64(F.lit(7), "seg")), strict=True)))
     places = likely_in(places, found, F.col("seg_a"), F.col("a"), BITS).distinct()
-    moved = places.join(found.select(F.col("a").alias("seg_a"), F.col("b").alias("seg_b"), "lo", "hi"), ["seg_a", "seg_b"])
-    moved = moved.select("a", "b", (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
+    moved = places.join(found.select(F.col("a").alias("seg_a"), F.col("b").alias("seg_b"), "runs"), ["seg_a", "seg_b"])
+    moved = moved.select("a", "b", F.expr("transform(runs, r -> named_struct('lo', r.lo + s, 'hi', r.hi + s))").alias("runs"))
     copies = texts.select("a", "b", F.octet_length("data").cast("long").alias("size"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("size").alias("size"))
-    whole = copies.where(f"w > 1 and size >= {LENGTH}").select("a", "b", F.lit(0).cast("long").alias("lo"), (F.col("size") - LENGTH + 1).alias("hi"))
-    return moved.unionByName(whole)
+    whole = copies.where(f"w > 1 and size >= {LENGTH}").select("a", "b", F.expr(f"array(named_struct('lo', 0L, 'hi', size - {LENGTH - 1}))").alias("runs"))
+    return moved.unionByName(whole).groupBy("a", "b").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
 def _kept(columns: list[str]):
@@ -355,7 +364,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = documents_of(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     rows = rows.select("doc_id", "data", F.octet_length("data").cast("long").alias("n_bytes"), *_marks("data"))
     found = repeats(rows.select("a", "b", "data", F.lit(1).cast("long").alias("w")))
-    gone = cut(found.distinct().groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs")))
+    gone = cut(found)
     columns = ["doc_id", "n_bytes"]
     # only texts that may lose something are shuffled and go to Python
     near = likely_in(rows, gone, F.col("a"), F.col("a"), BITS, marked=True)

@@ -178,7 +178,7 @@ def test_many_windows_of_one_anchor(spark, monkeypatch):
     phrase = "a phrase of over thirty-two bytes, that is here and there and nowhere else"
     texts = [f"{' '.join(str(r.randrange(10**9)) for _ in range(30))} {phrase} {r.randrange(10**9)} {'and on and on it goes ' * (k % 4)}{' '.join(str(r.randrange(10**9)) for _ in range(30))}" for k in range(60)]
     texts += [texts[0][40:] + "x", texts[7][:-30], texts[7][100:]]
-    monkeypatch.setattr(suffixes, "ROOM", 3000)
+    monkeypatch.setattr(suffixes, "LARGE", 3000)
     levels, real = [], suffixes.repeats
     monkeypatch.setattr(suffixes, "repeats", lambda t, level=0: levels.append(level) or real(t, level))
     check_repeats(spark, texts + copied(2, 20))
