@@ -220,7 +220,7 @@ def national_means(spark, d):
 
 @query("""select n_regionkey as region_code, code, array_to_string(list_slice(list_sort(list(distinct n_name)), 1, 8), ' | ') as examples from {macro} join nation on dept = n_nationkey group by all""")
 def label_examples(spark, d):
-    return macro(spark, d).join(F.broadcast(territories(spark, d)), "dept").groupBy("region_code", "code").agg(aggregates.examples("n_name").alias("examples"))
+    return macro(spark, d).join(F.broadcast(territories(spark, d)), "dept").transform(aggregates.examples, ["region_code", "code"], "n_name")
 
 
 @query("""select count(*)::bigint as n, count(distinct o_custkey)::bigint as customers, round(min(o_totalprice), 6) as lowest, round(max(o_totalprice), 6) as highest, round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 6) as mean, round(median(o_totalprice), 6) as median, round(100.0::double * avg(case when o_orderkey % 9 = 0 then 1 else 0 end), 2) as missing from orders""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from territoria.operators.ranks import percentiles
@@ -44,9 +44,15 @@ def missing_months(df: DataFrame, year: str, month: str) -> DataFrame:
     return df.groupBy(year).agg(F.array_except(F.sequence(F.lit(1), F.lit(12)), F.collect_set(F.col(month).cast("int"))).alias("missing")).where(F.size("missing") > 0)
 
 
-def examples(value: str, n: int = 8) -> Column:
-    """The first distinct values in order, joined by bars."""
-    return F.array_join(F.slice(F.array_sort(F.collect_set(value)), 1, n), " | ")
+def examples(df: DataFrame, keys: list[str], value: str, name: str = "examples", n: int = 8) -> DataFrame:
+    """(keys, name): the first n different values of each key in order, joined by bars. Values are made different and
+    limited to n before they are gathered, and before they are shuffled to their key, so no array or task holds more."""
+    distinct = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    first = distinct.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where(F.col("_at") <= n)
+    found = first.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", F.col(value).alias("_v")))), lambda x: x["_v"]), " | ").alias(name))
+    alone = df.select(*keys).distinct()
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    return alone.alias("a").join(found.alias("f"), on, "left").select(*(F.col(f"a.{k}") for k in keys), F.coalesce(F.col(f"f.{name}"), F.lit("")).alias(name))
 
 
 def missing_by(df: DataFrame, group: str, expected: DataFrame) -> DataFrame:

@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from territoria.functions.periods import year_before
 
 
-def snapshot_years(left: DataFrame, right: DataFrame, left_year: str, right_year: str, ahead: int) -> DataFrame:
-    """For each year on the left the latest year on the right up to `ahead` years after it. There is a row per distinct
-    year only, so the inequality join is of tiny tables."""
-    a, b = left.select(F.col(left_year).alias("_l")).distinct(), right.select(F.col(right_year).alias("_r")).distinct()
-    return F.broadcast(a).join(F.broadcast(b), F.col("_r") <= F.col("_l") + ahead).groupBy("_l").agg(F.max("_r").alias("_r"))
+def different(df: DataFrame, value: str | Column) -> Column:
+    """The different values of a column with few of them (years), ascending, as one array: a scalar subquery, so no join is
+    planned for it."""
+    return df.select(F.sort_array(F.collect_set(value))).scalar()
+
+
+def with_latest_year(left: DataFrame, name: str, year: Column, right: DataFrame, right_year: str, ahead: int = 0) -> DataFrame:
+    """left with the latest year on the right that is up to `ahead` years after its own, null where there is none."""
+    held = left.withColumn("_years", different(right, right_year))
+    return held.withColumn(name, F.array_max(F.filter("_years", lambda y: y <= year + ahead))).drop("_years")
 
 
 def snapshot_asof(left: DataFrame, right: DataFrame, on: list[str], left_year: str, right_year: str, ahead: int = 0) -> DataFrame:
     """Each left row with the right rows of equal keys from the latest snapshot, that is the latest year of any key. A
     key that the snapshot lacks has no row."""
-    years = snapshot_years(left, right, left_year, right_year, ahead)
-    dated = left.join(F.broadcast(years), F.col(left_year) == F.col("_l")).drop("_l")
-    joined = dated.withColumnRenamed("_r", "_y").join(right.withColumnRenamed(right_year, "_y"), [*on, "_y"])
-    return joined.withColumnRenamed("_y", "snapshot_year")
+    dated = with_latest_year(left, "_y", F.col(left_year), right, right_year, ahead)
+    return dated.join(right.withColumnRenamed(right_year, "_y"), [*on, "_y"]).withColumnRenamed("_y", "snapshot_year")
 
 
 def conformed(frames: list[DataFrame], key: str, column: str) -> DataFrame:
@@ -53,8 +56,12 @@ def year_over_year(series: DataFrame, period: str, value: str) -> DataFrame:
 
 def propagated(annual: DataFrame, periods: DataFrame, year: str, period: str) -> DataFrame:
     """Each annual row at each period from its year's first month on. Periods compare as strings: a bare year comes
-    before its own months."""
-    return annual.crossJoin(periods).where(F.col(period) >= F.concat(F.col(year).cast("string"), F.lit("-01")))
+    before its own months. Periods are binned by their first four characters; a row goes to the few bins from its year's
+    on, where both sides meet by an equal key."""
+    begin = F.col(year).cast("string")
+    binned = annual.withColumn("_bins", different(periods, F.substring(period, 1, 4)))
+    binned = binned.withColumn("_bin", F.explode(F.filter("_bins", lambda y: y >= F.substring(begin, 1, 4)))).drop("_bins")
+    return binned.join(periods.withColumn("_bin", F.substring(period, 1, 4)), "_bin").where(F.col(period) >= F.concat(begin, F.lit("-01"))).drop("_bin")
 
 
 def months_or_year(annual: DataFrame, months: DataFrame, year: str, month: str) -> DataFrame:
@@ -90,11 +97,29 @@ def absent_keys(rows: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(there.select(*keys).distinct(), keys, "left_anti")
 
 
-def best_matches(sets: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+def candidate_pairs(sets: DataFrame, candidates: DataFrame, n: int, common: int) -> DataFrame:
+    """(name, cand): pairs among which are the n candidates (cand, cw) that share most words with each set (name, w).
+
+    A word that at most `common` candidates hold is rare, and all who share it meet. Of candidates that share nothing but
+    common words with a set, those with the same common words are equals, so the first n by name of each such kind will do:
+    kinds meet sets, candidates don't. If one of these n shares a rare word as well, it only ranks higher."""
+    words = candidates.select("cand", F.explode(F.array_distinct("cw")).alias("word")).where("word is not null")
+    frequent = words.groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") > common).select("word")
+    wanted = sets.select("name", F.explode(F.array_distinct("w")).alias("word"))
+    rare = wanted.join(frequent, "word", "left_anti").join(words, "word").select("name", "cand")
+    kinds = words.join(frequent, "word").groupBy("cand").agg(F.sort_array(F.collect_list("word")).alias("kind"))
+    first = kinds.withColumn("_at", F.row_number().over(Window.partitionBy("kind").orderBy("cand"))).where(F.col("_at") <= n).drop("_at")
+    met = wanted.join(first.select("kind").distinct().withColumn("word", F.explode("kind")), "word").select("name", "kind").distinct()
+    return rare.unionByName(met.join(first, "kind").select("name", "cand")).distinct()
+
+
+def best_matches(sets: DataFrame, candidates: DataFrame, n: int, common: int = 1000) -> DataFrame:
     """(name, cand, overlap, place): of the candidates (cand, cw) the n that share most words with each set (name, w),
-    the first by name among equals. Only pairs that share a word meet, and they are counted before they are ranked."""
-    words = candidates.select("cand", F.explode("cw").alias("word"))
-    shared = sets.select("name", F.explode("w").alias("word")).join(words, "word").groupBy("name", "cand").agg(F.count("*").alias("overlap"))
+    the first by name among equals; candidates that share none are left out. A word that stands nearly everywhere makes no
+    pairs of its own (see candidate_pairs), so pairs grow with the rows; overlaps are of whole sets. Names on either side
+    are unique."""
+    pairs = candidate_pairs(sets, candidates, n, common).join(sets.select("name", "w"), "name").join(candidates.select("cand", "cw"), "cand")
+    shared = pairs.select("name", "cand", F.size(F.array_intersect("w", "cw")).cast("long").alias("overlap")).where("overlap > 0")
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("overlap"), "cand"))
     return shared.withColumn("place", place.cast("long")).where(F.col("place") <= n)
 

@@ -13,11 +13,11 @@ from territoria.functions.numbers import parsed_loose
 from territoria.functions.periods import first_year
 from territoria.functions.text import column_name
 
-#: Names of columns by role (fixed values), as identifiers.
-YEARS = ("annee", "year", "date_annee", "exercice")
-PLACES = ("departement", "department", "dep", "code_departement", "departement_name", "region")
-INDICATORS = ("indicator_name", "indicateur", "indicator", "variable", "type")
-VALUES = ("value", "valeur", "montant", "nombre")
+#: Names of columns by role (fixed values), as identifiers; some more that sources of the same kind use follow in each.
+YEARS = ("year", "annee", "exercice", "date_annee")
+PLACES = ("departement", "region", "territoire", "department", "dep", "code_departement", "departement_name")
+INDICATORS = ("indicator_name", "indicator", "indicateur", "libelle", "categorie", "variable", "type")
+VALUES = ("value", "valeur", "nombre", "nb", "montant", "taux")
 #: Shares from which a column is a number, or is a place: much text, few numbers.
 NUMERIC, TEXTUAL, FEW_NUMBERS = 0.6, 0.7, 0.4
 

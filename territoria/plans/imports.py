@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from territoria.functions.numbers import finite, guarded_ratio
 from territoria.functions.text import code_strict
-from territoria.operators.joins import propagated, snapshot_asof, year_over_year
+from territoria.operators.joins import propagated, with_latest_year, year_over_year
 from territoria.operators.reshape import stacked
 
 
@@ -33,8 +33,8 @@ def unemployment(macro: DataFrame, periods: DataFrame, keys: list[str]) -> DataF
     """Unemployed per hundred active people at each period, from the latest macro year that isn't after it. macro: keys,
     year, ACT, CHOM; sums of several territories count missing parts as zero."""
     sums = macro.groupBy(*keys, "year").agg(F.sum(F.coalesce("ACT", F.lit(0.0))).alias("ACT"), F.sum(F.coalesce("CHOM", F.lit(0.0))).alias("CHOM"))
-    left = periods.select("period", F.substring("period", 1, 4).cast("int").alias("_year")).crossJoin(sums.select(*keys).distinct())
-    joined = snapshot_asof(left, sums, keys, "_year", "year")
+    dated = with_latest_year(periods.select("period"), "snapshot_year", F.substring("period", 1, 4).cast("int"), macro, "year")
+    joined = dated.join(sums, F.col("snapshot_year") == F.col("year"))
     return joined.select(*keys, "period", "snapshot_year", guarded_ratio(F.col("CHOM"), F.col("ACT"), 100.0).alias("value"))
 
 

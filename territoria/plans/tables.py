@@ -9,10 +9,11 @@ from territoria.functions.numbers import parsed_loose
 from territoria.functions.text import match_or_null, name_words, page_text, squeezed
 from territoria.operators.windows import first_by
 
-#: A figure of a text page: digits with blanks, a comma and decimals.
-FIGURE = r"-?\d{1,3}(?:[  ]\d{3})*,\d+|-?\d+,\d+"
-#: A department: its code, perhaps a dash, and its name.
-DEPARTMENT = r"^\s*(2[AB]|2[ab]|\d{2})\s*[-–]?\s*(\S.*)$"
+#: A figure of a text page: digits, perhaps in threes with blanks between, a comma or point, and decimals.
+FIGURE = r"-?\d{1,3}(?:[  ]\d{3})*[,.]\d+|-?\d+[,.]\d+"
+#: A department: its code, of two digits, of three overseas, or of a digit and a letter; a blank or a dash; and its name,
+#: which begins with a letter.
+DEPARTMENT = r"^\s*(\d[ABab]|9[78]\d|\d{2})(?:\s*[-–]\s*|\s+)(\p{L}.*)$"
 
 
 def cell(c: Column) -> Column:
@@ -59,7 +60,7 @@ def statement_rows(lines: DataFrame, page: list[str], regions: list[str], indica
 
 
 def _numeric_after_first() -> Column:
-    return F.size(F.filter(F.slice("cells", 2, 1000), lambda x: parsed_loose(x).isNotNull()))
+    return F.size(F.filter("cells", lambda x, k: (k > 0) & parsed_loose(x).isNotNull()))
 
 
 def region_label(first: Column) -> Column:
