@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from territoria.catalogue.registry import query, rounded, table
 from territoria.functions import dates
 from territoria.operators import roles
-from territoria.plans import harmonise, tables
+from territoria.plans import harmonise, layout, tables
 from territoria.reference_data import MONTHS
 
 LONG = ["departement", "year", "indicator_name", "value", "source_file"]
@@ -129,6 +130,29 @@ def statement_tables(spark, d):
     return tables.table_rows(dept.unionByName(region).unionByName(one).unionByName(two), ["page"])
 
 
+@query(f"""with f as ({FIGURES}), t as (select page, 'Territoire|Nombre|Total|Clients' as cells, -1 as k from f union select page, printf('%02d', k) || ' ' || name || '|' || a || '|' || b || '|' || c, k from f)
+select page, case substr(page, 6, 2)::int % 3 when 0 then '0 lines lines' when 1 then '1 lines text' else '2 text text' end as strategy, (row_number() over (partition by page order by k) - 1)::int as row_no, cells from t""")
+def positioned_tables(spark, d):
+    """Pages of words that have places: of every three months one has a grid of rules, one has upright rules only, one none.
+    A title far above is no table."""
+    f, month = _figures(spark, d), F.substring("page", 6, 2).cast("int") % 3
+    at = F.row_number().over(Window.partitionBy("page").orderBy("k"))
+    label = F.concat_ws(" ", F.format_string("%02d", "k"), "name")
+    head = f.select("page").distinct().select("page", F.lit(0).alias("at"), *(F.lit(x).alias(c) for c, x in zip("labc", ("Territoire", "Nombre", "Total", "Clients"), strict=True)))
+    rows = head.unionByName(f.select("page", at.alias("at"), label.alias("l"), *(F.col(c).cast("string") for c in "abc")))
+    top = 100.0 + F.col("at") * 14 + F.col("at") % 3
+    words = rows.select("page", top.alias("top"), "a", "b", "c", F.split("l", " ").alias("w"))
+    left = words.select("page", "top", "w", F.posexplode("w").alias("n", "text")).withColumn("x0", 20.0 + 5 * F.length(F.array_join(F.slice("w", F.lit(1), F.col("n")), " ")) + F.when(F.col("n") > 0, 5).otherwise(0)).withColumn("x1", F.col("x0") + 5 * F.length("text"))
+    right = words.select("page", "top", F.explode(F.array(*(F.struct(F.lit(x).alias("x1"), F.col(c).alias("text")) for c, x in zip("abc", (220.0, 320.0, 420.0), strict=True)))).alias("e")).select("page", "top", "e.x1", "e.text").withColumn("x0", F.col("x1") - 5 * F.length("text"))
+    title = head.select("page", F.lit(20.0).alias("top"), F.lit(20.0).alias("x0"), F.lit(300.0).alias("x1"), F.lit("Situation").alias("text"))
+    placed = left.select("page", "x0", "x1", "top", "text").unionByName(right.select("page", "x0", "x1", "top", "text")).unionByName(title).withColumn("bottom", F.col("top") + 10)
+    size = rows.groupBy("page").agg((98.0 + 14 * F.count("*")).alias("end")).withColumn("kind", month)
+    upright = size.where("kind < 2").select("page", F.explode(F.array(*(F.lit(x) for x in (15.0, 150.0, 250.0, 350.0, 430.0)))).alias("x0"), F.lit(98.0).alias("top"), F.col("end").alias("bottom")).withColumn("x1", F.col("x0") + 1)
+    flat = size.where("kind = 0").select("page", F.explode(F.expr("transform(sequence(0, cast((end - 98) / 14 as int)), r -> 98.0D + 14 * r)")).alias("top")).select("page", F.lit(15.0).alias("x0"), F.lit(431.0).alias("x1"), "top", (F.col("top") + 0.5).alias("bottom"))
+    found = tables.first_tables(layout.page_tables(placed, upright.unionByName(flat), ["page"]), ["page"])
+    return found.select("page", "strategy", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
 @query("""select n_regionkey as page, n_nationkey as row_no, unnest(['name', 'col_1']) as name, unnest([n_name, n_nationkey::varchar]) as value from nation""")
 def text_tables(spark, d):
     n = table(spark, d, "nation")

@@ -7,6 +7,7 @@ import importlib
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -53,56 +54,45 @@ def distinct_names(names: list[str], fold: bool = True, keep: bool = False) -> l
     return out
 
 
-def archive_lines(spark: SparkSession, path: str, skip: str = "meta", every: bool = False) -> DataFrame:
-    """(path, member, header, line) of the delimited members of ZIP archives whose name lacks `skip`: the largest of each
-    archive, or every one. An archive can't be split, so a task reads it as a stream and lets lines go as text; a line
-    goes on while a quote in it is open. An archive without such a member gives no rows."""
-
-    def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "member", "header", "line"]
+def archive_rows(spark: SparkSession, path: str, separator: str = ";", skip: str = "meta", every: bool = False) -> DataFrame:
+    """(path, member, fields) of the delimited members of ZIP archives whose name lacks `skip`: the largest of each archive,
+    or every one. fields maps a member's own column names to texts, so members of any headers go through one pass. An
+    archive can't be split, so a task reads it as a stream; a field may span lines. A plain delimited file is its own only
+    member; an archive without such a member gives no rows; a row's fields beyond its header are left out."""
+
+    def members(name: str, content) -> Iterator[tuple[str, io.TextIOBase]]:
+        if not zipfile.is_zipfile(pa.BufferReader(content)):
+            yield name.rpartition("/")[2], io.TextIOWrapper(pa.BufferReader(content), "utf-8-sig", newline="")
+            return
+        with zipfile.ZipFile(pa.BufferReader(content)) as z:
+            found = sorted((i for i in z.infolist() if i.filename.lower().endswith(".csv") and skip not in i.filename.lower()), key=lambda i: -i.file_size)
+            for member in found if every else found[:1]:
+                with z.open(member) as raw:
+                    yield member.filename, io.TextIOWrapper(raw, "utf-8-sig", newline="")
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
         for part in parts:
             for name, content in zip(part.column("path").to_pylist(), part.column("content"), strict=True):
-                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as z:
-                    found = sorted((i for i in z.infolist() if i.filename.lower().endswith(".csv") and skip not in i.filename.lower()), key=lambda i: -i.file_size)
-                    for member in found if every else found[:1]:
-                        with z.open(member) as raw:
-                            header, held, open_ = None, [], ""
-                            for text in io.TextIOWrapper(raw, "utf-8-sig", newline="\n"):
-                                open_ += text
-                                if open_.count('"') % 2:
-                                    continue
-                                line, open_ = open_.rstrip("\r\n"), ""
-                                if header is None:
-                                    header = line
-                                    continue
-                                held.append(line)
-                                if len(held) == 10_000:
-                                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(held)) for x in (name, member.filename, header)] + [pa.array(held)], names)
-                                    held = []
-                            if held:
-                                yield pa.RecordBatch.from_arrays([pa.array([x] * len(held)) for x in (name, member.filename, header)] + [pa.array(held)], names)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "path string, member string, header string, line string")
-
-
-#: Different headers that the members of one set of archives may have.
-HEADERS = 100
-
-
-def archived(spark: SparkSession, path: str, separator: str = ";", skip: str = "meta", every: bool = False) -> DataFrame:
-    """The rows of delimited members of ZIP archives (see archive_lines) as text columns, with path and member; a column
-    that a member lacks is null. Lines are parsed on Spark's side, by each header there is."""
-    lines = archive_lines(spark, path, skip, every)
-    found = [r["header"] for r in lines.select("header").distinct().limit(HEADERS + 1).collect()]
-    if len(found) > HEADERS:
-        raise ValueError(f"more than {HEADERS} different headers")
-    out = None
-    for header in sorted(found):
-        names = distinct_names(next(csv.reader([header], delimiter=separator)), keep=True)
-        schema = ", ".join(f"`{n}` string" for n in names)
-        rows = lines.where(F.col("header") == header).select("path", "member", F.from_csv("line", schema, {"sep": separator, "multiLine": "true"}).alias("r")).select("path", "member", "r.*")
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return lines.select("path", "member").limit(0) if out is None else out
+                for member, text in members(name, content.as_buffer()):
+                    lines = csv.reader(text, delimiter=separator)
+                    names = distinct_names(next(lines, []), keep=True)
+                    while held := list(islice(lines, 10_000)):
+                        held = [list(zip(names, (x or None for x in line), strict=False)) for line in held if line]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array([member] * len(held)), pa.array(held, kind)], ["path", "member", "fields"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, member string, fields map<string, string>")
+
+
+def archived(spark: SparkSession, path: str, separator: str = ";", skip: str = "meta", every: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """The rows of archives (see archive_rows) as text columns, with path and member; a column that a member lacks is null.
+    Without `columns`, the columns are all that any member has, by name: rows are kept while one aggregate finds them, so
+    each archive is still opened once, whatever the number of headers."""
+    rows = archive_rows(spark, path, separator, skip, every)
+    if columns is None:
+        rows = rows.persist()
+        columns = sorted(rows.select(F.explode(F.map_keys("fields"))).distinct().toPandas().iloc[:, 0])  # a name for each column
+    return rows.select("path", "member", *(F.col("fields")[c].alias(c) for c in columns))
 
 
 def profiled(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
@@ -128,6 +118,37 @@ def xml_cells(df: DataFrame, column: str, schema: str, row_tag: str) -> DataFram
     return df.select(F.explode(F.from_xml(column, f"{row_tag} array<struct<{schema}>>")[row_tag]).alias("r")).select("r.*")
 
 
+#: A document of local data: its data set, the variables with their modalities, and the cells. Attributes begin with an
+#: underscore, an element's own text is _VALUE.
+LOCAL_DATA = """JeuDonnees struct<_code string, Annee string, Libelle string, Source string>,
+Variable array<struct<_code string, Libelle string, Modalite array<struct<_code string, Libelle string>>>>,
+Cellule array<struct<Zone struct<_codgeo string, _nivgeo string>, Mesure struct<_code string, _VALUE string>, Modalite array<struct<_code string, _variable string>>, Valeur string>>"""
+
+
+def local_data(df: DataFrame, column: str, source: str) -> DataFrame:
+    """A row per cell of XML documents of local data (column), from where they came (source): source_url, the data set's code,
+    year, label and source, geo_level, departement_code, measure_code, measure_label, modalities_json, value.
+
+    A cell's modalities name their variable and code; labels are looked up among the document's own, the last of equal
+    codes, and go into the JSON with them, null where there is none. A value that is no number is null, and so is what a
+    document or cell lacks; a document without cells, or one that can't be read, gives no rows."""
+    doc = df.select(F.col(source).alias("source_url"), F.from_xml(column, LOCAL_DATA).alias("d")).select("source_url", "d.*")
+    labels = {
+        "_variables": "transform(coalesce(Variable, array()), v -> struct(v._code as k, v.Libelle as l))",
+        "_modalities": "flatten(transform(coalesce(Variable, array()), v -> transform(coalesce(v.Modalite, array()), m -> struct(concat_ws('|', v._code, m._code) as k, m.Libelle as l))))",
+    }
+    for name, entries in labels.items():  # one map for each document, of its last label by code
+        doc = doc.withColumn(name, F.expr(f"filter({entries}, e -> e.k is not null)"))
+        doc = doc.withColumn(name, F.expr(f"map_from_entries(filter({name}, (e, i) -> not exists(slice({name}, i + 2, size({name})), x -> x.k = e.k)))"))
+    cells = doc.select("source_url", "JeuDonnees", *labels, F.explode("Cellule").alias("c"))
+    modalities = F.expr("""transform(coalesce(c.Modalite, array()), m -> struct(m._variable as variable_code, _variables[m._variable] as variable_label,
+      m._code as modality_code, _modalities[concat_ws('|', m._variable, m._code)] as modality_label))""")
+    return cells.select(
+        "source_url", *(F.col(f"JeuDonnees.{c}").alias(n) for c, n in (("_code", "dataset_code"), ("Annee", "dataset_year"), ("Libelle", "dataset_label"), ("Source", "dataset_source"))),
+        F.col("c.Zone._nivgeo").alias("geo_level"), F.col("c.Zone._codgeo").alias("departement_code"), F.col("c.Mesure._code").alias("measure_code"), F.col("c.Mesure._VALUE").alias("measure_label"),
+        F.to_json(modalities, {"ignoreNullFields": "false"}).alias("modalities_json"), F.col("c.Valeur").try_cast("double").alias("value"))
+
+
 def monthly_index(df: DataFrame, column: str) -> DataFrame:
     """(period, value) of the monthly observations in SDMX documents."""
     series = F.from_xml(column, "DataSet struct<Series struct<Obs array<struct<_TIME_PERIOD string, _OBS_VALUE string>>>>")
@@ -140,7 +161,8 @@ def nested_lines(df: DataFrame, path: str) -> None:
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, column, value) for the cells of workbooks; needs openpyxl."""
+    """(path, sheet, row, column, value) for the cells of workbooks that hold anything, so an empty sheet has no rows; needs
+    openpyxl."""
     importlib.import_module("openpyxl")
 
     def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +178,7 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page_number, text) of PDF files; needs pdfplumber."""
+    """(path, page_number, text) of PDF files, by their first bytes; others give no rows; needs pdfplumber."""
     importlib.import_module("pdfplumber")
 
     def pages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,6 +186,8 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
 
         for part in parts:
             for name, content in zip(part["path"], part["content"], strict=True):
+                if bytes(content[:4]) != b"%PDF":
+                    continue
                 with pdfplumber.open(io.BytesIO(content)) as f:
                     yield pd.DataFrame([(name, k + 1, p.extract_text() or "") for k, p in enumerate(f.pages)], columns=["path", "page_number", "text"])
 
