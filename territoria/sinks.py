@@ -141,15 +141,19 @@ def expect(df: DataFrame, unique: list[str] = (), known: dict[str, DataFrame] |
     return df
 
 
-def journalled(spark: SparkSession, path: str, run_id: str, steps: dict[str, Callable[[], bool]]) -> str:
+def journalled(spark: SparkSession, path: str, run_id: str, steps: dict[str, Callable[[], bool]], gates: dict[str, Callable[[], bool]] | None = None) -> str:
     """Runs steps in order and appends their outcome to a journal: success, quality_failed where a step returns False,
-    or failed, after which the error goes on."""
+    skipped where a step's gate doesn't open, or failed, after which the error goes on."""
     status = "success"
 
     def note(step: str, status: str) -> None:
         spark.createDataFrame([(run_id, step, status)], "run_id string, step string, status string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
     for name, step in steps.items():
+        if gates and name in gates and not gates[name]():
+            status = "quality_failed"
+            note(name, "skipped")
+            continue
         note(name, "running")
         try:
             if step() is False:
