@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,19 +29,82 @@ def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+#: Seconds after which a writer that hasn't ended counts as dead, and buckets that keyed tables are kept in.
+LEASE, BUCKETS = 3600, 64
+
+
+class Lease:
+    """The right to write a table, until it expires: a file with a number, one more than that of the lease before, in a
+    folder beside the table, in the table's own store. Only one writer can create a number. Who comes after a lease that
+    expired takes the next number, and whoever holds an older one fails at `check`, which comes before each commit."""
+
+    def __init__(self, spark: SparkSession, path: str, owner: str, seconds: float):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.folder, self.what = f"{path.rstrip('/')}.leases", path
+        self.fs = self.path(self.folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.jvm, newest = jvm, self._newest()
+        if newest and not self.fs.exists(self.path(f"{self._file(newest)}.ended")):
+            until, who = self._read(newest)
+            if time.time() < until:
+                raise RuntimeError(f"another writer, {who}, is at {path}")
+        self.token = newest + 1
+        try:
+            out = self.fs.create(self.path(self._file(self.token)), False)
+        except Exception as e:
+            raise RuntimeError(f"another writer was first at {path}") from e
+        out.write(bytearray(f"{time.time() + seconds} {owner}".encode()))
+        out.close()
+        for old in range(max(1, newest - 8), newest):  # a few are kept to read
+            for name in (self._file(old), f"{self._file(old)}.ended"):
+                self.fs.delete(self.path(name), False)
+
+    def _file(self, token: int) -> str:
+        return f"{self.folder}/{token:012d}"
+
+    def _newest(self) -> int:
+        at = self.path(self.folder)
+        names = [x.getPath().getName() for x in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _read(self, token: int) -> tuple[float, str]:
+        stream = self.fs.open(self.path(self._file(token)))
+        try:
+            text = bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+        until, _, who = text.partition(" ")
+        return (float(until), who) if until else (time.time() + 60, "unknown")  # created, not yet written
+
+    def check(self) -> None:
+        """An error if someone else has taken over."""
+        if self._newest() != self.token:
+            raise RuntimeError(f"the lease on {self.what} expired and is another writer's now")
+
+    def end(self) -> None:
+        if self._newest() == self.token:
+            self.fs.createNewFile(self.path(f"{self._file(self.token)}.ended"))
+
+    def moved(self, staged: str, path: str) -> None:
+        """The files of a staged table into a table's folder, under names that tell the lease; the staged folder goes."""
+        self.check()
+        self.fs.mkdirs(self.path(path))
+        for x in self.fs.listStatus(self.path(staged)):
+            name = x.getPath().getName()
+            if name.startswith("part-") and not self.fs.rename(x.getPath(), self.path(f"{path}/{name.replace('part-', f'part-{self.token}-', 1)}")):
+                raise RuntimeError(f"{name} can't be moved to {path}")
+        self.fs.delete(self.path(staged), True)
+
+
 @contextmanager
-def only_writer(spark: SparkSession, path: str) -> Iterator[None]:
-    """Holds a mark beside a table while it is read and written, in the table's own store; a mark that is there already
-    is an error, so that two writers never insert the same key."""
-    jvm = spark._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.writing")
-    fs = mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.createNewFile(mark):
-        raise RuntimeError(f"another writer is at {path}, or one ended without removing {mark}")
+def only_writer(spark: SparkSession, path: str, owner: str = "writer", seconds: float = LEASE) -> Iterator[Lease]:
+    """Holds the lease on a table while it is read and written, so that two writers never insert the same key. A lease that
+    is held is an error; one whose writer died is taken over when it has expired."""
+    lease = Lease(spark, path, owner, seconds)
     try:
-        yield
+        yield lease
     finally:
-        fs.delete(mark, False)
+        lease.end()
 
 
 def refreshed(df: DataFrame, path: str, by: list[str] = ()) -> None:
@@ -55,30 +119,50 @@ def exchanged(df: DataFrame, path: str, separator: str = ";") -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
 
 
-def scores_replaced(scores: DataFrame, details: DataFrame, path: str, keys: list[str]) -> int:
-    """Writes new scores and their parts beside the old ones as the next version of both tables: a score replaces that of
-    its key, and all parts of the one before go with it. Tells the version. Readers take the newest (`current`)."""
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def scores_replaced(scores: DataFrame, details: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> int:
+    """Writes new scores and their parts: a score replaces that of its key, and all parts of the one before go with it.
+    Both tables are kept in buckets by key, and only those buckets that a new score falls in are written, as files of the
+    next version; a manifest that tells each bucket's version is written last, which is the commit. Tells the version.
+    Readers take the newest (`current`); what a writer left that died isn't in any manifest."""
     spark = scores.sparkSession
-    with only_writer(spark, path):
-        newest = stored(spark, f"{path}/versions", StructType.fromDDL("version int")).agg(F.max("version")).first()[0] or 0
+    with only_writer(spark, path) as lease:
+        version = stored(spark, f"{path}/versions", StructType.fromDDL("version int")).agg(F.max("version")).first()[0] or 0
+        version += 1
+        touched = [r[0] for r in scores.select(_bucket(keys, buckets)).distinct().collect()]  # a few numbers
+        manifest = []
         for name, new in (("scores", scores), ("details", details)):
-            old = stored(spark, f"{path}/{name}/{newest}", new.schema)
+            old = current(spark, path, name, new.schema, touched)
             rest = old.join(scores.select(*keys).distinct(), keys, "left_anti")
-            rest.unionByName(new).write.mode("overwrite").parquet(f"{path}/{name}/{newest + 1}")
-        spark.createDataFrame([(newest + 1,)], "version int").write.mode("append").parquet(f"{path}/versions")
-        return newest + 1
-
-
-def current(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The newest whole version of a table that scores_replaced wrote."""
-    newest = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/{name}/{newest}")
+            at = f"{path}/{name}/{version}"
+            rows = rest.unionByName(new).withColumn("bucket", _bucket(keys, buckets))
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+            there = {r[0] for r in spark.read.parquet(at).select("bucket").distinct().collect()} if touched else set()
+            manifest += [(version, name, b, b in there) for b in touched]
+        lease.check()
+        spark.createDataFrame(manifest, "version int, name string, bucket int, filled boolean").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        return version
+
+
+def current(spark: SparkSession, path: str, name: str, schema: StructType | None = None, only: list[int] | None = None) -> DataFrame:
+    """The rows of a table that scores_replaced wrote, by the newest version of each bucket (or of some only)."""
+    known = stored(spark, f"{path}/versions", StructType.fromDDL("version int, name string, bucket int, filled boolean")).where(F.col("name") == name)
+    newest = known.groupBy("bucket").agg(F.max_by(F.struct("version", "filled"), "version").alias("v")).select("bucket", "v.*").collect()  # a row for each bucket
+    paths = [f"{path}/{name}/{r['version']}/bucket={r['bucket']}" for r in newest if r["filled"] and (only is None or r["bucket"] in only)]
+    if not paths:
+        if schema is None:
+            raise LookupError(f"no {name} at {path}")
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
 
 
 def migrated(spark: SparkSession, path: str, migrations: list[tuple[str, str, Callable[[SparkSession], None]]]) -> dict[str, list[str]]:
     """Runs those migrations (version, description, step) that the registry at a path doesn't know, in order, each noted
     as soon as it has run; a second call runs none."""
-    with only_writer(spark, path):
+    with only_writer(spark, path) as lease:
         known = {r["version"] for r in stored(spark, path, StructType.fromDDL("version string, description string, applied_at timestamp")).select("version").collect()}
         applied, already = [], []
         for version, description, step in migrations:
@@ -86,20 +170,23 @@ def migrated(spark: SparkSession, path: str, migrations: list[tuple[str, str, Ca
                 already.append(version)
                 continue
             step(spark)
+            lease.check()
             spark.createDataFrame([(version, description)], "version string, description string").withColumn("applied_at", F.current_timestamp()).write.mode("append").parquet(path)
             applied.append(version)
         return {"applied": applied, "already_applied": already}
 
 
 def insert_if_absent(new: DataFrame, path: str, keys: list[str], dry_run: bool = False) -> dict[str, int]:
-    """Appends rows with new keys; tells how many were inserted and how many were there. A dry run writes nothing."""
+    """Appends rows with new keys; tells how many were inserted and how many were there. A dry run writes nothing. Rows are
+    written beside the table first, and their files moved into it while the lease holds."""
     spark = new.sparkSession
-    with only_writer(spark, path):
+    with only_writer(spark, path) as lease:
         fresh = absent(new, stored(spark, path, new.schema), keys).persist()
         try:
             inserted, total = fresh.count(), new.select(*keys).distinct().count()
             if not dry_run and inserted:
-                fresh.write.mode("append").parquet(path)
+                fresh.write.mode("overwrite").parquet(staged := f"{path.rstrip('/')}.staged/{lease.token}")
+                lease.moved(staged, path)
             return {"inserted": inserted, "unchanged": total - inserted}
         finally:
             fresh.unpersist()

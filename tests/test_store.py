@@ -34,13 +34,57 @@ def test_migrations_run_once(spark, tmp_path):
     assert sinks.migrated(spark, at, steps)["already_applied"] == ["1", "2"]
 
 
+def test_one_score_rewrites_one_bucket(spark, tmp_path):
+    at, n = str(tmp_path / "s"), 400
+    score = lambda rows: spark.createDataFrame(rows, "code string, score double")
+    part = lambda rows: spark.createDataFrame(rows, "code string, indicator string, c double")
+    sinks.scores_replaced(score([(str(k), 1.0) for k in range(n)]), part([(str(k), "a", 1.0) for k in range(n)]), at, ["code"], 16)
+    sinks.scores_replaced(score([("7", 2.0)]), part([]), at, ["code"], 16)
+    for name in ("scores", "details"):
+        assert len(list((tmp_path / "s" / name / "1").glob("bucket=*"))) == 16 and len(list((tmp_path / "s" / name / "2").glob("bucket=*"))) == 1
+    scores, details = sinks.current(spark, at, "scores"), sinks.current(spark, at, "details")
+    assert scores.count() == n and [r["score"] for r in scores.where("code = '7'").collect()] == [2.0] and scores.where("score = 1").count() == n - 1
+    assert details.count() == n - 1 and details.where("code = '7'").isEmpty()
+    sinks.scores_replaced(score([("new", 3.0)]), part([("new", "b", 1.0)]), at, ["code"], 16)
+    assert sinks.current(spark, at, "scores").count() == n + 1 and sinks.current(spark, at, "details").count() == n
+    with pytest.raises(LookupError):
+        sinks.current(spark, str(tmp_path / "none"), "scores")
+
+
 def test_one_writer_at_a_time(spark, tmp_path):
     at, rows = str(tmp_path / "t"), spark.createDataFrame([(1, "a")], "k int, v string")
-    with sinks.only_writer(spark, at), pytest.raises(RuntimeError, match="another writer"):
+    with sinks.only_writer(spark, at, "first"), pytest.raises(RuntimeError, match="another writer, first"):
         sinks.insert_if_absent(rows, at, ["k"])
     assert sinks.insert_if_absent(rows, at, ["k"]) == {"inserted": 1, "unchanged": 0} and sinks.insert_if_absent(rows, at, ["k"])["unchanged"] == 1
 
 
+def test_a_dead_writer_and_a_late_one(spark, tmp_path):
+    """Who dies stops others until its lease expires; who comes back after that can't commit."""
+    at, rows = str(tmp_path / "t"), spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    dead = sinks.Lease(spark, at, "dead", 3600)
+    with pytest.raises(RuntimeError, match="dead"):
+        sinks.insert_if_absent(rows, at, ["k"])
+    dead.end()
+    late = sinks.Lease(spark, at, "late", 0)
+    assert sinks.insert_if_absent(rows.where("k = 1"), at, ["k"])["inserted"] == 1
+    rows.write.parquet(f"{at}.staged/late")
+    with pytest.raises(RuntimeError, match="expired"):
+        late.moved(f"{at}.staged/late", at)
+    late.end()  # changes nothing: the lease isn't its own
+    assert sinks.insert_if_absent(rows, at, ["k"]) == {"inserted": 1, "unchanged": 1}
+    assert sorted(tuple(r) for r in spark.read.parquet(at).collect()) == [(1, "a"), (2, "b")]
+    ran = []
+    late = sinks.Lease(spark, str(tmp_path / "m"), "late", 0)
+    steps = [("1", "first", lambda s: ran.append(1))]
+    assert sinks.migrated(spark, str(tmp_path / "m"), steps)["applied"] == ["1"] and ran == [1]
+    with pytest.raises(RuntimeError):
+        late.check()
+    for _ in range(12):
+        with sinks.only_writer(spark, at):
+            pass
+    assert len(list(tmp_path.glob("t.leases/*[0-9]"))) <= 3
+
+
 def test_refresh_and_exchange(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "k int, v array<string>")
     for _ in range(2):
