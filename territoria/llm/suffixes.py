@@ -17,7 +17,7 @@ U = np.uint64
 LENGTH = 200
 #: Bytes of the strings (anchors) by which windows of LENGTH bytes are dealt; where the windows of one anchor are too many
 #: for a task, they are dealt again by the next, longer one, and in the end by themselves.
-ANCHORS = (32, 180, 200)
+ANCHORS = (32, 140, 180, 200)
 #: Bytes that a suffix array has at least, where there are so many; that one anchor adds at most, but for the last kind; bytes
 #: of texts that are searched for anchors at once; windows of a segment.
 ROOM, LARGE, PART, PIECE = 1 << 20, 1 << 21, 1 << 20, 4096

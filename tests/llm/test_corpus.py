@@ -182,7 +182,7 @@ def test_many_windows_of_one_anchor(spark, monkeypatch):
     levels, real = [], suffixes.repeats
     monkeypatch.setattr(suffixes, "repeats", lambda t, level=0: levels.append(level) or real(t, level))
     check_repeats(spark, texts + copied(2, 20))
-    assert levels == [0, 1, 2]
+    assert levels == [0, 1, 2, 3]
 
 
 def test_a_text_longer_than_a_slice(spark, monkeypatch):
