@@ -35,16 +35,28 @@ def places(df: DataFrame, keys: list[str], value: str, name: str = "place") -> D
     return _with(parts, sizes.withColumn("_before", before).drop("_n"), [*keys, "_bucket"]).withColumn(name, (F.col("_before") + inside).cast("long")).drop("_bucket", "_before")
 
 
-def average_ranks(df: DataFrame, value: str, name: str, keys: list[str] = ()) -> DataFrame:
-    """df with the rank of each row's value in its group, from 1, ascending, the mean of the places for ties."""
-    keys = list(keys)
-    counts = bucketed(df, keys, value).groupBy(*keys, "_bucket", value).agg(F.count("*").alias("_c"))
-    sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_n"))
-    ahead = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_before", ahead("_n", keys, "_bucket")).drop("_n")
-    ranked = _with(counts.withColumn("_in", ahead("_c", [*keys, "_bucket"], value)), starts, [*keys, "_bucket"])
-    ranks = ranked.select(*keys, value, (F.col("_before") + F.col("_in") + (F.col("_c") + 1) / F.lit(2.0)).alias(name))
-    return _with(df, ranks, [*keys, value])
+def average_ranks(df: DataFrame, ranks: dict[str, str], keys: list[str] = ()) -> DataFrame:
+    """df with the rank of each row's value in its group, from 1, ascending, the mean of the places for ties, for several
+    columns at once (column of numbers to the rank's name). A null has no rank.
+
+    df is made once and kept for the two passes over it. One sketch of each group tells the parts of all columns; columns
+    are stacked as (column, value), equal values counted, and counts are ordered within their part only, so neither a
+    group nor a value that many rows share is one task's. Parts' own begins are few."""
+    keys, names = list(keys), list(ranks)
+    held = df.withColumn("_row", F.monotonically_increasing_id()).persist()
+    points = held.groupBy(*keys).agg(*(F.percentile_approx(c, [k / BUCKETS for k in range(1, BUCKETS)], ACCURACY).alias(f"_p{k}") for k, c in enumerate(names)))
+    below = lambda k, c: F.size(F.filter(f"_p{k}", lambda p: p < F.col(c)))
+    cells = F.array(*(F.struct(F.lit(k).alias("_k"), F.col(c).cast("double").alias("_v"), below(k, c).alias("_b")) for k, c in enumerate(names)))
+    stacked = _with(held, points, keys).select("_row", *keys, F.explode(cells).alias("_e")).select("_row", *keys, "_e._k", "_e._v", "_e._b").where("_v is not null")
+    part = [*keys, "_k", "_b"]
+    counts = stacked.repartition(*part).groupBy(*part, "_v").agg(F.count("*").alias("_c"))
+    inside = Window.partitionBy(*part)
+    placed = counts.withColumn("_in", F.sum("_c").over(inside.orderBy("_v"))).withColumn("_n", F.sum("_c").over(inside))
+    sizes = stacked.groupBy(*part).agg(F.count("*").alias("_n"))
+    begins = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = _with(placed, begins, part).select(*keys, "_k", "_v", (F.col("_before") + F.col("_in") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0)).alias("_rank"))
+    told = _with(stacked, ranked, [*keys, "_k", "_v"]).groupBy("_row").agg(*(F.max(F.when(F.col("_k") == k, F.col("_rank"))).alias(name) for k, name in enumerate(ranks.values())))
+    return held.join(told, "_row", "left").drop("_row")
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:

@@ -29,7 +29,7 @@ def comparison(rows: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     """Spearman's correlation over all pairs, null for fewer than `least`."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_a"), F.col(y).alias("_b"))
-    ranked = average_ranks(average_ranks(pairs, "_a", "_x"), "_b", "_y")
+    ranked = average_ranks(pairs, {"_a": "_x", "_b": "_y"})
     return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation(F.col("_x"), F.col("_y"))).alias("spearman"))
 
 

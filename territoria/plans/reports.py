@@ -57,7 +57,7 @@ def score_validation(scored: DataFrame, criteria: DataFrame) -> DataFrame:
     """(indicator, n, spearman, pearson) of scores (code, period, score) against each outside criterion (code, period,
     indicator, value), over territories that have both; correlations of fewer than three pairs are null."""
     pairs = scored.where("score is not null").join(criteria.where("value is not null"), ["code", "period"]).select("indicator", F.col("score").alias("_s"), F.col("value").alias("_o"))
-    ranked = average_ranks(average_ranks(pairs, "_s", "_rs", ["indicator"]), "_o", "_ro", ["indicator"])
+    ranked = average_ranks(pairs, {"_s": "_rs", "_o": "_ro"}, ["indicator"])
     enough = lambda c: F.when(F.count("*") >= 3, c)
     return ranked.groupBy("indicator").agg(F.count("*").alias("n"), enough(governance.correlation(F.col("_rs"), F.col("_ro"))).alias("spearman"), enough(governance.correlation(F.col("_s"), F.col("_o"))).alias("pearson"))
 

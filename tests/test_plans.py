@@ -75,7 +75,7 @@ def test_ranks_and_percentiles(spark):
     for n in (1, 2, 3, 30):
         few = p.head(n)
         assert np.isclose(ranks.percentiles(spark.createDataFrame(few), [], "w", {"x": 0.05}).first()["x"], few.w.quantile(0.05))
-    g = ranks.average_ranks(df, "v", "r", ["k"]).toPandas()
+    g = ranks.average_ranks(df, {"v": "r"}, ["k"]).toPandas()
     assert len(g) == 3000 and np.allclose(g.r, g.groupby("k").v.rank())
     assert (ranks.places(df.select("k", "w"), ["k"], "w").toPandas().sort_values(["k", "w"]).place.to_numpy() == np.arange(1, 3001)).all()
     assert ranks.percentiles(df.limit(0), ["k"], "v", {"x": 0.5}).count() == 0 and ranks.places(df.limit(0), ["k"], "w").count() == 0
