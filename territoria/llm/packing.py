@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -9,7 +11,6 @@ from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,13 @@ REMEMBERED = 600_000
 
 #: Letters for which splitting and lower case are known, by tests, to be the tokenizer's own: Latin ones, and what goes
 #: with them. Texts with any other go to it whole. And its way of splitting lower-case text into words (a fixed value).
-OTHER = regex.compile("[^\x00-\x7f\xa0-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]|[\u0130\u0149\u01c5\u01c8\u01cb\u01f0\u01f2]|<[|]")
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+OTHER = re.compile("[^\x00-\x7f\xa0-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]|[\u0130\u0149\u01c5\u01c8\u01cb\u01f0\u01f2]|<[|]")
+#: The first of these letters and digits decides, so the most frequent kind comes first.
+_KIND = {chr(k): unicodedata.category(chr(k))[0] for k in range(0x250)}
+_LETTERS, _DIGITS = ("".join(c for c, kind in _KIND.items() if kind == x) for x in "LN")
+WORDS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+#: Signs that only Python takes for white space.
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Words:
@@ -74,7 +80,7 @@ def encoded(texts: list[str], words: Words) -> list[bytes]:
     Texts that may hold its special tokens, or letters beyond those tested, go to it whole."""
     whole, split = {}, []
     for k, text in enumerate(texts):
-        if "<|" in text or not text.isascii() and OTHER.search(text):
+        if "<|" in text or ODD_SPACE.search(text) or not text.isascii() and OTHER.search(text):
             whole[k] = words.alone(text)
             split.append([])
             continue
