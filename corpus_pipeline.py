@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from territoria.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from territoria.llm.common import cut
+from territoria.llm.common import cut, dropped, tidy
 from territoria.llm.queries import table, tokenizer
 
 
@@ -52,8 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that come of `documents`; each stage's result is written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, tidy(lambda docs, stage=stage: cut(stage(spark, docs, sf_dir)))(docs)
+        dropped(before)  # the stage's result is written
+    return STAGES[-1][1](spark, docs, sf_dir)

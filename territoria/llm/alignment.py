@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of
+from territoria.llm.common import batches_held, cut, documents_of, tidy
 
 #: Words that a worker remembers, by number and by characters.
 REMEMBERED, CHARACTERS = 400_000, 1 << 25
@@ -275,6 +275,7 @@ def _weighed(frequent, kept: list[str]):
     return run
 
 
+@tidy
 def alignment(docs: DataFrame, a_path: str, b_path: str, frequent: int = FREQUENT, groups: bool = False) -> DataFrame:
     """Documents (doc_id, text; other columns are ignored) by two tokenizers: a byte-level one (a file of `tokenizers`) and
     one of pieces (a file of `sentencepiece`) with fallback to bytes.

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -39,21 +40,64 @@ def batches_held(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+#: The tables that operators now at work have written, the innermost operator's last.
+_SCOPES: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: what follows neither repeats its work nor depends on the
     executors that did it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/territoria/{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that `cut` wrote and that nothing will read again."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    """Deletes those tables that a plan reads and that `cut` wrote, where nothing will read them again; others stay."""
+    own = f"{shared_folder(df.sparkSession)}/territoria"
+    for name in _read_by(df):
+        if re.fullmatch("[0-9a-f]{32}", name):
+            _deleted(df.sparkSession, f"{own}/{name}")
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """The names of the folders that a plan reads."""
+    names, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves()
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            roots = leaf.relation().location().rootPaths()
+            names.update(roots.apply(j).getName() for j in range(roots.size()))
+    return names
+
+
+def tidy(op: Callable) -> Callable:
+    """An operator that deletes the tables it wrote on its way when it has made its result, but for those that the result's
+    plan reads. These stay until the operator that it is a part of, if any, is done; the last ones are the caller's, who can
+    delete them with `dropped` when the result is written."""
+
+    @wraps(op)
+    def run(*args, **options):
+        _SCOPES.append(made := [])
+        try:
+            out = op(*args, **options)
+        finally:
+            _SCOPES.pop()
+        needed = _read_by(out) if isinstance(out, DataFrame) else set()
+        for path in made:
+            if path.rpartition("/")[2] not in needed:
+                _deleted(SparkSession.active(), path)
+        return out
+
+    return run
 
 
 def documents_of(docs: DataFrame, *columns: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of, runs
+from territoria.llm.common import batches_held, cut, documents_of, runs, tidy
 
 #: A term is kept by a language where it stands in at least so many of its documents; terms are listed to this rank.
 DOCUMENTS, TOP = 10, 10
@@ -171,6 +171,7 @@ def _summed(top: int):
     return run
 
 
+@tidy
 def divergence(docs: DataFrame, least: int = DOCUMENTS, top: int = TOP) -> DataFrame:
     """How the sources of each language differ (columns lang, source, text; others are ignored): lang, source, part, item,
     value, rank.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of, likely_in
+from territoria.llm.common import batches_held, cut, documents_of, likely_in, tidy
 
 #: Bytes of a chunk. Longer documents are hashed chunk by chunk on different tasks.
 CHUNK = 1 << 16
@@ -88,6 +88,7 @@ def _unequal(docs: DataFrame, prints: DataFrame, key: list[str], chunk: int) ->
     return own.join(reps, ["gid", "at", "salt"], "left").where(~F.col("chunk").eqNullSafe(F.col("theirs"))).select("doc_id", "h").distinct()
 
 
+@tidy
 def exact_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Equal texts of a documents table (doc_id long, text string; other columns are ignored).
 

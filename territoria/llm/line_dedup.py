@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import carried, cut, documents_of, likely_in
+from territoria.llm.common import carried, cut, documents_of, likely_in, tidy
 from territoria.llm.minhash import Plan, banded, links, planned
 
 #: Shingles of eight characters (of a trimmed line in lower case), a similarity of 0.8, and the recall wanted there.
@@ -18,6 +18,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("norm", F.lower(F.trim("line")))
 
 
+@tidy
 def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """Which lines are near copies of each other.
 
@@ -49,6 +50,7 @@ def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     return every.select("doc_id", "t", F.col("line_no").cast("long").alias("line_no"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first["doc_id"].alias("component_doc"), first["line_no"].cast("long").alias("component_line"), (first == place).alias("kept"))
 
 
+@tidy
 def without_repeated_lines(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """docs with only the kept lines in their texts, and n_chars, if there is such a column, counted anew. Other columns
     stay. A document that loses all its lines goes; one whose text is null or blank was no copy and stays."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from territoria.llm.common import carried, cut, documents_of
+from territoria.llm.common import carried, cut, documents_of, tidy
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +44,7 @@ def uniform(*columns: str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+@tidy
 def mixed_sources(docs: DataFrame, labels: DataFrame | None = None, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
     """Takes each source's words up to its target.
 
@@ -85,6 +86,7 @@ def mixed_sources(docs: DataFrame, labels: DataFrame | None = None, weights=WEIG
     return placed.select("doc_id", "h", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "sample_key")
 
 
+@tidy
 def repeated(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them. Documents aren't cut: the one at a
     budget's boundary is taken whole if half of it is within, and texts without words as often as there are whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import carried, cut, documents_of, likely_in
+from territoria.llm.common import carried, cut, documents_of, likely_in, tidy
 from territoria.llm.minhash import Plan, banded, links, planned
 
 #: Five-word shingles, a Jaccard similarity of 0.8, found with a probability of 0.9995 or more.
@@ -52,6 +52,7 @@ def _classed(docs: DataFrame, plan: Plan) -> DataFrame:
         (F.coalesce("n_links", F.lit(0)) + F.coalesce("class_size", F.lit(1)) - 1).cast("long").alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+@tidy
 def ngram_links(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """Which documents have similar n-gram sets.
 
@@ -66,6 +67,7 @@ def ngram_links(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     return _classed(docs, plan).drop("h1", "h2")
 
 
+@tidy
 def representatives(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one document of each component does: that with the
     smallest doc_id, and one row of it if rows repeat. Rows linked with nothing stay, null and empty texts among them."""

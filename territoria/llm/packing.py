@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of, runs
+from territoria.llm.common import batches_held, cut, documents_of, runs, tidy
 
 #: Limits of a sequence: tokens, segments (pieces), and tokens that bear loss; and the id after each document. Of plain
 #: documents each token may be a piece, and nearly all bear loss, so there neither other limit ends a sequence before the
@@ -190,6 +190,7 @@ def packed(items: DataFrame, limits: dict[str, int], key: list[str], group: int
     return dealt.mapInArrow(_packed(np.array([limits[n] for n in names], float), names, carried), schema)
 
 
+@tidy
 def packed_documents(docs: DataFrame, tokenizer: str, limit: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, end: int = END) -> DataFrame:
     """Documents (doc_id, text) as sequences of at most `limit` tokens, `segments` pieces and `loss` loss-bearing tokens
     (all but the first of a document, which nothing predicts).
@@ -215,6 +216,7 @@ def _counted_turns(path: str):
     return run
 
 
+@tidy
 def packed_conversations(conversations: DataFrame, tokenizer: str, limit: int = TOKENS, segments: int = EXAMPLES, loss: int = ANSWER_TOKENS, answers: tuple[str, ...] = ANSWERS) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as sequences of at most `limit` tokens, `segments` examples and `loss`
     tokens of answers, all three at once.

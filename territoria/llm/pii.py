@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import cut, documents_of
+from territoria.llm.common import cut, documents_of, tidy
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -175,6 +175,7 @@ def _apart(extra: DataFrame, found: DataFrame) -> DataFrame:
     return extra.alias("e").join(cut(hit.select("x.doc_id", "x.h", "x.start", "x.end").distinct()).alias("o"), F.expr("e.doc_id <=> o.doc_id and e.h = o.h and e.start = o.start and e.end = o.end"), "left_anti")
 
 
+@tidy
 def personal_data(docs: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, settled: float = SETTLED) -> DataFrame:
     """Personal data of whole texts.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of, likely_in, mixed
+from territoria.llm.common import batches_held, cut, documents_of, likely_in, mixed, tidy
 
 U = np.uint64
 #: Bytes of a string that may not stand twice.
@@ -352,6 +352,7 @@ def _kept(columns: list[str]):
     return run
 
 
+@tidy
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Documents without each byte that is part of a string of LENGTH bytes that stands in another place too, in the same
     document or any other: (doc_id, n_bytes, spans, kept), a row per row of docs (doc_id, text; other columns are ignored).

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of
+from territoria.llm.common import batches_held, cut, documents_of, tidy
 
 #: The classifier learns from about so many labelled rows of a class at most, chosen by a hash of doc_id; counts for the
 #: prior, and all else, read all rows.
@@ -232,6 +232,7 @@ def held_out(doc_id="doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+@tidy
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model | None:
     """Learns from labelled rows (labels: doc_id, toxic) whose crc32(doc_id) mod 5 isn't 0, about `rows` of each class at
     most; None where docs don't hold both classes of them. Where no token stands out the score is the share of the

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, dropped, floats, runs
+from territoria.llm.common import batches_held, cut, dropped, floats, runs, tidy
 from territoria.llm.components import connected_components
 from territoria.llm.minhash import compared, in_blocks
 
@@ -273,6 +273,7 @@ def _found(vectors: DataFrame, least: float, neighbours: int, trees: int) -> Dat
     return _linked(vectors.select("id", F.col("space").alias("component")), vectors, least)
 
 
+@tidy
 def near_vectors(embeddings: DataFrame, least: float = 0.98, neighbours: int = NEIGHBOURS, trees: int = TREES) -> DataFrame:
     """Links between vectors of equal, known label and equal length whose cosine, in double precision, is `least` or more.
 

@@ -254,6 +254,30 @@ def test_a_long_text_is_split_in_parts(monkeypatch):
     assert Counter(x for part in divergence._terms(text.encode()) for x in part) == Counter(b.encode() for b in "one twoé three four five".split() * 9)
 
 
+def test_operators_leave_no_table_that_their_result_does_not_read(spark):
+    from territoria.llm import common, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, toxicity, vector_links
+    from pathlib import Path
+
+    folder = Path(common.shared_folder(spark).removeprefix("file://")) / "territoria"
+    there = lambda: {x.name for x in folder.iterdir()} if folder.exists() else set()
+    docs = clashing(spark, [(k, f"line {k % 3} of some words\nanother line {k}") for k in range(40)] + ODD)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    vectors = spark.createDataFrame([(k, k % 2, [1.0, float(k)]) for k in range(6)], "vec_id long, label int, embedding array<float>")
+    ops = [lambda: mixing.mixed_sources(docs), lambda: mixing.repeated(docs), lambda: line_dedup.line_components(docs), lambda: line_dedup.without_repeated_lines(docs), lambda: pii.personal_data(docs), lambda: exact_dedup.exact_duplicates(docs), lambda: ngram_join.ngram_links(docs), lambda: ngram_join.representatives(docs), lambda: packing.packed_documents(docs, queries.tokenizer()), lambda: alignment.alignment(docs, *PATHS), lambda: suffixes.without_repeats(docs), lambda: divergence.divergence(docs, 1), lambda: vector_links.near_vectors(vectors, least=0.98)]
+    for op in ops:
+        before = there()
+        out = op()
+        left = there() - before
+        assert left <= common._read_by(out)
+        out.count()  # all that it reads is there
+        for part in [out]:
+            common.dropped(part)
+        assert not {x for x in there() - before if any((folder / x).glob("part-*"))}
+    before = there()
+    toxicity.train(docs, labels)
+    assert there() == before
+
+
 def test_ids_of_any_integer_type(spark):
     """All operators on documents with 32-bit ids, and pages with such."""
     from territoria.llm import exact_dedup, html_extract, line_dedup, mixing, ngram_join, packing, pii, sharding, toxicity, vector_links

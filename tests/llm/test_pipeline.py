@@ -30,7 +30,7 @@ def test_same_rows_as_sql(spark, name):
 def test_all_are_registered(spark):
     import __spark_entry__
 
-    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(queries.ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
     labels = queries.op4_sharding(spark, DIR)
     assert labels.count() == spark.read.parquet(f"{DIR}/documents.parquet").count() and set(r["shard"] for r in labels.collect()) <= set(queries.SHARDS)
