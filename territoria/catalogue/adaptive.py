@@ -50,13 +50,14 @@ def standardised_columns(spark, d):
     return roles.standardised(c, 2022, "x")
 
 
-@query("select * from (values ('p_size', false, true, true), ('p_type', true, false, false), ('mixed', false, false, true)) t(column_name, place, is_number, has_numbers)")
+@query(r"""with c as (select unnest(['p_size', 'p_type', 'p_name', 'mixed']) as column_name, unnest([p_size::varchar, p_type, p_name, case when p_partkey % 2 = 0 then '12' when p_partkey % 7 = 0 then '' else 'x' end]) as v, unnest(range(4)) as pos from part),
+s as (select column_name, pos, avg((trim(v) <> '')::int) as text, avg(regexp_matches(regexp_replace(replace(replace(v, ' ', ''), ',', '.'), '[^0-9.\-]', '', 'g'), '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$')::int) as number from c group by all)
+select column_name, round(text, 6) as text, round(number, 6) as number, number >= 0.6 as is_number, number > 0 as has_numbers, coalesce(pos = (select min(pos) from s where text >= 0.7 and number <= 0.4), false) as place from s""".replace(2 * chr(92), chr(92)))
 def column_roles(spark, d):
-    """Which columns are numbers, which may be a place, which hold any number."""
-    p = table(spark, d, "part").select("p_size", "p_type", F.when(F.col("p_partkey") % 2 == 0, "12").otherwise("x").alias("mixed"))
-    of = roles.shares(p)
-    numeric, place, any_ = roles.numeric_columns(of), roles.geography(of, None), roles.value_columns(of, [])
-    return spark.createDataFrame([(c, c == place, c in numeric, c in any_) for c in of], "column_name string, place boolean, is_number boolean, has_numbers boolean")
+    """Which columns are numbers, which hold any, and which is the place: the first of much text and few numbers."""
+    p = table(spark, d, "part")
+    mixed = F.when(F.col("p_partkey") % 2 == 0, "12").when(F.col("p_partkey") % 7 == 0, "").otherwise("x")
+    return roles.told(p.select("p_size", "p_type", "p_name", mixed.alias("mixed"))).select("column_name", rounded("text"), rounded("number"), "is_number", "has_numbers", "place")
 
 
 NAMES = [m for m in MONTHS]
@@ -118,6 +119,23 @@ def statement_lines(spark, d):
     return tables.statement_rows(whole, ["page"], regions, ["count", "total", "customers"])
 
 
+ODD_CODE = "case when k % 5 = 0 then '97' || k % 10 when k = 7 then '2A' when k = 8 then '2B' else printf('%02d', k) end"
+
+
+@query(f"with f as ({FIGURES}) select page, region, {ODD_CODE} as departement_code, name as departement_name, unnest(['count', 'total']) as indicator_name, unnest([a, b]) / 10.0::double as value from f")
+def statement_odd_codes(spark, d):
+    """Codes of three digits and of a letter, dashes, points in figures, and lines that begin like a code and aren't one."""
+    f, k = _figures(spark, d), F.col("k")
+    code = F.when(k % 5 == 0, F.concat(F.lit("97"), (k % 10).cast("string"))).when(k == 7, "2a").when(k == 8, "2B").otherwise(F.format_string("%02d", "k"))
+    label = F.when(k % 3 == 0, F.concat(code, F.lit("-"), "name")).when(k % 3 == 1, F.concat(code, F.lit(" – "), "name")).otherwise(F.concat_ws(" ", code, "name"))
+    point = lambda c: F.replace(_tenth(c), F.lit(","), F.when(k % 2 == 0, F.lit(".")).otherwise(F.lit(",")))
+    at = F.col("r") * 1000 + k * 10
+    dept = f.select("page", at.alias("line_no"), F.concat_ws(" ", label, point("a"), point("b")).alias("line"))
+    noise = f.select("page", (at + 1).alias("line_no"), F.when(k % 2 == 0, "100 km 1,0 2,0").otherwise("1234 Total 3.0 4.0").alias("line"))
+    region = f.select("page", (F.col("r") * 1000 - 1).alias("line_no"), F.concat_ws(" ", "region", F.lit("1,0 2.0")).alias("line")).distinct()
+    return tables.statement_rows(dept.unionByName(noise).unionByName(region), ["page"], ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], ["count", "total"])
+
+
 @query(f"with f as ({FIGURES}) select page, region, printf('%02d', k) as departement_code, name as departement_name, unnest(['Count of orders', 'Total', 'Customers']) as indicator_name, unnest([a, b, c]) / 10.0::double as value from f")
 def statement_tables(spark, d):
     """Tables with headers over two rows, rows of regions, and columns without a header."""

@@ -297,11 +297,14 @@ def indicator_metadata_lookup(spark, d):
     return windows.first_by(m, ["code"], "p_partkey").select("code", "label", reference_year(F.col("label"), F.col("code")).alias("year"))
 
 
-@query("""select (2020 + y)::int as year, printf('D%02d', dd::int) as dept, ind as indicator, round((y + 1) * 100 + dd * 10 + length(ind), 6)::double as value from (select unnest(range(5)) as y) cross join (select unnest(range(1, 6)) as dd) cross join (select unnest(['filed', 'accepted']) as ind)""")
+@query("""with y as (select distinct year(o_orderdate)::int as year from orders), i as (select distinct o_orderpriority as indicator from orders)
+select year, printf('D%02d', n_nationkey) as dept, indicator, round((year - 1990) * 100 + n_nationkey * 10 + length(indicator), 6)::double as value from y cross join nation cross join i""")
 def sample_grid(spark, d):
-    y, dd = spark.range(5).withColumnRenamed("id", "y"), spark.range(1, 6).withColumnRenamed("id", "dd")
-    ind = spark.createDataFrame([("filed",), ("accepted",)], "indicator string")
-    return y.crossJoin(dd).crossJoin(ind).select((F.col("y") + 2020).cast("int").alias("year"), F.format_string("D%02d", "dd").alias("dept"), "indicator", rounded((F.col("y") + 1) * 100 + F.col("dd") * 10 + F.length("indicator"), "value"))
+    """A made-up value for each year, department and indicator that the tables have."""
+    o, n = table(spark, d, "orders"), table(spark, d, "nation")
+    years, names = joins.different(o, F.year("o_orderdate")), joins.different(o, "o_orderpriority")
+    grid = n.select(F.col("n_nationkey").alias("k"), years.alias("years"), names.alias("names")).select("k", "names", F.explode("years").alias("year")).select("k", "year", F.explode("names").alias("indicator"))
+    return grid.select("year", F.format_string("D%02d", "k").alias("dept"), "indicator", rounded((F.col("year") - 1990) * 100 + F.col("k") * 10 + F.length("indicator"), "value"))
 
 
 @query("select o_orderkey, null::varchar as region, null::double as note, o_orderstatus from orders where o_orderstatus = 'P'")

@@ -106,9 +106,15 @@ def publication_links(spark, d):
     return pages.publications(p.select("page_id", "url", html.alias("html")), '/t[a-z]+(?=")')
 
 
-@query(f"""with {LINKS} select page_id, absolute, case when contains(lower(absolute), 'and') then 'AND' when contains(lower(absolute), 'the') then 'the' end as region, 'other' as kind, false as relevant from links""")
+@query(f"""with {LINKS}, l as (select page_id, (page_id + place) % 4 as k, absolute || case (page_id + place) % 4 when 0 then '/depots-regions.CSV' when 1 then '/surendettement_inclusion.pdf?v=1.2' when 2 then '/emploi.html' else '' end as absolute from links)
+select page_id, absolute, case when contains(lower(absolute), 'and') then 'AND' when contains(lower(absolute), 'the') then 'the' end as region, case k when 0 then 'deposits' when 1 then 'filings' when 2 then 'employment' else 'other' end as kind, k < 2 as relevant from l""")
 def classified_links(spark, d):
-    return pages.classified(pages.links(table(spark, d, "pages")), ["AND", "the"]).select("page_id", "absolute", "region", "kind", "relevant")
+    """Links that lead to files of three kinds, and others; a link that names two kinds is of the first."""
+    found = pages.links(table(spark, d, "pages"))
+    k = (F.col("page_id") + F.col("place")) % 4
+    ends = F.when(k == 0, "/depots-regions.CSV").when(k == 1, "/surendettement_inclusion.pdf?v=1.2").when(k == 2, "/emploi.html").otherwise("")
+    found = found.withColumn("absolute", F.concat("absolute", ends)).withColumn("extension", text.extension(F.col("absolute")))
+    return pages.classified(found, ["AND", "the"]).select("page_id", "absolute", "region", "kind", "relevant")
 
 
 @query("select event_id, regexp_extract(props, '\"k\": ?(-?[0-9]+)', 1)::bigint as k, '{\"k\":' || regexp_extract(props, '\"k\": ?(-?[0-9]+)', 1) || '}' as again from events")

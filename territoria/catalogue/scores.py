@@ -156,9 +156,14 @@ def nested_documents(spark, d):
     return nested.select("period", "code", F.to_json(rows).alias("details"))
 
 
-@query("""select 'default' as model, 0.6::double as floor, count(*)::bigint as n, to_json(list({'ord': ord, 'indicator': indicator, 'weight': weight, 'direction': direction} order by ord)) as configs from {configs}""")
+@query("""with w as (select p_brand as model, p_type as indicator, count(*) as n, min(p_size) as floor from part group by all), o as (select *, row_number() over (partition by model order by n desc, indicator) as ord from w)
+select model, min(floor) / 100.0::double as floor, count(*)::bigint as n, to_json(list({'ord': ord, 'indicator': indicator, 'weight': n, 'direction': case when ord % 2 = 0 then 'negative' else 'positive' end} order by ord)) as configs from o group by model""")
 def model_with_configs(spark, d):
-    c = configs(spark).withColumn("model", F.lit("default")).withColumn("settings", F.lit('{"floor": 0.6}'))
+    """A model for each brand, with the types of its parts as indicators by how many there are, and settings as JSON."""
+    w = table(spark, d, "part").groupBy(F.col("p_brand").alias("model"), F.col("p_type").alias("indicator")).agg(F.count("*").alias("weight"), F.min("p_size").alias("least"))
+    ord_ = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("weight"), "indicator"))
+    c = w.withColumn("ord", ord_.cast("long")).withColumn("direction", F.when(F.col("ord") % 2 == 0, "negative").otherwise("positive"))
+    c = c.withColumn("settings", F.to_json(F.struct((F.min("least").over(Window.partitionBy("model")) / 100.0).alias("floor"))))
     one = reshape.nested(c, ["model", "settings"], ["ord", "indicator"], ["weight", "direction"], "configs")
     return one.select("model", F.from_json("settings", "floor double")["floor"].alias("floor"), F.size("configs").cast("long").alias("n"), F.to_json("configs").alias("configs"))
 

@@ -63,6 +63,17 @@ def shares(df: DataFrame) -> dict[str, Shares]:
     return {c: Shares(*(row[f"{x}{k}"] or 0.0 for x in "ktn")) for k, c in enumerate(df.columns)}
 
 
+def told(df: DataFrame) -> DataFrame:
+    """(column_name, text, number, is_number, has_numbers, place) of every column of a frame, as a plan: its shares of text
+    and of numbers, what follows from them, and whether it is the first that may be a place. One pass; a row a column."""
+    cell = lambda c: F.col(f"`{c}`").cast("string")
+    part = lambda flag: F.avg(F.coalesce(flag, F.lit(False)).cast("double"))
+    one = df.agg(F.array(*(F.struct(F.lit(k).alias("at"), F.lit(c).alias("column_name"), part(F.trim(cell(c)) != "").alias("text"), part(parsed_loose(cell(c)).isNotNull()).alias("number")) for k, c in enumerate(df.columns))).alias("all"))
+    may = lambda x: (x["text"] >= TEXTUAL) & (x["number"] <= FEW_NUMBERS)
+    rows = one.withColumn("first", F.array_min(F.transform(F.filter("all", may), lambda x: x["at"]))).select("first", F.explode("all").alias("x")).select("first", "x.*")
+    return rows.select("column_name", "text", "number", (F.col("number") >= NUMERIC).alias("is_number"), (F.col("number") > 0).alias("has_numbers"), F.coalesce(F.col("at") == F.col("first"), F.lit(False)).alias("place"))
+
+
 def geography(of: dict[str, Shares], year: str | None) -> str | None:
     return next((c for c, s in of.items() if c != year and s.text >= TEXTUAL and s.number <= FEW_NUMBERS), None)
 
