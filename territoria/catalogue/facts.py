@@ -22,7 +22,7 @@ pairs(result, a, b) as (values ('UNEMPLOYMENT', 'CHOM', 'ACT'), ('ACTIVITY', 'AC
 select y, region_code, code, 'sum' as rule, round(v, 6) as value from base
 union all select t.y, t.region_code, result, 'derived_ratio', round(100 * t.v / nullif(u.v, 0), 6) from pairs join base t on t.code = a join base u on u.code = b and t.y = u.y and t.region_code = u.region_code""")
 def region_ratio_rollup(spark, d):
-    rows = macro(spark, d).join(F.broadcast(territories(spark, d)), "dept")
+    rows = macro(spark, d).join(territories(spark, d), "dept")
     out = star.regional(rows, ["y", "region_code"], "code", "v", spark.createDataFrame(PAIRS, "result string, top string, bottom string"))
     return out.select("y", "region_code", "code", "rule", rounded("v", "value"))
 
@@ -37,7 +37,7 @@ def star_fact_listing(spark, d):
 
 @query("select t.period, t.dept, n_name as territory, round(t.v, 6) as value from {totals} t join nation on dept = n_nationkey")
 def total_deposits_view(spark, d):
-    return totals(spark, d).join(F.broadcast(territories(spark, d)), "dept").select("period", "dept", F.col("n_name").alias("territory"), rounded("v", "value"))
+    return totals(spark, d).join(territories(spark, d), "dept").select("period", "dept", F.col("n_name").alias("territory"), rounded("v", "value"))
 
 
 @query("""select t.period, t.dept, s.yy as snapshot_year, m.code, round(t.v, 6) as deposits, round(m.v, 6) as value
@@ -53,7 +53,7 @@ from (select distinct period, y from {{totals}}) p join (select a.y, max(b.y) as
 
 
 def _bridge(spark, d, key):
-    rows = wide(spark, d).withColumnRenamed("y", "year").join(F.broadcast(territories(spark, d)), "dept")
+    rows = wide(spark, d).withColumnRenamed("y", "year").join(territories(spark, d), "dept")
     return imports.unemployment(rows, totals(spark, d).select("period").distinct(), [key]).select(key, "period", "snapshot_year", rounded("value"))
 
 
@@ -72,11 +72,11 @@ def bridge_unemployment_region(spark, d):
 pop as (select n_regionkey as region_code, sum(POP) as pop from {wide} join nation on dept = n_nationkey where y = 2000 group by all)
 select region_code, period, event_id, round(value / pop * 1000, 6) as value from best join pop using (region_code)""")
 def bridge_dossiers_per_1000(spark, d):
-    t = F.broadcast(territories(spark, d))
+    t = territories(spark, d)
     e = table(spark, d, "events").where("event_type = 'purchase'").withColumn("dept", (F.col("user_id") % 25).cast("int")).join(t, "dept")
     best = windows.first_by(e.withColumn("period", F.date_format("ts", "yyyy-MM-dd")), ["region_code", "period"], F.col("event_id") % 10, "ts", "event_id", descending=True)
     pop = wide(spark, d).where("y = 2000").join(t, "dept").groupBy("region_code").agg(F.sum("POP").alias("pop"))
-    return best.join(F.broadcast(pop), "region_code").select("region_code", "period", "event_id", rounded(guarded_ratio(F.col("value"), F.col("pop"), 1000.0), "value"))
+    return best.join(pop, "region_code").select("region_code", "period", "event_id", rounded(guarded_ratio(F.col("value"), F.col("pop"), 1000.0), "value"))
 
 
 @query("""with a as (select n_nationkey as k, n_name as name from nation where n_nationkey < 20), b as (select distinct c_nationkey as k, 'c' || c_nationkey as name from customer where c_nationkey >= 5), c as (select distinct s_nationkey as k, 's' || s_nationkey as name from supplier)
@@ -137,7 +137,7 @@ r as (select period, rate from m union all select substr(period, 1, 4), avg(rate
 def inflation_annual(spark, d):
     s = totals(spark, d).groupBy("period").agg(F.sum("v").alias("value"))
     rates = imports.inflation(s)
-    return rates.crossJoin(F.broadcast(territories(spark, d).select("dept"))).select("period", "dept", rounded("rate"))
+    return rates.crossJoin(territories(spark, d).select("dept")).select("period", "dept", rounded("rate"))
 
 
 @query("""with p as (select distinct period from {totals} union select distinct y::varchar from totals) select w.dept, w.y, p.period, round(w.POP, 6) as value from {wide} w join p on p.period >= w.y::varchar || '-01' where w.y >= 1999""")
@@ -220,7 +220,7 @@ def national_means(spark, d):
 
 @query("""select n_regionkey as region_code, code, array_to_string(list_slice(list_sort(list(distinct n_name)), 1, 8), ' | ') as examples from {macro} join nation on dept = n_nationkey group by all""")
 def label_examples(spark, d):
-    return macro(spark, d).join(F.broadcast(territories(spark, d)), "dept").transform(aggregates.examples, ["region_code", "code"], "n_name")
+    return macro(spark, d).join(territories(spark, d), "dept").transform(aggregates.examples, ["region_code", "code"], "n_name")
 
 
 @query("""select count(*)::bigint as n, count(distinct o_custkey)::bigint as customers, round(min(o_totalprice), 6) as lowest, round(max(o_totalprice), 6) as highest, round(sum(o_totalprice), 2) as total, round(avg(o_totalprice), 6) as mean, round(median(o_totalprice), 6) as median, round(100.0::double * avg(case when o_orderkey % 9 = 0 then 1 else 0 end), 2) as missing from orders""")
@@ -243,7 +243,7 @@ def family_rollup(spark, d):
 def correlation_matrix(spark, d):
     from territoria.functions.numbers import correlation
 
-    rows = wide(spark, d).join(F.broadcast(territories(spark, d)), "dept").groupBy("region_code", "y").agg(F.avg("POP").alias("x"), F.avg("CHOM").alias("z"))
+    rows = wide(spark, d).join(territories(spark, d), "dept").groupBy("region_code", "y").agg(F.avg("POP").alias("x"), F.avg("CHOM").alias("z"))
     return rows.groupBy("region_code").agg(F.count("*").alias("n"), rounded(correlation(F.col("x"), F.col("z")), "r"))
 
 
@@ -324,7 +324,7 @@ def observation_listing(spark, d):
     e = table(spark, d, "events").where(F.date_format("ts", "yyyy-MM-dd").between("2024-01-05", "2024-01-20"))
     e = e.crossJoin(F.broadcast(table(spark, d, "documents").agg(F.count("*").alias("n")))).withColumn("doc_id", F.col("event_id") % F.col("n"))
     kinds = e.select("event_type").where("event_type <> 'error'").distinct()
-    return e.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(F.broadcast(kinds), "event_type").select("event_id", "event_type", "source", "lang", rounded("value"))
+    return e.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").join(kinds, "event_type").select("event_id", "event_type", "source", "lang", rounded("value"))
 
 
 @query("""select rule, count(distinct code)::bigint as indicators from (select distinct p_type || '_' || p_size as code, case when p_size % 3 = 0 then 'mean' else 'sum' end as rule from part) group by rule""")

@@ -81,7 +81,7 @@ def macro(spark: SparkSession, d: str) -> DataFrame:
 
 def territories(spark: SparkSession, d: str) -> DataFrame:
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("dept"), "n_name", F.col("r_regionkey").alias("region_code"), "r_name")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("dept"), "n_name", F.col("r_regionkey").alias("region_code"), "r_name")
 
 
 def observed(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from territoria import serving
 from territoria.catalogue.registry import configs, macro, monthly, observed, query, rounded, table, territories, totals
 from territoria.functions import dates
 from territoria.operators import reshape
-from territoria.plans import governance, reports, scoring
+from territoria.plans import analysis, governance, reports, scoring
 from territoria.reference_data import DEPARTMENTS, SCENARIOS, SCORE_MODEL
 
 
@@ -220,3 +220,35 @@ def source_period_last(spark, d):
     at = F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderdate") + F.expr("interval 40 days")).otherwise(F.col("o_orderdate"))
     o = o.select(F.concat(F.lit("deposits_"), F.date_format(at, "yyyyMM"), F.lit(".pdf")).alias("file"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).distinct()
     return o.where(period_of_file(F.col("file")) != F.col("period")).groupBy("file").agg(F.max("period").alias("last_period"))
+
+
+@query("""with t as (select period, dept, sum(v) as v from {totals} group by all), s as (select period, sum(v) as v from t group by all),
+m as (select *, lag(v) over (order by period) as b, substr(period, 1, 4)::int * 12 + substr(period, 6, 2)::int - lag(substr(period, 1, 4)::int * 12 + substr(period, 6, 2)::int) over (order by period) = 1 as ok from s),
+c as (select period, v, case when ok then b end as b, case when ok then v - b end as ch from m),
+d as (select dept, v from t where period = (select max(period) from s)),
+y as (select a.period, a.v, b.v as b from s a join s b on substr(a.period, 6, 2) = substr(b.period, 6, 2) where substr(a.period, 1, 4) = '1997' and substr(b.period, 1, 4) = '1996'),
+o as (select 'summary' as section, 1 as place, min(period) || ' ' || max(period) as label, arg_max(v, period) as v, arg_min(v, period) as b, arg_max(v, period) - arg_min(v, period) as ch from s
+union all select 'month', row_number() over (order by period), period, v, b, ch from c
+union all select 'break', row_number() over (order by abs(ch) desc, period), period, v, b, ch from c where ch is not null qualify row_number() over (order by abs(ch) desc, period) <= 5
+union all select 'department', row_number() over (order by v desc, dept), printf('%02d', dept) || ' ' || n_name, v, null, null from d join nation on n_nationkey = dept qualify row_number() over (order by v desc, dept) <= 10
+union all select 'comparison', row_number() over (order by period), substr(period, 6, 2), v, b, v - b from y)
+select section, place::int as place, label, round(v, 4) as value, round(b, 4) as before, round(ch, 4) as change, round(ch / nullif(b, 0) * 100, 6) as percent from o""")
+def business_analysis(spark, d):
+    """The analysis of deposits: months, the largest breaks, the largest departments, two years compared."""
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("dept"), F.col("n_name").alias("name"))
+    t = totals(spark, d).groupBy("period", "dept").agg(F.sum("v").alias("value")).join(names, "dept").select("period", F.format_string("%02d", "dept").alias("code"), "name", "value")
+    return analysis.business_analysis(t, (1996, 1997)).select("section", "place", "label", *(rounded(c, digits=4) for c in ("value", "before", "change")), rounded("percent"))
+
+
+@query("""with f as (select dept, y, sum(v) as filings from {totals} where dept % 7 <> 3 group by all), m as (select dept, y, code, v from {macro}),
+r as (select m.y as year, m.dept::varchar as code, m.code as indicator, case m.code when 'POP' then 'Population' when 'ACT' then 'ACT' else ' ' end as name, m.v as macro_value, coalesce(f.filings, 0) as filings from m left join f using (dept, y)),
+x as (select *, lag(filings) over (partition by code, indicator order by year) as b from r)
+select year, code, indicator, case when indicator = 'POP' then 'Population' else 'Indicateur INSEE non libellé (' || indicator || ')' end as macro_indicator_label, round(macro_value, 6) as macro_value, round(filings, 4) as filings,
+round(avg(filings) over (partition by year), 4) as national_filings_mean, round(avg(macro_value) over (partition by year, indicator), 6) as national_macro_mean, round(coalesce((filings - b) / nullif(b, 0), 0) * 100, 6) as annual_change_pct from x""")
+def dashboard_final(spark, d):
+    """Macro indicators with filings, some without; an indicator without a name, and one whose name is its code."""
+    f = totals(spark, d).where("dept % 7 <> 3").groupBy("dept", "y").agg(F.sum("v").alias("filings"))
+    name = F.when(F.col("code") == "POP", "Population").when(F.col("code") == "ACT", "ACT").otherwise(" ")
+    rows = macro(spark, d).join(f, ["dept", "y"], "left").select(F.col("y").alias("year"), F.col("dept").cast("string").alias("code"), F.col("code").alias("indicator"), name.alias("indicator_name"), F.col("v").alias("macro_value"), "filings")
+    out = analysis.finalised(rows)
+    return out.select("year", "code", "indicator", "macro_indicator_label", rounded("macro_value"), rounded("filings", digits=4), rounded("national_filings_mean", digits=4), rounded("national_macro_mean"), rounded("annual_change_pct"))

@@ -42,7 +42,7 @@ def volatility(scored: DataFrame) -> DataFrame:
 def scenario_scores(values: DataFrame, limits: DataFrame, scenarios: DataFrame, scale) -> DataFrame:
     """Scores of (code, indicator, value) under weights (scenario, indicator, weight, direction), renormalised over what
     a territory has. Scenarios and limits are few."""
-    rows = values.join(F.broadcast(limits), "indicator").join(F.broadcast(scenarios), "indicator")
+    rows = values.join(limits, "indicator").join(scenarios, "indicator")
     part = scale(F.col("value"), F.col("lo"), F.col("hi"), F.col("direction"))
     return rows.groupBy("scenario", "code").agg((F.sum(part * F.col("weight")) / F.sum("weight") * 100.0).alias("score"))
 

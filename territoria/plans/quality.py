@@ -13,7 +13,7 @@ from territoria.functions.text import code_upper, plain_text
 def curated(raw: DataFrame, indicators: DataFrame) -> DataFrame:
     """Raw deposits (reference_year, reference_month, departement_code, indicator_name, value as text) as typed rows in
     canonical order; the dictionary (name, indicator_code, indicator_group, unit) is joined by normalised name."""
-    named = raw.withColumn("_k", plain_text(F.col("indicator_name"))).join(F.broadcast(indicators.withColumn("_k", plain_text(F.col("name"))).drop("name")), "_k", "left").drop("_k")
+    named = raw.withColumn("_k", plain_text(F.col("indicator_name"))).join(indicators.withColumn("_k", plain_text(F.col("name"))).drop("name"), "_k", "left").drop("_k")
     month = month_number(F.col("reference_month"))
     out = named.withColumn("departement_code", code_upper(F.col("departement_code"))).withColumn("reference_month_number", month).withColumn("reference_period", period_key(F.col("reference_year"), month)).withColumn("value", parsed_french(F.col("value")))
     return out.orderBy(F.col("reference_period").asc_nulls_last(), F.col("departement_code").asc_nulls_last(), F.col("indicator_code").asc_nulls_last())

@@ -16,7 +16,7 @@ FULL = 1 - 1e-12
 def gated(observations: DataFrame, configs: DataFrame) -> DataFrame:
     """Observations of configured indicators, with the warning that a non-finite value or a wrong unit gives. configs:
     indicator, weight, direction, expected_unit (few rows)."""
-    rows = observations.join(F.broadcast(configs.select("indicator", "expected_unit")), "indicator")
+    rows = observations.join(configs.select("indicator", "expected_unit"), "indicator")
     wrong = F.col("expected_unit").isNotNull() & ~F.col("unit").eqNullSafe(F.col("expected_unit"))
     unit = F.concat(F.lit("incompatible_unit:"), "indicator", F.lit(":expected="), "expected_unit", F.lit(":actual="), F.coalesce("unit", F.lit("null")))
     return rows.withColumn("warning", F.when(~finite(F.col("value")), F.concat(F.lit("non_finite_value:"), "indicator")).when(wrong, unit))
@@ -37,7 +37,7 @@ def details(chosen: DataFrame, configs: DataFrame, winsorized: bool = False) ->
     else:
         chosen = chosen.withColumn("lo", F.min("value").over(Window.partitionBy(*cohort))).withColumn("hi", F.max("value").over(Window.partitionBy(*cohort)))
     fixed = configs.withColumn("_lo", F.col("fixed_min") if "fixed_min" in configs.columns else F.lit(None).cast("double")).withColumn("_hi", F.col("fixed_max") if "fixed_max" in configs.columns else F.lit(None).cast("double"))
-    rows = chosen.drop("expected_unit", "warning").join(F.broadcast(fixed.select("indicator", "weight", "direction", "_lo", "_hi")), "indicator")
+    rows = chosen.drop("expected_unit", "warning").join(fixed.select("indicator", "weight", "direction", "_lo", "_hi"), "indicator")
     rows = rows.withColumn("lo", F.coalesce("_lo", "lo")).withColumn("hi", F.coalesce("_hi", "hi")).drop("_lo", "_hi")
     available = F.sum("weight").over(Window.partitionBy("level", "period", "code"))
     rows = rows.withColumn("normalized", scaled(F.col("value"), F.col("lo"), F.col("hi"), F.col("direction"))).withColumn("available", available)
