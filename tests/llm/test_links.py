@@ -284,3 +284,18 @@ def test_chains_are_joined_by_verified_links_only(spark):
     sets = [grams(t) for _, t in rows]
     wanted = [sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in range(120)) for a in range(120)]
     assert sum(got[k][0] for k in range(120)) >= 0.99 * sum(wanted) and all(got[k][0] <= wanted[k] for k in range(120)) and {c for _, c in got.values()} == {0}
+
+
+def test_very_many_dropped_lines_take_linear_time(spark):
+    import time
+
+    def took(n):
+        text = "\n".join(("alpha beta gamma delta epsilon zeta", f"a line of its own, number {k} of them")[k % 50 == 0] for k in range(n))
+        docs = spark.createDataFrame([(1, text), (2, "alpha beta gamma delta epsilon zeta\nsomething else altogether, and more")], "doc_id long, text string")
+        began = time.time()
+        out = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+        assert out[2] == "something else altogether, and more" and out[1].count("alpha") == 1
+        return time.time() - began
+
+    took(1000)
+    assert took(300_000) < 60

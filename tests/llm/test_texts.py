@@ -135,6 +135,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert (x.predicted == x.toxic).mean() > 0.95 and hit >= 0.8 * (x.toxic == 1).sum() and hit >= 0.8 * (x.predicted == 1).sum()
 
 
+def test_a_large_vocabulary_does_not_come_to_the_driver(spark):
+    """A million different words in the labelled rows: only those that may stand out are candidates."""
+    rows = [(k, " ".join(f"w{(k * 500 + j) % 997_003}" for j in range(500)) + (" zorgvile grumkin" if k % 2 else " plain")) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = docs.select("text", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    counts = sample.mapInArrow(toxicity._counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    assert counts.count() > 500_000
+    assert {r["token"] for r in toxicity._candidates(counts, 1000, 1000).collect()} == {"zorgvile", "grumkin", "zorg*", "grum*"}
+
+
+def test_candidates_miss_nothing_that_stands_out(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{k}", int(c), int(t)) for k, (c, t) in enumerate(zip(rng.integers(0, 40, 3000), rng.integers(0, 60, 3000), strict=True))]
+    kept = {r["token"] for r in toxicity._candidates(spark.createDataFrame(rows, "token string, clean long, toxic long"), 900, 300).collect()}
+    for token, c, t in rows:
+        for share in np.linspace(0.001, 1, 60):
+            a = toxicity.PRIOR * share
+            y1, y0 = t + a, c + a
+            odds = np.log(y1 / (300 + toxicity.PRIOR - y1)) - np.log(y0 / (900 + toxicity.PRIOR - y0))
+            if t > 1 and odds >= toxicity.ODDS and odds / np.sqrt(1 / y1 + 1 / y0) >= toxicity.Z:
+                assert token in kept, (token, c, t, share)
+    assert len(kept) < 2500
+
+
 def test_toxicity_odd_rows(spark):
     clean = [(k, f"word{k % 7} and other{k % 5} plain text") for k in range(200)]
     docs = clashing(spark, clean + [(k, f"zorgvile grumkin {t}") for k, (_, t) in enumerate(clean, 1000)] + ODD)
@@ -432,6 +456,13 @@ def test_letters_beyond_those_tested_go_to_the_tokenizer_whole():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x[:-1] for x in whole_ids(texts)]
 
 
+def test_many_tiny_documents_fill_their_sequences(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, None).otherwise(F.concat(F.lit("word and x "), (F.col("id") % 7).cast("string"))).alias("text"))
+    rows = packing.packed_documents(docs, queries.tokenizer()).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    total = sum(r["n"] for r in rows)
+    assert len(rows) == -(-total // 4096) and sorted(r["n"] for r in rows)[1] > 0.97 * 4096
+
+
 def test_packing_odd_rows(spark):
     docs = clashing(spark, [(None, None), (None, None), (1, ""), (1, "")])
     assert [(r["start"], r["length"], r["doc_tokens"]) for r in packing.packed_documents(docs, queries.tokenizer()).collect()] == [(0, 1, 1)] * 4
