@@ -112,8 +112,9 @@ def rebuilt(words: DataFrame, lines: DataFrame, page: list[str], columns: str =
 
 
 def page_tables(words: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
-    """The tables of pages (page, strategy, table_no, row_no, cells) by every strategy, numbered in their order."""
-    out = None
+    """The tables of pages (page, strategy, table_no, row_no, cells) by every strategy, numbered in their order. Words and
+    rules, which come of parsing files, are made once, dealt by page and kept for all strategies."""
+    words, lines, out = words.repartition(*page).persist(), lines.repartition(*page).persist(), None
     for k, (columns, rows) in enumerate(STRATEGIES):
         found = rebuilt(words, lines, page, columns, rows).select(*page, F.lit(f"{k} {columns} {rows}").alias("strategy"), "table_no", "row_no", "cells")
         out = found if out is None else out.unionByName(found)

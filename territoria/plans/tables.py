@@ -114,7 +114,8 @@ def best_tables(rows: DataFrame, page: list[str]) -> DataFrame:
 
 def first_tables(rows: DataFrame, page: list[str]) -> DataFrame:
     """The rows of all tables of the first strategy that finds any on a page."""
-    return rows.join(rows.groupBy(*page).agg(F.min("strategy").alias("strategy")), [*page, "strategy"])
+    first = F.min("strategy").over(Window.partitionBy(*page))
+    return rows.withColumn("_first", first).where(F.col("strategy") == F.col("_first")).drop("_first")
 
 
 def nearest_names(cells: DataFrame, sheet: list[str], pattern: str, names: DataFrame, up: int = 7, left: int = 1, right: int = 2) -> DataFrame:
