@@ -31,8 +31,9 @@ REMEMBERED = 600_000
 #: Letters for which splitting and lower case are known, by tests, to be the tokenizer's own: Latin ones, and what goes
 #: with them. Texts with any other go to it whole. And its way of splitting lower-case text into words (a fixed value).
 OTHER = re.compile("[^\x00-\x7f\xa0-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]|[\u0130\u0149\u01c5\u01c8\u01cb\u01f0\u01f2]|<[|]")
-#: The first of these letters and digits decides, so the most frequent kind comes first.
-_KIND = {chr(k): unicodedata.category(chr(k))[0] for k in range(0x250)}
+#: The first of these letters and digits decides, so the most frequent kind comes first. Some lower-case forms of the
+#: letters tested lie beyond them.
+_KIND = {c: unicodedata.category(c)[0] for k in range(0x250) for c in chr(k) + chr(k).lower()}
 _LETTERS, _DIGITS = ("".join(c for c, kind in _KIND.items() if kind == x) for x in "LN")
 WORDS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 #: Signs that only Python takes for white space.
