@@ -11,7 +11,7 @@ from territoria.operators.joins import absent_keys
 from territoria.operators.windows import first_by
 from territoria.plans.tables import longest_names, nearest_names
 
-#: What a department's block says of it (fixed patterns on folded text): figure groups before a label.
+#: What a department's block, or a cell, says of it (fixed values: the publications' own words), figures before the label.
 UNEMPLOYMENT, POVERTY = r"(\d+)\s+(\d+)\s+de\s+chomage", r"(\d+)(?:\s+(\d+))?\s+des\s+menages\s+sous\s+le\s+seuil\s+de\s+pauvrete"
 FILING_RATE = r"(?i)([\d  ]+)\s+d[ée]p[ôo]ts?\s+de\s+dossiers\s+pour\s+100\s+000"
 VERSION = "historical-harmonisation-1"
