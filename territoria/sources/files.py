@@ -97,12 +97,14 @@ def archived(spark: SparkSession, path: str, separator: str = ";", skip: str = "
 
 def profiled(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """(source_file, rows, columns, error, and mentions_<word> for each word) of the delimited files of a folder, in one
-    pass: what the first line and the name of each file hold. A first line without a separator is an error in its row;
-    files without any line have no row."""
+    pass: what the first line and the name of each file hold. A first line without a separator is an error in its row,
+    and so is a file without any line."""
     text = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b")).alias("at"))
-    rows = text.groupBy("source_file").agg(F.min_by("value", "at").alias("header"), (F.count("*") - 1).alias("rows"))
+    found = text.groupBy("source_file").agg(F.min_by("value", "at").alias("header"), (F.count("*") - 1).alias("rows"))
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_name").alias("source_file"))  # contents aren't read
+    rows = every.distinct().join(found, "source_file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     hay = F.lower(F.concat_ws(" ", "source_file", "header"))
-    return rows.select("source_file", "rows", F.col("header").alias("columns"), *(F.contains(hay, F.lit(w)).alias(f"mentions_{w}") for w in words), F.when(~F.col("header").rlike(r"[;,\t|]"), "no separator").alias("error"))
+    return rows.select("source_file", "rows", F.col("header").alias("columns"), *(F.contains(hay, F.lit(w)).alias(f"mentions_{w}") for w in words), F.when(F.coalesce("header", F.lit("")) == "", "empty").when(~F.col("header").rlike(r"[;,\t|]"), "no separator").alias("error"))
 
 
 def discovered(spark: SparkSession, folder: str, pattern: str = "*", words: list[str] = ()) -> DataFrame:

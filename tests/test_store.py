@@ -111,10 +111,11 @@ def test_profile_and_discovery(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "surendettement_2024.csv").write_text("departement;dossiers\n01;5\n02;6\n")
     (tmp_path / "p" / "odd.csv").write_text("hello\n")
+    (tmp_path / "p" / "empty.csv").write_text("")
     got = {r["source_file"]: r for r in files.profiled(spark, str(tmp_path / "p"), ["surendettement", "departement", "income"]).collect()}
     full = got["surendettement_2024.csv"]
     assert (full["rows"], full["columns"], full["mentions_surendettement"], full["mentions_departement"], full["mentions_income"], full["error"]) == (2, "departement;dossiers", True, True, False, None)
-    assert (got["odd.csv"]["rows"], got["odd.csv"]["error"]) == (0, "no separator")
+    assert (got["odd.csv"]["rows"], got["odd.csv"]["error"]) == (0, "no separator") and (got["empty.csv"]["rows"], got["empty.csv"]["columns"], got["empty.csv"]["error"]) == (0, None, "empty")
     found = files.discovered(spark, str(tmp_path / "p"), "*.csv", ["surendettement"]).collect()
     assert len(found) == 1 and len(found[0]["sha256"]) == 64
 
