@@ -8,6 +8,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -101,7 +102,8 @@ def profiled(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     and so is a file without any line."""
     text = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.struct(F.col("_metadata.file_block_start").alias("a"), F.monotonically_increasing_id().alias("b")).alias("at"))
     found = text.groupBy("source_file").agg(F.min_by("value", "at").alias("header"), (F.count("*") - 1).alias("rows"))
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_name").alias("source_file"))  # contents aren't read
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()  # scans leave files without bytes out, listings don't
+    every = spark.createDataFrame([(unquote(f).rpartition("/")[2],) for f in listed], "source_file string")
     rows = every.distinct().join(found, "source_file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     hay = F.lower(F.concat_ws(" ", "source_file", "header"))
     return rows.select("source_file", "rows", F.col("header").alias("columns"), *(F.contains(hay, F.lit(w)).alias(f"mentions_{w}") for w in words), F.when(F.coalesce("header", F.lit("")) == "", "empty").when(~F.col("header").rlike(r"[;,\t|]"), "no separator").alias("error"))
