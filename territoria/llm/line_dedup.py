@@ -30,9 +30,9 @@ def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """
     lines = lines_of(docs).where("norm <> ''").withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no", "t")
-    # a line that stands in many places is hashed once
-    different = lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("w"), F.first("norm").alias("text"))
-    classes = cut(banded(different, plan).withColumn("id", F.monotonically_increasing_id()))
+    # lines are hashed before equal ones meet: their band hashes are far smaller than their texts, which then aren't shuffled
+    prints = banded(lines.select("doc_id", "t", "line_no", "h1", "h2", F.col("norm").alias("text")), plan)
+    classes = cut(prints.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("w"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     keyed = cut(classes.select("id", "h1", "h2", "w", "place"))
 
     def texts(wanted: DataFrame) -> DataFrame:
