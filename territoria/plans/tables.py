@@ -9,8 +9,9 @@ from territoria.functions.numbers import parsed_loose
 from territoria.functions.text import match_or_null, name_words, page_text, squeezed
 from territoria.operators.windows import first_by
 
-#: A figure of a text page: digits, perhaps in threes with blanks between, a comma or point, and decimals.
-FIGURE = r"-?\d{1,3}(?:[  ]\d{3})*[,.]\d+|-?\d+[,.]\d+"
+#: A figure of a text page: digits, perhaps in threes with blanks between, a comma or point, and decimals. Threes don't
+#: begin within a word: the figure of `NATION_1 420,0` is 420,0.
+FIGURE = r"(?:(?<![\p{L}_])-|(?<![\p{L}\p{N}_-]))\d{1,3}(?:[  ]\d{3})+[,.]\d+|-?\d+[,.]\d+"
 #: A department: its code, of two digits, of three overseas, or of a digit and a letter; a blank or a dash; and its name,
 #: which begins with a letter.
 DEPARTMENT = r"^\s*(\d[ABab]|9[78]\d|\d{2})(?:\s*[-–]\s*|\s+)(\p{L}.*)$"

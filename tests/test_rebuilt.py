@@ -62,6 +62,13 @@ def test_department_codes(spark):
     assert read("01 Ain 2.0") == [("01", "Ain", 2.0)] and read("100 km 2,0") == [] == read("75") == read("12345 Total 1,0") == read("75Paris 1,0")
 
 
+def test_figures_beside_names_that_end_in_digits(spark):
+    lines = ["01 NATION_1 420,0 1 000,5", "02 – NATION_12 100.0 200.0", "03-Lot-3 123,0 -1 234,5", "04 Var 4 123,0 -5,0"]
+    df = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "page int, line_no int, line string")
+    got = sorted((r["departement_code"], r["departement_name"], r["indicator_name"], r["value"]) for r in tables.statement_rows(df, ["page"], [], ["a", "b"]).collect())
+    assert got == [("01", "NATION_1", "a", 420.0), ("01", "NATION_1", "b", 1000.5), ("02", "NATION_12", "a", 100.0), ("02", "NATION_12", "b", 200.0), ("03", "Lot-3", "a", 123.0), ("03", "Lot-3", "b", -1234.5), ("04", "Var", "a", 4123.0), ("04", "Var", "b", -5.0)]
+
+
 def test_wide_tables_count_all_their_numbers(spark):
     n = 1200
     cells = ["01 Ain", *[None] * (n - 4), "1", "2", "3"]
