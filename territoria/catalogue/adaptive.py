@@ -95,10 +95,11 @@ STATED = f"with f as ({FIGURES}) select page, region, printf('%02d', k) as depar
 
 
 def _figures(spark, d):
+    """SQL's cast takes halves to the even number; sums are of cents, so what they differ from these by is noise."""
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("page"), F.col("n_regionkey").alias("r"), F.col("r_name").alias("region"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).agg(
-        F.count("*").alias("a"), F.expr("cast(round(sum(o_totalprice) / 100) as bigint)").alias("b"), F.count_distinct("o_custkey").alias("c"))
+        F.count("*").alias("a"), F.expr("cast(rint(round(sum(o_totalprice), 2) / 100) as bigint)").alias("b"), F.count_distinct("o_custkey").alias("c"))
 
 
 def _tenth(c):
