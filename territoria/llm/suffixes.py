@@ -126,17 +126,26 @@ def _anchored(width: int):
 
 
 def _cut_out(width: int):
-    """(a, b, s, n, key, seg, w): the segments of texts, n windows from byte s on."""
+    """(a, b, s, key, seg, w): the distinct segments of texts (or slices of long ones), the bytes s that they begin at, and
+    how often they stand there in all copies. Text that repeats itself has the same segments again and again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, w = (batch.column(c).to_numpy() for c in ("a", "b", "w"))
             for data, ends, index, at in _parts(list(enumerate(batch.column("data").to_pylist()))):
                 owner, first, count, key = _segments(ends, anchors(data, width)[1])
-                raw, row = data.tobytes(), index[owner]
+                raw = data.tobytes()
                 seg = [raw[x : x + n + LENGTH - 1] for x, n in zip(first.tolist(), count.tolist(), strict=True)]
                 place = first - np.r_[0, ends[:-1]][owner] + at
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a[row], b[row], place, count, key.view(np.int64))] + [pa.array(seg, pa.binary()), pa.array(w[row], pa.int64())], ["a", "b", "s", "n", "key", "seg", "w"])
+                number: dict[tuple[int, bytes], int] = {}
+                group = np.array([number.setdefault(x, len(number)) for x in zip(owner.tolist(), seg, strict=True)], np.int64)
+                order = np.argsort(group, kind="stable")
+                times = np.bincount(group)
+                edge = np.r_[0, np.cumsum(times)]
+                one = order[edge[:-1]]
+                row = index[owner[one]]
+                places = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(place[order], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (a[row], b[row])), places, pa.array(key[one].view(np.int64)), pa.array([x for _, x in number], pa.binary()), pa.array(w[row] * times, pa.int64())], ["a", "b", "s", "key", "seg", "w"])
 
     return run
 
@@ -306,8 +315,8 @@ def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
     width = ANCHORS[level]
     keys = texts.select("a", "data").mapInArrow(_anchored(width), "key long, a long, n long")
     again = cut(keys.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y"), F.max("n").alias("n")).where("x <> y or n > 1").select("key"))
-    segs = texts.select("a", "b", "data", "w").mapInArrow(_cut_out(width), "a long, b long, s long, n long, key long, seg binary, w long")
-    segs = cut(likely_in(segs, again, F.col("key"), F.col("key"), BITS).select("a", "b", "s", "n", "key", "seg", "w"))
+    segs = texts.select("a", "b", "data", "w").mapInArrow(_cut_out(width), "a long, b long, s array<long>, key long, seg binary, w long")
+    segs = cut(likely_in(segs, again, F.col("key"), F.col("key"), BITS).select("a", "b", "s", "key", "seg", "w"))
     distinct = cut(segs.groupBy("key", "seg").agg(F.sum("w").alias("m")).select("key", "m", "seg", *_marks("seg")))
     room = distinct.groupBy("key").agg(F.sum(F.length("seg") * F.least("m", F.lit(2))).alias("size"))
     last = level + 1 == len(ANCHORS)
@@ -320,11 +329,11 @@ def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
         deeper = repeats(large.select("a", "b", F.col("seg").alias("data"), F.col("m").alias("w")), level + 1)
         found = found.unionByName(deeper.select("a", "b", F.expr(MERGED).alias("runs")))
     found = cut(found)
-    # a segment's own runs, moved to where the segment stands in each text
+    # a segment's own runs, moved to all places where the segment stands in each text
     places = segs.select("a", "b", "s", *(c.alias(f"seg_{k}") for k, c in zip("ab", (F.xxhash64("seg"), F.xxhash64(F.lit(7), "seg")), strict=True)))
     places = likely_in(places, found, F.col("seg_a"), F.col("a"), BITS).distinct()
     moved = places.join(found.select(F.col("a").alias("seg_a"), F.col("b").alias("seg_b"), "runs"), ["seg_a", "seg_b"])
-    moved = moved.select("a", "b", F.expr("transform(runs, r -> named_struct('lo', r.lo + s, 'hi', r.hi + s))").alias("runs"))
+    moved = moved.select("a", "b", F.expr("flatten(transform(s, p -> transform(runs, r -> named_struct('lo', r.lo + p, 'hi', r.hi + p))))").alias("runs"))
     copies = texts.select("a", "b", F.octet_length("data").cast("long").alias("size"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"), F.max("size").alias("size"))
     whole = copies.where(f"w > 1 and size >= {LENGTH}").select("a", "b", F.expr(f"array(named_struct('lo', 0L, 'hi', size - {LENGTH - 1}))").alias("runs"))
     return moved.unionByName(whole).groupBy("a", "b").agg(F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))

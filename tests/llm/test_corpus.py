@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -195,6 +196,21 @@ def test_a_text_longer_than_a_slice(spark, monkeypatch):
     assert got[0] == [(500_000, 500_900), (at, at + 700), (len(long) - 250, len(long))]
 
 
+def test_text_that_repeats_itself_is_dealt_once():
+    """A row for each distinct segment of a text, however often it stands there, at all lengths of anchors."""
+    line = bytes(np.random.default_rng(5).integers(97, 123, 100, dtype=np.uint8))
+    texts, copies = [line * 40, b"x" * 150 + line * 3 + b"y" * 150], [1, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([9, 10]), pa.array(texts, pa.binary()), pa.array(copies)], ["a", "b", "data", "w"])
+    for width in suffixes.ANCHORS:
+        rows = pa.Table.from_batches(suffixes._cut_out(width)(iter([batch]))).to_pylist()
+        assert len({(r["a"], r["seg"]) for r in rows}) == len(rows)
+        for a, text, n in zip((7, 8), texts, copies, strict=True):
+            own = [r for r in rows if r["a"] == a]
+            assert all(text[s : s + len(r["seg"])] == r["seg"] for r in own for s in r["s"]) and all(r["w"] == n * len(r["s"]) for r in own)
+            assert sorted(s + k for r in own for s in r["s"] for k in range(len(r["seg"]) - suffixes.LENGTH + 1)) == list(range(len(text) - suffixes.LENGTH + 1))
+    assert sum(r["a"] == 7 for r in rows) == 100  # windows of 200 bytes: 3,801, of which 100 differ
+
+
 def test_repeats_odd_rows(spark):
     got = Counter((r["doc_id"], r["n_bytes"], len(r["kept"])) for r in suffixes.without_repeats(clashing(spark, ODD)).collect())
     assert got[(905, 100_000, 0)] == 2 and got[(None, 0, 0)] == 1 and got[(None, 7, 7)] == 1 and got[(900, 0, 0)] == 1 and sum(got.values()) == len(ODD)
