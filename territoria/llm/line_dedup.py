@@ -13,9 +13,11 @@ PLAN = planned("chars", 8, least=0.8, recall=0.98, rows=5)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, line_no, line, norm): the lines of each row's text; t, a hash of it, tells rows of one doc_id apart."""
+    """(doc_id, t, line_no, norm): the trimmed lower-case lines of each row's text; t, a hash of it, tells rows of one doc_id
+    apart. Whole texts go to lower case, which is the same as line by line, as no letter's form depends on another line;
+    and lines come out of the array as they are needed, so that nothing after it makes them again."""
     rows = documents_of(docs, "doc_id", "text").where("text is not null").withColumn("t", F.xxhash64("text"))
-    return rows.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("norm", F.lower(F.trim("line")))
+    return rows.select("doc_id", "t", F.posexplode(F.transform(F.split(F.lower("text"), "\n"), lambda x: F.trim(x))).alias("line_no", "norm"))
 
 
 @tidy
@@ -45,7 +47,7 @@ def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     least = cut(linked.groupBy("component").agg(F.min("place").alias("first")))
     linked = cut(linked.join(least, "component").select("id", "first"))
     several = keyed.join(linked, "id", "left").where("w > 1 or first is not null").select("h1", "h2", F.col("w").alias("n_copies"), F.coalesce("first", "place").alias("first"))
-    every = lines_of(docs).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm")).drop("line", "norm").join(cut(several), ["h1", "h2"], "left")
+    every = lines_of(docs).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm")).drop("norm").join(cut(several), ["h1", "h2"], "left")
     first = F.coalesce("first", place)
     return every.select("doc_id", "t", F.col("line_no").cast("long").alias("line_no"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first["doc_id"].alias("component_doc"), first["line_no"].cast("long").alias("component_line"), (first == place).alias("kept"))
 

@@ -117,6 +117,17 @@ def test_lines(spark):
     assert all(got[k]["kept"] for k, x in lines.items() if not x) and not got[904, 0]["kept"]
 
 
+def test_lines_are_made_once(spark):
+    """Lower case by whole texts gives each line what it has alone, and what reads lines doesn't make them again."""
+    texts = ["ΑΣ\nΑΣΑ \n Σ\nΟΔΟΣ'\nΑ", "İI\r\nÉtÉ\u2028Σ\n\t x \n", "", "  ", "\n\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    lines = line_dedup.lines_of(docs).where("norm <> ''").withColumn("h1", F.xxhash64("norm"))
+    alone = spark.createDataFrame([(i, n, x) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))], "doc_id int, line_no int, line string")
+    wanted = alone.select("doc_id", "line_no", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
+    assert sorted((r["doc_id"], r["line_no"], r["norm"]) for r in lines.collect()) == sorted(tuple(r) for r in wanted.collect())
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_documents_without_repeated_lines(spark):
     rows = [(1, "a first line that is long enough\nown one"), (2, "A first line that is long enough\nown two\n\n"), (3, "a first line that is long enough"), (4, None), (5, ""), (6, "own six"), (6, "own six"), (7, "xyz\nxyz")]
     docs = clashing(spark, rows)
