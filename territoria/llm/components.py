@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, dropped
+from territoria.llm.common import batches_held, cut, dropped, giving_back
 
 #: Edges that a task contracts at once before any shuffle.
 LOCAL = 500_000
@@ -70,7 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     written to the shared folder."""
     batches_held(edges.sparkSession)
     ordered = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    now = cut(ordered.mapInArrow(_contracted, "u long, v long").distinct())
+    now = cut(ordered.mapInArrow(giving_back(_contracted), "u long, v long").distinct())
     state = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = state(now)
     while seen[0]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, likely_in, mixed, runs
+from territoria.llm.common import batches_held, cut, giving_back, likely_in, mixed, runs
 from territoria.llm.components import connected_components, roots
 
 U = np.uint64
@@ -175,7 +175,7 @@ def banded(items: DataFrame, plan: Plan) -> DataFrame:
             s, there = signatures(batch.column("text").to_pylist(), plan)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists(band_hashes(s, plan), there)], [*kept, "bands"])
 
-    return items.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in items.dtypes if n != "text") + ", bands array<long>")
+    return items.mapInArrow(giving_back(run), ", ".join(f"{n} {t}" for n, t in items.dtypes if n != "text") + ", bands array<long>")
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def compared(blocks: DataFrame, payload: list[str], linked: Callable[[pa.Table,
             yield in_twos(twos)
 
     ready = blocks.select("g", "bi", "bj", "side", "id", "w", *payload).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "id")
-    return ready.mapInArrow(run, "g long, id long, links long, parent long")
+    return ready.mapInArrow(giving_back(run), "g long, id long, links long, parent long")
 
 
 def _own(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +405,7 @@ def with_signature(items: DataFrame, plan: Plan) -> DataFrame:
             low = (s & np.uint32(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in low], pa.binary())], [*batch.schema.names, "low"])
 
-    return items.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", low binary")
+    return items.mapInArrow(giving_back(run), ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", low binary")
 
 
 def links(bands: DataFrame, texts: Callable[[DataFrame], DataFrame], plan: Plan) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of, runs, tidy
+from territoria.llm.common import batches_held, cut, documents_of, giving_back, runs, tidy
 
 #: Limits of a sequence: tokens, segments (pieces), and tokens that bear loss; and the id after each document. Of plain
 #: documents each token may be a piece, and nearly all bear loss, so there neither other limit ends a sequence before the
@@ -25,8 +25,8 @@ ANSWERS, EXAMPLES, ANSWER_TOKENS = ("assistant",), 64, 2048
 #: Pieces that are packed together in one task, more if they fill fewer than so many sequences. Groups are dealt by hash,
 #: so their number grows with the data.
 GROUP, FILLED = 2048, 64
-#: Encoded words that a worker remembers.
-REMEMBERED = 600_000
+#: Encoded words that a worker remembers, some 200 bytes each.
+REMEMBERED = 150_000
 
 #: Letters for which splitting and lower case are known, by tests, to be the tokenizer's own: Latin ones, and what goes
 #: with them. Texts with any other go to it whole. And its way of splitting lower-case text into words (a fixed value).
@@ -58,9 +58,8 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
+        if len(self.known) + len(new) > REMEMBERED:  # what is at hand stays, so frequent words aren't encoded again
+            self.known = {w: self.known[w] for w in words if w in self.known}
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -115,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = TOKENS, end: int = END)
     """Each row of docs (doc_id, text) in pieces of `limit` tokens and a rest: doc_id, start, length, ids_crc32,
     doc_tokens. Token ids stay on the task that makes them."""
     batches_held(docs.sparkSession)
-    return documents_of(docs, "doc_id", "text").mapInArrow(_pieces(tokenizer, limit, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return documents_of(docs, "doc_id", "text").mapInArrow(giving_back(_pieces(tokenizer, limit, end)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def packed_group(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -188,7 +187,7 @@ def packed(items: DataFrame, limits: dict[str, int], key: list[str], group: int
     carried = items.columns
     dealt = items.withColumn("pack", F.pmod(F.xxhash64(*key), F.lit(groups))).repartition("pack").sortWithinPartitions("pack", *key)
     schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", sequence_id long, offset long"
-    return dealt.mapInArrow(_packed(np.array([limits[n] for n in names], float), names, carried), schema)
+    return dealt.mapInArrow(giving_back(_packed(np.array([limits[n] for n in names], float), names, carried)), schema)
 
 
 @tidy
@@ -229,7 +228,7 @@ def packed_conversations(conversations: DataFrame, tokenizer: str, limit: int =
     """
     batches_held(conversations.sparkSession)
     turns = documents_of(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    counted = turns.mapInArrow(_counted_turns(tokenizer), "conv_id long, turn long, role string, n long")
+    counted = turns.mapInArrow(giving_back(_counted_turns(tokenizer)), "conv_id long, turn long, role string, n long")
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "n").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
     size = min(limit, loss)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, documents_of, tidy
+from territoria.llm.common import batches_held, cut, documents_of, giving_back, tidy
 
 #: The classifier learns from about so many labelled rows of a class at most, chosen by a hash of doc_id; counts for the
 #: prior, and all else, read all rows.
@@ -145,7 +145,7 @@ def _lexicon(counts: DataFrame, docs: DataFrame, n0: int, n1: int) -> dict[str,
     rows = _candidates(counts, n0, n1).select("token", "clean", "toxic").collect()
     if not rows:
         return {}
-    everywhere = documents_of(docs, "text").mapInArrow(_background([r["token"] for r in rows]), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    everywhere = documents_of(docs, "text").mapInArrow(giving_back(_background([r["token"] for r in rows])), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     seen = {r["token"]: r["n"] for r in everywhere.collect()}
     n, out = max(seen.get("", 0), 1), {}
     for r in rows:
@@ -249,19 +249,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not n0 or not n1:
         return None
-    counts = sample.mapInArrow(_counted, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = sample.mapInArrow(giving_back(_counted), "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     scores, drift, lam, scale = _lexicon(counts, docs, n0, n1), DRIFT, 1.0, 1.0
     if scores:
         # each score's rate in clean text; one that it never has counts as half a token of all that score
-        hits = {r["score"]: r["n"] for r in sample.where("toxic = 0").mapInArrow(_hits(scores), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()}
+        hits = {r["score"]: r["n"] for r in sample.where("toxic = 0").mapInArrow(giving_back(_hits(scores)), "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()}
         values = np.unique(list(scores.values()))
         rates = (np.array([hits.get(v, 0) for v in values.tolist()]) + 0.5 / len(values)) / (hits[None] + 1)
         while rates @ values + (1 - rates.sum()) * drift >= 0:
             drift *= 2
         lam = decay(values, rates, drift)
-        tops = sample.where("toxic = 0").mapInArrow(_told(scores, drift), "toxic int, n long, x double").toPandas()  # three numbers for each row of the bounded sample
+        tops = sample.where("toxic = 0").mapInArrow(giving_back(_told(scores, drift)), "toxic int, n long, x double").toPandas()  # three numbers for each row of the bounded sample
         scale = fitted_scale(lam, tops["n"].to_numpy(float), tops["x"].to_numpy(float))
-    told = sample.mapInArrow(_told(scores, drift, lam, scale), "toxic int, n long, x double").toPandas()
+    told = sample.mapInArrow(giving_back(_told(scores, drift, lam, scale)), "toxic int, n long, x double").toPandas()
     weights = told["toxic"].map({c: 1 / p for c, p in part.items()}).to_numpy(float)
     slope, shift = _logistic(np.log1p(told["x"].to_numpy(float)), told["toxic"].to_numpy(float), weights)
     return Model(scores, lam, scale, slope, shift, drift)
@@ -283,7 +283,7 @@ def clean_documents(docs: DataFrame, model: Model | None, least: float = 0.5) ->
         for batch in batches:
             yield batch.filter(pa.array([score(x, model) < least for x in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs if model is None else docs.mapInArrow(run, docs.schema)
+    return docs if model is None else docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def _scorer(model: Model | None, spans: bool):
@@ -311,4 +311,4 @@ def toxicity(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFr
     empty; an empty one scores as a text without evidence. Without a model all scores are 0. Repeated rows score alike,
     other columns are ignored, an empty table gives no rows."""
     batches_held(docs.sparkSession)
-    return documents_of(docs, "doc_id", "text").mapInArrow(_scorer(model, spans), "doc_id long, score double, passages array<struct<first: long, end: long, score: double>>")
+    return documents_of(docs, "doc_id", "text").mapInArrow(giving_back(_scorer(model, spans)), "doc_id long, score double, passages array<struct<first: long, end: long, score: double>>")
