@@ -166,6 +166,37 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Groups as in `runs`, many at once: about a batch's, and the places where they begin, with the end of the last."""
+
+    def edges(table: pa.Table) -> np.ndarray:
+        k = np.stack([table.column(x).to_numpy() for x in keys])
+        return np.r_[0, np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, table.num_rows]
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = edges(pa.Table.from_batches([batch]))
+        first = tuple(batch.column(x)[0].as_py() for x in keys)
+        begun = int(at[-2])  # the last group may go on
+        if held and (begun or first != last):
+            if begun:
+                held.append(batch.slice(0, begun))
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table, edges(table)
+            held = []
+        elif begun:
+            table = pa.Table.from_batches([batch.slice(0, begun)])
+            yield table, edges(table)
+        held.append(batch.slice(begun))
+        last = tuple(batch.column(x)[-1].as_py() for x in keys)
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, edges(table)
+
+
 def floats(column: pa.ChunkedArray) -> np.ndarray:
     """A column of equally long float lists as a matrix."""
     column = column.combine_chunks()

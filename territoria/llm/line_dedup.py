@@ -30,24 +30,27 @@ def line_components(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
     lower-case texts are. A blank line is no copy of anything and is kept. Null texts have no lines. Rows that repeat a
     doc_id and its text have the same line places and are kept or dropped alike. An empty table gives no rows.
     """
-    lines = lines_of(docs).where("norm <> ''").withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
+    lines = lines_of(docs).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no", "t")
-    # lines are hashed before equal ones meet: their band hashes are far smaller than their texts, which then aren't shuffled
-    prints = banded(lines.select("doc_id", "t", "line_no", "h1", "h2", F.col("norm").alias("text")), plan)
-    classes = cut(prints.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("w"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    # lines are hashed before equal ones meet: their band hashes are far smaller than their texts, which then aren't shuffled;
+    # they are written, as the places of all lines are read again in the end
+    prints = cut(banded(lines.select("doc_id", "t", "line_no", "h1", "h2", F.col("norm").alias("text")), plan))
+    classes = cut(prints.where(F.size("bands") > 0).groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("w"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
     keyed = cut(classes.select("id", "h1", "h2", "w", "place"))
 
     def texts(wanted: DataFrame) -> DataFrame:
         held = cut(keyed.join(wanted, "id"))
-        near = likely_in(lines.select("h1", "norm"), held, F.col("h1"), F.col("h1")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
-        return near.join(held, ["h1", "h2"]).groupBy("id").agg(F.first("w").alias("w"), F.first("norm").alias("text"))
+        # the first line of each class is enough, and most documents hold none that is wanted
+        some = likely_in(documents_of(docs, "doc_id", "text"), held, F.col("doc_id"), F.col("place.doc_id"))
+        near = likely_in(lines_of(some).select(F.xxhash64("norm").alias("h1"), "norm"), held, F.col("h1"), F.col("h1")).withColumn("h2", F.xxhash64(F.lit(1), "norm"))
+        return near.join(held.select("id", "h1", "h2", "w"), ["h1", "h2"]).groupBy("id").agg(F.first("w").alias("w"), F.first("norm").alias("text"))
 
     found = links(classes.select("id", "bands"), texts, plan)
     linked = keyed.join(found.select("id", "component"), "id")
     least = cut(linked.groupBy("component").agg(F.min("place").alias("first")))
     linked = cut(linked.join(least, "component").select("id", "first"))
     several = keyed.join(linked, "id", "left").where("w > 1 or first is not null").select("h1", "h2", F.col("w").alias("n_copies"), F.coalesce("first", "place").alias("first"))
-    every = lines_of(docs).withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit(1), "norm")).drop("norm").join(cut(several), ["h1", "h2"], "left")
+    every = prints.drop("bands").join(cut(several), ["h1", "h2"], "left")
     first = F.coalesce("first", place)
     return every.select("doc_id", "t", F.col("line_no").cast("long").alias("line_no"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first["doc_id"].alias("component_doc"), first["line_no"].cast("long").alias("component_line"), (first == place).alias("kept"))
 

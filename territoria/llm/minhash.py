@@ -11,14 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territoria.llm.common import batches_held, cut, giving_back, likely_in, mixed, runs
+from territoria.llm.common import batches_held, cut, giving_back, likely_in, mixed, whole_groups
 from territoria.llm.components import connected_components, roots
 
 U = np.uint64
 #: Bytes (of words) or characters that are hashed at once, and texts of a block that are compared with another block.
 PART, BLOCK = 1 << 18, 128
-#: Members of a bucket that are compared in one task.
-BUCKET = 256
+#: Members of a bucket that are compared in one task; and of those whose pairs are listed and compared with many others'.
+BUCKET, SMALL = 256, 16
+#: Pairs, and (about) characters of their texts, that are compared at once. Numbers of pairs and texts take 12 bits of a
+#: sorted key, and their shingles' hashes the others.
+PAIRS, PAIRED = 1 << 12, 1 << 21
 #: Characters (about) of a block of texts: a task that compares two blocks holds some hundred bytes for each.
 ROOM = 1 << 19
 
@@ -183,8 +186,8 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     hold the same set, as those of near copies do, count once. Larger buckets have smaller numbers, so that most pairs of
     a group first meet in one of them. From (id, bands)."""
     rows = bands.select("id", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
-    once = cut(full.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
+    full = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo")).where("n > 1")
+    once = cut(full.groupBy("n", "x", "lo").agg(F.min("bucket").alias("bucket")).select("bucket", "n"))
     found = likely_in(rows, once, F.col("bucket"), F.col("bucket")).join(once, "bucket")
     numbered = F.expr(f"shiftleft(cast(31 - least(31, floor(log2(n))) as bigint), 57) | (bucket & {(1 << 57) - 1}L)")
     return cut(found.select(numbered.alias("bucket"), "n", "id"))
@@ -204,57 +207,61 @@ def in_blocks(members: DataFrame, group: str, size: int, text: str | None = None
     return pairs.select(F.col(group).alias("g"), F.least("b", "other").alias("bi"), F.greatest("b", "other").alias("bj"), (F.col("b") > F.col("other")).cast("long").alias("side"), *rest)
 
 
-def compared(blocks: DataFrame, payload: list[str], linked: Callable[[pa.Table, pa.Table | None], np.ndarray], paired: Callable[[pa.Table, pa.Table], np.ndarray] | None = None) -> DataFrame:
+def compared(blocks: DataFrame, payload: list[str], linked: Callable[[pa.Table, pa.Table | None], np.ndarray], paired: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(g, id, links, parent) for members that have a link in a pair of blocks: links is the weight w of what they are
     linked with there, parent the smallest id that links there lead to. linked(left, right or None) is a matrix of
-    booleans over rows with the columns g and payload; paired(left, right), a vector, serves groups of two, many at once.
-    Pairs never leave the task; there are no more rows than members of blocks."""
+    booleans over rows with the columns g and payload; paired(rows, i, j), a vector over pairs of rows, serves groups of
+    up to SMALL, many at once, where it is given. Pairs never leave the task; there are no more rows than members of blocks."""
     batches_held(blocks.sparkSession)
     names, columns = ["g", "id", "links", "parent"], ["g", *payload]
 
-    def in_twos(twos: list[pa.Table]) -> pa.RecordBatch:
-        both = pa.concat_tables(twos)
-        g, ids, w = (both.column(c).to_numpy() for c in ("g", "id", "w"))
-        left, right = (both.select(columns).take(pa.array(np.arange(k, len(ids), 2))) for k in (0, 1))
-        hit = np.repeat(paired(left, right) & (ids[::2] != ids[1::2]), 2)
-        least = np.repeat(np.minimum(ids[::2], ids[1::2]), 2)
-        other = w.reshape(-1, 2)[:, ::-1].ravel()
-        return pa.RecordBatch.from_arrays([pa.array(x[hit], pa.int64()) for x in (g, ids, other, least)], names)
+    def told(rows: pa.Table, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        hit = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(x[hit], pa.int64()) for x in (rows.column("g").to_numpy(), rows.column("id").to_numpy(), links, root)], names)
+
+    def in_pairs(rows: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        pairs = [[starts[sizes == n][:, None] + x[None, :] for x in np.triu_indices(n, 1)] for n in np.unique(sizes).tolist()]
+        i, j = (np.concatenate([x.ravel() for x in side]) for side in zip(*pairs, strict=True))
+        ids, w = rows.column("id").to_numpy(), rows.column("w").to_numpy()
+        other = ids[i] != ids[j]
+        i, j = i[other], j[other]
+        hit = paired(rows.select(columns), i, j)
+        i, j = i[hit], j[hit]
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, i, w[j])
+        np.add.at(links, j, w[i])
+        return told(rows, links, ids[roots(len(ids), i, j)])  # rows of a group lie in the order of their ids
+
+    def in_matrix(group: pa.Table) -> pa.RecordBatch | None:
+        ids, w, side = (group.column(c).to_numpy() for c in ("id", "w", "side"))
+        within = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
+        a = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
+        b = a if within else np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return None
+        data = group.select(columns)
+        m = linked(data, None) if within else linked(data.take(pa.array(a)), data.take(pa.array(b)))
+        links = np.zeros(len(ids), np.int64)
+        i, j = np.nonzero(m)
+        np.add.at(links, a[i], w[b[j]])
+        if not within:
+            np.add.at(links, b[j], w[a[i]])
+        order = np.argsort(ids, kind="stable")  # so that the smallest index is the smallest id
+        place = np.empty_like(order)
+        place[order] = np.arange(len(ids))
+        return told(group, links, ids[order][roots(len(ids), place[a[i]], place[b[j]])[place]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twos: list[pa.Table] = []
-        size = 0
-        for group in runs(batches, ["g", "bi", "bj"]):
-            if paired and group.num_rows == 2 and group.column("bi")[0] == group.column("bj")[0]:
-                twos.append(group)
-                size += group.nbytes
-                if size > 1 << 22 or len(twos) >= 2000:
-                    yield in_twos(twos)
-                    twos, size = [], 0
-                continue
-            ids, w, side = (group.column(c).to_numpy() for c in ("id", "w", "side"))
-            if len(ids) < 2:
-                continue
-            within = group.column("bi")[0].as_py() == group.column("bj")[0].as_py()
-            a = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
-            b = a if within else np.flatnonzero(side == 1)
-            if not len(a) or not len(b):
-                continue
-            data = group.select(columns)
-            m = linked(data, None) if within else linked(data.take(pa.array(a)), data.take(pa.array(b)))
-            links = np.zeros(len(ids), np.int64)
-            i, j = np.nonzero(m)
-            np.add.at(links, a[i], w[b[j]])
-            if not within:
-                np.add.at(links, b[j], w[a[i]])
-            order = np.argsort(ids, kind="stable")  # so that the smallest index is the smallest id
-            place = np.empty_like(order)
-            place[order] = np.arange(len(ids))
-            root = ids[order][roots(len(ids), place[a[i]], place[b[j]])[place]]
-            hit = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[hit], pa.int64()) for x in (group.column("g").to_numpy(), ids, links, root)], names)
-        if twos:
-            yield in_twos(twos)
+        for rows, edges in whole_groups(batches, ["g", "bi", "bj"]):
+            starts, sizes = edges[:-1], np.diff(edges)
+            within = (rows.column("bi").to_numpy() == rows.column("bj").to_numpy())[starts]
+            small = within & (sizes <= SMALL) & (sizes > 1) & (paired is not None)
+            if small.any():
+                yield in_pairs(rows, starts[small], sizes[small])
+            for k in np.flatnonzero(~small & (sizes > 1)).tolist():
+                out = in_matrix(rows.slice(edges[k], sizes[k]).combine_chunks())
+                if out is not None:
+                    yield out
 
     ready = blocks.select("g", "bi", "bj", "side", "id", "w", *payload).repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj", "id")
     return ready.mapInArrow(giving_back(run), "g long, id long, links long, parent long")
@@ -288,48 +295,57 @@ def first_met(left: pa.Table, right: pa.Table | None) -> np.ndarray:
     return bits[:n] @ (bits if right is None else bits[n:]).T == 0
 
 
-def first_met_pairs(left: pa.Table, right: pa.Table) -> np.ndarray:
-    g = left.column("g").to_numpy()
-    what, who = (np.concatenate(x) for x in zip(_own(left), _own(right), strict=True))
-    small = what < g[who]
-    what, who = what[small], who[small]
-    order = np.lexsort((what, who))
-    what, who = what[order], who[order]
-    met = np.ones(len(g), bool)
-    met[who[1:][(what[1:] == what[:-1]) & (who[1:] == who[:-1])]] = False  # both sides have it
+def first_met_pairs(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """As first_met, for pairs (i, j) of rows of many groups."""
+    g = rows.column("g").to_numpy()
+    what, who = _own(rows)
+    size = np.bincount(who, minlength=len(g))
+    _, rank = np.unique(what, return_inverse=True)
+    met = np.ones(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        own, pair = _listed(np.cumsum(size) - size, size, [i[k : k + (1 << 16)], j[k : k + (1 << 16)]])
+        small = what[own] < g[i[k + pair]]
+        key = np.sort(pair[small] * len(what) + rank[own[small]])
+        met[k + key[1:][key[1:] == key[:-1]] // max(len(what), 1)] = False  # both sides have it
     return met
 
 
-def _equal(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal hashes of one number stand side by side, and which of them repeat the one before. One key of
-    64 bits stands for both, as sorting two columns takes several times as long."""
-    key = h + of.astype(U) * U(BASE)
-    order = np.argsort(key)
-    key = key[order]
-    return order, np.r_[False, key[1:] == key[:-1]][: len(key)]
+def _listed(first: np.ndarray, size: np.ndarray, sides: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The places first[x] to first[x] + size[x] for the x of all sides in a row, and each one's index in its side."""
+    x = np.concatenate(sides)
+    n = size[x]
+    places = np.arange(n.sum()) + np.repeat(first[x] - np.cumsum(n) + n, n)
+    return places, np.repeat(np.concatenate([np.arange(len(side)) for side in sides]), n)
+
+
+#: Bits of a shingle's hash in a sorted key: the upper ones are a number below PAIRS.
+_BITS = U(64 - PAIRS.bit_length() + 1)
 
 
 def _sets(texts: list[str], plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text with its index, in no order, and the sizes of these sets."""
+    """The distinct shingles (the upper bits of their hashes) of each text in a row, each one's text, and the sizes of
+    these sets. One key of 64 bits stands for text and hash, as sorting two columns takes several times as long."""
     hashes, owners = [], []
-    for first, some in parts(texts):
-        h, own = shingles(some, plan)
-        order, same = _equal(h, own)
-        new = order[~same]
-        hashes.append(h[new])
-        owners.append(own[new] + first)
+    for k in range(0, len(texts), PAIRS):
+        for first, some in parts(texts[k : k + PAIRS]):
+            h, own = shingles(some, plan)
+            key = np.sort(own.astype(U) << _BITS | h >> (U(64) - _BITS))
+            key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
+            hashes.append(key & (U(1) << _BITS) - U(1))
+            owners.append((key >> _BITS).astype(np.int64) + first + k)
     h, own = np.concatenate(hashes), np.concatenate(owners)
-    return h, own, np.bincount(own, minlength=len(texts)).astype(np.float64)
+    return h, own, np.bincount(own, minlength=len(texts))
 
 
-def similar_pairs(left: list[str], right: list[str], plan: Plan) -> np.ndarray:
-    """Whether each left text has the least Jaccard similarity with the right one of the same index."""
-    n = len(left)
-    h, own, size = _sets(left + right, plan)
-    pair = own % n
-    order, same = _equal(h, pair)
-    common = np.bincount(pair[order[same]], minlength=n)
-    return (common > 0) & (common >= plan.least * (size[:n] + size[n:] - common) - 1e-9)
+def similar_pairs(texts: list[str], i: np.ndarray, j: np.ndarray, plan: Plan) -> np.ndarray:
+    """Whether texts i and j, PAIRS pairs at most, have the least Jaccard similarity."""
+    held, at = np.unique(np.r_[i, j], return_inverse=True)
+    h, _, size = _sets([texts[k] for k in held.tolist()], plan)
+    a, b = at[: len(i)], at[len(i) :]
+    own, pair = _listed(np.cumsum(size) - size, size, [a, b])
+    key = np.sort(pair.astype(U) << _BITS | h[own])
+    common = np.bincount((key[1:][key[1:] == key[:-1]] >> _BITS).astype(np.int64), minlength=len(i))
+    return (common > 0) & (common >= plan.least * (size[a] + size[b] - common) - 1e-9)
 
 
 def similar(left: list[str], right: list[str] | None, plan: Plan) -> np.ndarray:
@@ -350,7 +366,7 @@ def similar(left: list[str], right: list[str] | None, plan: Plan) -> np.ndarray:
         bits = np.zeros((len(texts), min(step, columns - k)), np.float32)
         bits[own[lo:hi], column[lo:hi] - k] = 1
         common += bits[:n] @ (bits if right is None else bits[n:]).T
-    of, to = size[:n], size if right is None else size[n:]
+    of, to = size[:n].astype(float), (size if right is None else size[n:]).astype(float)
     out = (common > 0) & (common >= plan.least * (of[:, None] + to[None, :] - common) - 1e-9)
     if right is None:
         np.fill_diagonal(out, False)
@@ -361,9 +377,11 @@ def _low(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
 
 
-def _near_pairs(left: pa.Table, right: pa.Table) -> np.ndarray:
-    a, b = _low(left), _low(right)
-    return ((a == b).sum(axis=1) >= NEAR * a.shape[1]) & first_met_pairs(left, right)
+def _near_pairs(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    low = _low(rows)
+    hit = np.concatenate([(low[i[k : k + PAIRS]] == low[j[k : k + PAIRS]]).sum(axis=1) >= NEAR * low.shape[1] for k in range(0, len(i), PAIRS)] or [np.zeros(0, bool)])
+    hit[hit] = first_met_pairs(rows, i[hit], j[hit])
+    return hit
 
 
 def _near(left: pa.Table, right: pa.Table | None) -> np.ndarray:
@@ -387,8 +405,17 @@ def _linked(left: pa.Table, right: pa.Table | None, plan: Plan) -> np.ndarray:
     return hit & first_met(left, right) if hit.any() else hit
 
 
-def _linked_pairs(left: pa.Table, right: pa.Table, plan: Plan) -> np.ndarray:
-    return similar_pairs(left.column("text").to_pylist(), right.column("text").to_pylist(), plan) & first_met_pairs(left, right)
+def _linked_pairs(rows: pa.Table, i: np.ndarray, j: np.ndarray, plan: Plan) -> np.ndarray:
+    """A pair's texts are compared only where it counts."""
+    hit = first_met_pairs(rows, i, j)
+    met, texts = np.flatnonzero(hit), rows.column("text").to_pylist()
+    size = np.array([len(x) for x in texts])
+    before = np.cumsum((size[i] + size[j])[met])
+    while len(met):
+        n = max(1, min(PAIRS, int(np.searchsorted(before, before[0] + PAIRED))))
+        hit[met[:n]] = similar_pairs(texts, i[met[:n]], j[met[:n]], plan)
+        met, before = met[n:], before[n:]
+    return hit
 
 
 #: Share of equal signature bytes from which texts are compared on whole sets. At a similarity of 0.8 and 50 bytes this
