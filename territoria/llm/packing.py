@@ -6,7 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from unicodedata import is_normalized, normalize
 
 import numpy as np
@@ -26,18 +26,46 @@ ANSWERS, EXAMPLES, ANSWER_TOKENS = ("assistant",), 64, 2048
 #: so their number grows with the data.
 GROUP, FILLED = 2048, 64
 #: Encoded words that a worker remembers, some 200 bytes each.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 #: Letters for which splitting and lower case are known, by tests, to be the tokenizer's own: Latin ones, and what goes
 #: with them. Texts with any other go to it whole. And its way of splitting lower-case text into words (a fixed value).
-OTHER = re.compile("[^\x00-\x7f\xa0-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]|[\u0130\u0149\u01c5\u01c8\u01cb\u01f0\u01f2]|<[|]")
+OTHER = re.compile("[^\x00-\x7f\xa0-\u012f\u0131-\u0148\u014a-\u01c4\u01c6\u01c7\u01c9\u01ca\u01cc-\u01ef\u01f1\u01f3-\u024f\u2010-\u2027\u20ac\U0001f600-\U0001f64f]")
 #: The first of these letters and digits decides, so the most frequent kind comes first. Some lower-case forms of the
 #: letters tested lie beyond them.
 _KIND = {c: unicodedata.category(c)[0] for k in range(0x250) for c in chr(k) + chr(k).lower()}
 _LETTERS, _DIGITS = ("".join(c for c, kind in _KIND.items() if kind == x) for x in "LN")
 WORDS = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 #: Signs that only Python takes for white space.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+
+
+class Shown(dict):
+    """The characters that stand for the bytes of a character in the vocabulary, by code point."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, c: int) -> str:
+        self[c] = shown = self.level.pre_tokenize_str(chr(c))[0][0]
+        return shown
+
+
+class Bare:
+    """The tokenizer's model without what goes before it: encodes lower-case words with a space between them, which is all
+    that the normalizer and the splitting would leave of them."""
+
+    def __init__(self, tokenizer):
+        model = tokenizer.model
+        model._resize_cache(0)  # words come once, so its own memory only costs time
+        self.tokenize, self.shown, self.ids = model.tokenize, Shown(), []
+
+    def encode(self, text: str, add_special_tokens: bool = False) -> Bare:
+        # printable ASCII stands for itself
+        self.ids = [t.id for word in text.split(" ") for t in self.tokenize(word if word.isascii() and word.isprintable() else word.translate(self.shown))]
+        return self
 
 
 class Words:
@@ -47,27 +75,41 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.path, own = path, Tokenizer.from_file(path)
+        self.tokenizer = Bare(own)
+        vocabulary = own.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.once: set[str] = set()
+
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, with a memory of its own."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def alone(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
+        self.once -= words
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:  # what is at hand stays, so frequent words aren't encoded again
-            self.known = {w: self.known[w] for w in words if w in self.known}
+        if len(self.known) + len(new) > REMEMBERED:  # what is at hand stays, and what was used again if that is not too much
+            stay = self.known.keys() - self.once
+            self.known = {w: self.known[w] for w in (stay | words if len(stay) < REMEMBERED - len(words) else words) if w in self.known}
+            self.once = set(self.known)
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
             ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             if len(ends) == len(part):
-                self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+                raw = ids.tobytes()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
             else:  # some word isn't one to the tokenizer
                 self.known.update((w, self.alone(w)) for w in part)
+        self.once.update(new)
 
 
 @cache
@@ -80,7 +122,7 @@ def encoded(texts: list[str], words: Words) -> list[bytes]:
     Texts that may hold its special tokens, or letters beyond those tested, go to it whole."""
     whole, split = {}, []
     for k, text in enumerate(texts):
-        if "<|" in text or ODD_SPACE.search(text) or not text.isascii() and OTHER.search(text):
+        if "<|" in text or any(c in text for c in ODD_SPACE) or not text.isascii() and OTHER.search(text):
             whole[k] = words.alone(text)
             split.append([])
             continue
