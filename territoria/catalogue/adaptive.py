@@ -154,7 +154,7 @@ select page, case substr(page, 6, 2)::int % 3 when 0 then '0 lines lines' when 1
 def positioned_tables(spark, d):
     """Pages of words that have places: of every three months one has a grid of rules, one has upright rules only, one none.
     A title far above is no table."""
-    f, month = _figures(spark, d), F.substring("page", 6, 2).cast("int") % 3
+    f, month = layout.gathered(_figures(spark, d), ["page"]), F.substring("page", 6, 2).cast("int") % 3
     at = F.row_number().over(Window.partitionBy("page").orderBy("k"))
     label = F.concat_ws(" ", F.format_string("%02d", "k"), "name")
     head = f.select("page").distinct().select("page", F.lit(0).alias("at"), *(F.lit(x).alias(c) for c, x in zip("labc", ("Territoire", "Nombre", "Total", "Clients"), strict=True)))

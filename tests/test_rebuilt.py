@@ -55,6 +55,28 @@ def test_tables_by_rules(spark):
     assert {r["strategy"] for r in first.collect()} == {"1 lines text"}
 
 
+def test_tables_of_pages_whose_files_have_changed(spark, tmp_path):
+    """Another program puts other files at the same path: the next reading of the pages has what is there then. Words and
+    rules are made once for all strategies."""
+    at, made = str(tmp_path / "words.parquet"), spark.sparkContext.accumulator(0)
+    upright = [(1, x, x + 0.5, 5.0, 65.0) for x in (10.0, 50.0, 90.0)]
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    def read(text):
+        words(spark, [(1, 12, 12, text), (1, 52, 12, "b"), (1, 12, 42, "c"), (1, 52, 42, "d")]).toPandas().astype({"page": "int32"}).to_parquet(at)
+        rules = spark.read.schema(NO_RULES).parquet(str(tmp_path / "rules.parquet"))
+        return grid(tables.first_tables(layout.page_tables(spark.read.schema(WORDS).parquet(at), rules, ["page"]), ["page"]))
+
+    spark.createDataFrame(upright, NO_RULES).toPandas().astype({"page": "int32"}).to_parquet(tmp_path / "rules.parquet")
+    assert [read(x) for x in ("old", "new")] == [{(1, 0): [[x, "b"], ["c", "d"]]} for x in ("old", "new")]
+    pages, rules = spark.read.parquet(at).mapInArrow(counted, WORDS), spark.read.parquet(str(tmp_path / "rules.parquet"))
+    assert layout.page_tables(pages, rules, ["page"]).count() == 4 and made.value == 4
+
+
 def test_department_codes(spark):
     line = lambda t: spark.createDataFrame([(1, 0, t)], "page int, line_no int, line string")
     read = lambda t: [(r["departement_code"], r["departement_name"], r["value"]) for r in tables.statement_rows(line(t), ["page"], [], ["v"]).collect()]
