@@ -9,8 +9,8 @@ from territoria.functions.numbers import band, finite, scaled
 from territoria.operators.aggregates import bounds
 from territoria.operators.windows import best_observations
 
-#: A coverage from which a score counts as complete.
-FULL = 1 - 1e-12
+#: A coverage from which a score counts as complete; digits of a coverage, beyond which the order of a sum of weights tells.
+FULL, DIGITS = 1 - 1e-12, 12
 
 
 def gated(observations: DataFrame, configs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def scores(observations: DataFrame, configs: DataFrame, floor: float = 0.60, win
     sums = rows.groupBy("level", "period", "code").agg(F.sum("weight").alias("have"), F.sum("contribution").alias("raw"), F.collect_set("indicator").alias("seen"))
     wanted = configs.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "indicator"))), lambda x: x["indicator"]).alias("wanted"))
     out = universe(observations).join(sums, ["level", "period", "code"], "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(wanted))
-    out = out.withColumn("coverage", F.coalesce("have", F.lit(0.0)) / F.col("total"))
+    out = out.withColumn("coverage", F.round(F.coalesce("have", F.lit(0.0)) / F.col("total"), DIGITS))
     enough = F.col("coverage") >= floor
     out = out.withColumn("score", F.when(enough, F.least(F.greatest("raw", F.lit(0.0)), F.lit(100.0)))).withColumn("risk", band(F.col("score")))
     status = F.when(~enough, "insufficient_data").when(F.col("coverage") >= FULL, "valid").otherwise("partial")

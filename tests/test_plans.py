@@ -38,6 +38,29 @@ def test_scores(cohort):
     assert {k[2] for k in got if k[0] == "region"} == {"32", "94"}
 
 
+@pytest.mark.parametrize("names", ["abcd", "dcba"])
+def test_coverage_does_not_depend_on_the_order_of_rows(spark, names):
+    """Weights of 0.15, 0.2, 0.25 and 0.3 cover 0.9, whatever their sum in doubles is in the order of rows."""
+    weights = [(k, n, w, "positive", "u") for k, (n, w) in enumerate(zip(names + "e", (0.15, 0.2, 0.25, 0.3, 0.1), strict=True))]
+    conf = spark.createDataFrame(weights, "ord int, indicator string, weight double, direction string, expected_unit string")
+    rows = [(k, "department", "1", f"p{k // 4}", names[k % 4], 1.0, "u", 1.0, "", "") for k in range(400)]
+    scored = scoring.scores(spark.createDataFrame(rows, SPEC), conf, 0.9)
+    assert {tuple(r) for r in scored.select("coverage", "status").collect()} == {(0.9, "partial")} and scored.where("score is not null").count() == 100
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_score_filters_on_either_plan(spark, adaptive):
+    """20 of 25 departments cover 0.9 or all."""
+    from territoria.catalogue import QUERIES
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        assert QUERIES["score_filters"](spark, "/root/testdata/sf0.01").count() == 20
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def test_gates_come_before_the_pick(cohort):
     obs, conf = cohort
     picked = {(r["code"], r["indicator"]): r["value"] for r in scoring.picked(obs.where("period = '2025'"), conf).collect()}
