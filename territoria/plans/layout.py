@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,18 +113,16 @@ def rebuilt(words: DataFrame, lines: DataFrame, page: list[str], columns: str =
     return _cells(inside, keys)
 
 
-def gathered(rows: DataFrame, page: list[str]) -> DataFrame:
-    """rows by way of an array for each page. Whoever reads some of the columns then reads the same shuffle as all others."""
-    rest = [c for c in rows.columns if c not in page]
-    return rows.groupBy(*page).agg(F.collect_list(F.struct(*rest)).alias("_rows")).select(*page, F.inline("_rows"))
+def _kept(rows: DataFrame, page: list[str]) -> DataFrame:
+    """rows dealt by page and kept under a mark of their own. Spark finds what is kept by its plan: without a mark, the same
+    path would give these rows again after its files have changed."""
+    return rows.withColumn("_mark", F.lit(uuid4().hex)).repartition(*page).persist().drop("_mark")
 
 
 def page_tables(words: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
     """The tables of pages (page, strategy, table_no, row_no, cells) by every strategy, numbered in their order. Words and
-    rules, which come of parsing files, are dealt by page once, and all strategies read that shuffle. Nothing is kept
-    (`persist`) beyond the result: Spark finds what is kept by its plan, so the same path with other files would give old
-    tables."""
-    words, lines, out = gathered(words, page), gathered(lines, page), None
+    rules, which come of parsing files, are made once for each call, dealt by page and kept for all strategies."""
+    words, lines, out = _kept(words, page), _kept(lines, page), None
     for k, (columns, rows) in enumerate(STRATEGIES):
         found = rebuilt(words, lines, page, columns, rows).select(*page, F.lit(f"{k} {columns} {rows}").alias("strategy"), "table_no", "row_no", "cells")
         out = found if out is None else out.unionByName(found)
